@@ -8,7 +8,7 @@ balance the work: results do not depend on where the cuts fall.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -54,38 +54,55 @@ def string_block(df: DataFrame, column: str, blocks: int = STRING_BLOCKS) -> Col
     return reduce(lambda acc, c: acc + (F.col(column) >= F.lit(c)).cast("int"), cuts, F.lit(0))
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], block: Column
+def _along(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, Column],
+    block: Column,
+    fold: Callable[[Column | str], Column],
+    merge: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """Add `<name>_before` (sum over earlier rows of the group) and `<name>_total` for each sum.
-
-    `order` must tell rows of one group apart (aggregate ties first) and `block` must never fall
-    along that order.
-    """
-    values = {f"_{name}": value for name, value in sums.items()}
-    placed = df.withColumns({"_block": block, **values})
-
+    """Fold of the earlier rows (`<name>_before`, null for the first) and of the group (`<name>_total`)."""
+    placed = df.withColumns({"_block": block, **{f"_{name}": value for name, value in values.items()}})
     group = [*keys, "_block"]
-    per_block = placed.groupBy(*group).agg(*[F.sum(v).alias(v) for v in values])
+    per_block = placed.groupBy(*group).agg(*[fold(f"_{name}").alias(f"_{name}") for name in values])
     # one row per (group, block): the number of blocks is fixed, so this window stays small
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = per_block.select(
         *[F.col(c).alias(f"_at_{c}") for c in group],
-        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_offset") for v in values],
-        *[F.sum(v).over(whole).alias(f"{v}_sum") for v in values],
+        *[fold(f"_{name}").over(earlier).alias(f"_{name}_offset") for name in values],
+        *[fold(f"_{name}").over(whole).alias(f"{name}_total") for name in values],
     )
     joined = placed.join(offsets, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in group])
-
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = {}
-    for name in sums:
-        v = f"_{name}"
-        out[f"{name}_before"] = F.col(f"{v}_offset") + F.coalesce(F.sum(v).over(local), F.lit(0))
-        out[f"{name}_total"] = F.col(f"{v}_sum")
-    scratch = ["_block", *values, *[f"_at_{c}" for c in group]]
-    scratch += [f"{v}_{part}" for v in values for part in ("offset", "sum")]
-    return joined.withColumns(out).drop(*scratch)
+    before = {f"{name}_before": merge(F.col(f"_{name}_offset"), fold(f"_{name}").over(local)) for name in values}
+    scratch = ["_block", *[f"_at_{c}" for c in group], *[f"_{n}" for n in values], *[f"_{n}_offset" for n in values]]
+    return joined.withColumns(before).drop(*scratch)
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], block: Column
+) -> DataFrame:
+    """Add `<name>_before` (sum over earlier rows of the group) and `<name>_total` for each sum.
+
+    `order` must tell rows of one group apart (aggregate ties first) and `block` must never fall
+    along that order.
+    """
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+    return _along(df, keys, order, sums, block, F.sum, plus)
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], block: Column
+) -> DataFrame:
+    """Add `<name>_before`, the largest earlier value of the group (null for its first row)."""
+    done = _along(df, keys, order, values, block, F.max, lambda a, b: F.greatest(a, b))
+    return done.drop(*[f"{name}_total" for name in values])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "rank") -> DataFrame:
