@@ -169,10 +169,10 @@ SELECT (row_number() OVER () - 1)::INTEGER AS step, family, level FROM (VALUES
   ('screenshot', 1.0), ('screenshot', 2.0), ('screenshot', 3.0)) t(family, level)
 """
 VIEWS["perturbed"] = f"""
-SELECT p.* EXCLUDE (logit), step, family, level, l2 AS logit, {sigmoid(f'l2 / {TEMPERATURE}::DOUBLE')} AS prob
+SELECT p.* EXCLUDE (logit, l2), l2 AS logit, {sigmoid(f'l2 / {TEMPERATURE}::DOUBLE')} AS prob
 FROM (SELECT *, (tenths + ({h(60, "(item_id || ':' || step)", 21)} - 10) * step) / 10.0::DOUBLE AS l2
   FROM predictions, grid WHERE split IN ('test', 'crossgen')) p
-""".replace("p.* EXCLUDE (logit), step, family, level, l2 AS logit", "p.* EXCLUDE (logit, l2), l2 AS logit")
+"""
 VIEWS["model_summary"] = """
 SELECT model, (9600 + s % 400) / 10000.0::DOUBLE AS id_auc,
   CASE WHEN n % 7 <> 0 THEN (6000 + k % 3000) / 10000.0::DOUBLE END AS crossgen_mean_auc,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.decision import apply_calibration
-from corpusgauge.functions.formats import STANDARD_LUMA_TABLE
+from corpusgauge.functions.formats import STANDARD_LUMA_TABLE, sniff_format
 from corpusgauge.functions.geometry import detection_scale
 from corpusgauge.functions.hashing import output_name, stable_mod
 from corpusgauge.operators.ordering import ranked, with_value_blocks
@@ -247,18 +247,42 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page bytes behind different magic headers."""
-    key = F.col("page_id")
-    magic = pick(
+def _magic(key: Column) -> Column:
+    return pick(
         stable_mod(key, 40, 7),
         ["FFD8FF", "89504E470D0A1A0A", "52494646000000005745425056503820", "474946383961", "424D", "474946383761", ""],
     )
+
+
+def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page bytes behind different magic headers."""
+    key = F.col("page_id")
+    magic = _magic(key)
     return table(spark, sf_dir, "pages").select(
         key.alias("page_id"), F.col("url").alias("rel_path"), F.concat(F.unhex(magic), F.col("html").cast("binary")).alias("content")
     )
 
 
+def with_upload_columns(pages: DataFrame) -> DataFrame:
+    """Pages as uploads: bytes behind a magic header, hashed dimensions, faces and logit. Streams too."""
+    key = F.col("page_id")
+    content = F.concat(F.unhex(_magic(key)), F.col("html").cast("binary"))
+    broken = stable_mod(key, 43, 9) == 0
+    return pages.select(
+        "page_id",
+        F.when(stable_mod(key, 42, 11) == 0, 0).otherwise(F.octet_length(content)).cast("bigint").alias("file_size"),
+        sniff_format(content).alias("format"),
+        F.when(~broken, 64 + stable_mod(key, 44, 8000)).cast("int").alias("width"),
+        F.when(~broken, 64 + stable_mod(key, 45, 8000)).cast("int").alias("height"),
+        stable_mod(key, 46, 5).alias("num_faces"),
+        ((stable_mod(key, 47, 101) - 50) / 10.0).alias("logit"),
+    )
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_upload_columns(table(spark, sf_dir, "pages"))
+
+
 def page_images(spark: SparkSession, sf_dir: str, width: int = 32) -> DataFrame:
     """Each page's whole bytes as a BGR picture of fixed width, zero-padded to full rows."""
     raw = F.col("html").cast("binary")

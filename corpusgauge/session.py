@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a job's own output, under the cluster's shared folder if one is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = shared or spark.sparkContext.getCheckpointDir()
+    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="corpusgauge-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
