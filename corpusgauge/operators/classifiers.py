@@ -63,7 +63,7 @@ def _standardised(df: DataFrame, x: str, mean: Sequence[float], std: Sequence[fl
 def _logistic(train: DataFrame, c: float, n: int) -> Model:
     """Ridge-penalised logistic regression with inverse strength c on standardised features."""
     lr = LogisticRegression(
-        featuresCol="scaled", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-7
+        featuresCol="scaled", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6
     )
     return lr.fit(train)
 
@@ -139,7 +139,8 @@ def permutation_importance(
     Rows stand in hash order; repeat r pairs each with the row a hashed distance further on, so one
     join serves every feature.
     """
-    hashed = test.drop("rank", "rank_total").withColumn("_h", stable_hex(F.col(key), seed + 1)).withColumn("_all", F.lit(1))
+    plain = VectorAssembler(inputCols=list(features), outputCol="vector").transform(test.select(key, "label", *features))
+    hashed = plain.withColumn("_h", stable_hex(F.col(key), seed + 1)).withColumn("_all", F.lit(1))
     placed = ranked(hashed, ["_all"], ["_h", key], hash_block(F.col("_h"))).persist(StorageLevel.MEMORY_AND_DISK)
     n = placed.count()
     steps = F.array(*[F.lit(1 + (n * (r + 1)) // (repeats + 1)).cast("bigint") for r in range(repeats)])

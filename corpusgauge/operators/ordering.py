@@ -26,6 +26,8 @@ def with_value_blocks(df: DataFrame, columns: Mapping[str, str], blocks: int = N
     One pass of quantile sketches gives the cuts; a few hundred numbers come to the driver.
     """
     names = list(columns)
+    if blocks < 2:
+        return df.withColumns({columns[c]: F.lit(0) for c in names})
     as_double = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     sketched = as_double.approxQuantile(names, [i / blocks for i in range(1, blocks)], 0.5 / blocks)
     for name, cuts in zip(names, sketched, strict=True):

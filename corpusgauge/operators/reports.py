@@ -15,13 +15,33 @@ FIXED_SETS = ("id_test", "crossgen_full", "own")
 ROBUSTNESS_PICKS = (("none", 0.0), ("jpeg_quality", 50.0), ("jpeg_quality", 30.0), ("downscale", 0.5), ("blur_sigma", 2.0))
 
 
+def fixed_text(value: Column, digits: int = 3) -> Column:
+    """Fixed-point text, rounding the exact binary value half to even (as C and Python print it).
+
+    Spark's own formatting rounds the shortest decimal form half up. Twice the scaled value is an odd
+    integer only near a tie; there the exact rounding error of the product (a split multiplication)
+    decides the side.
+    """
+    scale = float(2 * 10**digits)
+    product = value * scale
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    error = (high * scale - product) + (value - high) * scale
+    near_tie = (product == F.floor(product)) & (F.pmod(product, F.lit(2.0)) == 1.0)
+    down, up = (product - 1) / 2, (product + 1) / 2
+    even = F.when(F.pmod(down, F.lit(2.0)) == 0.0, down).otherwise(up)
+    tie = F.when(error > 0, up).when(error < 0, down).otherwise(even)
+    whole = F.when(near_tie, tie).otherwise(F.floor(up))
+    return F.format_string(f"%.{digits}f", whole / float(10**digits))
+
+
 def cell(value: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)), F.lit(PENDING))
+    return F.when(value.isNotNull(), fixed_text(value, digits)).otherwise(PENDING)
 
 
 def interval_cell(low: Column, high: Column) -> Column:
     both = low.isNotNull() & high.isNotNull()
-    return F.coalesce(F.when(both, F.format_string("[%.3f, %.3f]", low, high)), F.lit(PENDING))
+    text = F.concat(F.lit("["), fixed_text(low), F.lit(", "), fixed_text(high), F.lit("]"))
+    return F.when(both, text).otherwise(PENDING)
 
 
 def _line(cells: Sequence[str]) -> Column:

@@ -683,9 +683,9 @@ SELECT s.model, '| ' || s.model || ' | ' || printf('%.3f', id_auc) || ' | ' || c
 oracle(
     "early_stop",
     """, best AS (SELECT *, max(val_auc) OVER (PARTITION BY run ORDER BY epoch) AS top FROM epochs),
-since AS (SELECT run, epoch, top, (SELECT min(e.epoch) FROM epochs e WHERE e.run = b.run AND e.val_auc = b.top) AS at FROM best b),
-ends AS (SELECT run, min(epoch) FILTER (epoch - at >= 4) AS stop, max(epoch) AS final FROM since GROUP BY run)
-SELECT run, at AS best_epoch, top AS best_auc, epoch AS epochs_run, stop IS NOT NULL AS stopped
+since AS (SELECT run, epoch, top, (SELECT min(e.epoch) FROM epochs e WHERE e.run = b.run AND e.val_auc = b.top) AS top_at FROM best b),
+ends AS (SELECT run, min(epoch) FILTER (epoch - top_at >= 4) AS stop, max(epoch) AS final FROM since GROUP BY run)
+SELECT run, top_at AS best_epoch, top AS best_auc, epoch AS epochs_run, stop IS NOT NULL AS stopped
 FROM since JOIN ends USING (run) WHERE epoch = coalesce(stop, final)""",
     "epochs",
 )
@@ -713,15 +713,15 @@ FROM (SELECT item_id, unnest(x) AS v, unnest(range(1, 65)) AS k FROM probe_rows)
 )
 
 # --- requests and streams
-_LIMIT = """WITH RECURSIVE ordered AS (SELECT event_id, user_id, epoch_us(ts) AS at,
+_LIMIT = """WITH RECURSIVE ordered AS (SELECT event_id, user_id, epoch_us(ts) AS us,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 walk AS (
-  SELECT event_id, user_id, k, at, true AS accepted, NULL::INTEGER AS retry_after, [at] AS hits FROM ordered WHERE k = 1
+  SELECT event_id, user_id, k, us, true AS accepted, NULL::INTEGER AS retry_after, [us] AS hits FROM ordered WHERE k = 1
   UNION ALL
-  SELECT event_id, user_id, k, at, len(live) < 2,
-    CASE WHEN len(live) >= 2 THEN greatest(1, ((43200000000 - (at - live[1])) // 1000000) + 1)::INTEGER END,
-    CASE WHEN len(live) < 2 THEN list_append(live, at) ELSE live END
-  FROM (SELECT o.event_id, o.user_id, o.k, o.at, list_filter(w.hits, lambda t: o.at - t < 43200000000) AS live
+  SELECT event_id, user_id, k, us, len(live) < 2,
+    CASE WHEN len(live) >= 2 THEN greatest(1, ((43200000000 - (us - live[1])) // 1000000) + 1)::INTEGER END,
+    CASE WHEN len(live) < 2 THEN list_append(live, us) ELSE live END
+  FROM (SELECT o.event_id, o.user_id, o.k, o.us, list_filter(w.hits, lambda t: o.us - t < 43200000000) AS live
     FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.k = w.k + 1))
 SELECT event_id, accepted, retry_after FROM walk"""
 ORACLES["sliding_rate_limit"] = _LIMIT

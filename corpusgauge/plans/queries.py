@@ -718,7 +718,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     )
     quarter = F.col("rank") % 4 == 0
     model = classifiers.GBTClassifier(featuresCol="vector", labelCol="y", maxIter=5, maxDepth=4, seed=42).fit(vectors.filter(~quarter))
-    return classifiers.permutation_importance(vectors.filter(quarter).drop("vector", "y"), model, columns, "doc_id", 42)
+    return classifiers.permutation_importance(vectors.filter(quarter), model, columns, "doc_id", 42)
 
 
 @query
