@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -72,7 +73,7 @@ def _boosted(train: DataFrame, rounds: int, seed: int) -> Model:
     return GBTClassifier(featuresCol="vector", labelCol="y", maxIter=rounds, maxDepth=4, seed=seed).fit(train)
 
 
-def _prob(model: Model) -> Column:
+def _prob() -> Column:
     return vector_to_array(F.col("probability"))[1]
 
 
@@ -109,18 +110,21 @@ def trivial_classifier(
         placed.withColumns({"y": label_to_int(F.col("label")).cast("double"), "x": F.array(*used), "fold": F.col("rank") % folds})
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scores: dict[str, list[float]] = {"logistic_regression": [], "gradient_boosting": []}
+        scored = []
+        sizes_by_fold = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
         for k in range(folds):
             train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
             mean, std = population_scale(train, "vector")
             scaled_train, scaled_test = (_standardised(part, "x", mean, std) for part in (train, test))
-            linear = _logistic(scaled_train, 1.0, scaled_train.count())
-            scores["logistic_regression"].append(auc_of(linear.transform(scaled_test), _prob(linear)))
+            linear = _logistic(scaled_train, 1.0, report.n_samples - sizes_by_fold[k])
             boosted = _boosted(train, rounds, seed)
-            scores["gradient_boosting"].append(auc_of(boosted.transform(test), _prob(boosted)))
-        for name, values in scores.items():
-            mean = sum(values) / folds
-            report.auc[name] = {"mean": mean, "std": (sum((v - mean) ** 2 for v in values) / folds) ** 0.5}
+            for name, model, part in (("logistic_regression", linear, scaled_test), ("gradient_boosting", boosted, test)):
+                scored.append(model.transform(part).select(F.lit(name).alias("model"), "fold", "label", _prob().alias("prob")))
+        groups = ["model", "fold"]
+        counts = score_counts(reduce(DataFrame.unionByName, scored), groups)
+        per_fold = ranking_metrics(curve(counts, groups), groups)
+        spread = per_fold.groupBy("model").agg(F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"))
+        report.auc = {r["model"]: {"mean": r["mean"], "std": r["std"]} for r in spread.collect()}  # two rows
         if importance:
             quarter = F.col("rank") % 4 == 0
             booster = _boosted(rows.filter(~quarter), rounds, seed)
@@ -160,9 +164,9 @@ def permutation_importance(
     swapped = moved.join(donors, "_from").select("label", "repeat", F.inline(swaps))
     vectors = VectorAssembler(inputCols=[f"new_{c}" for c in features], outputCol="vector").transform(swapped)
     groups = ["feature", "repeat"]
-    scored = model.transform(vectors).select(*groups, "label", _prob(model).alias("prob"))
+    scored = model.transform(vectors).select(*groups, "label", _prob().alias("prob"))
     after = ranking_metrics(curve(score_counts(scored, groups), groups), groups)
-    before = auc_of(model.transform(placed), _prob(model))
+    before = auc_of(model.transform(placed), _prob())
     return after.groupBy("feature").agg(F.avg(F.lit(before) - F.col("roc_auc")).alias("auc_drop"))
 
 

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.caching import keep
 from corpusgauge.operators.ordering import first_per_group
 
 HASH_BITS = 64
@@ -63,7 +64,8 @@ def bucket_guard(items: DataFrame, max_distance: int = 4, max_bucket: int = 50_0
 
 def cells_of(items: DataFrame) -> DataFrame:
     """Items folded to (fingerprints, dataset, split, label): size and smallest id."""
-    return items.groupBy("phash", "dhash", *CELL).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_id"))
+    sizes = [F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_id")]
+    return keep(items.groupBy("phash", "dhash", *CELL).agg(*sizes))
 
 
 def prints_of(cells: DataFrame) -> DataFrame:
@@ -75,16 +77,14 @@ def print_pairs(prints: DataFrame, max_distance: int, hot_bucket: int = HOT_BUCK
     """Pairs of different prints within the distance: print_i < print_j, both distances, both sizes."""
     layout = chunk_masks(max_distance)
     side = max_distance + 1
-    keys = [
-        F.struct(
-            F.lit(i * side + j).alias("band"),
-            _chunk(F.col("phash"), *p).alias("kp"),
-            _chunk(F.col("dhash"), *q).alias("kd"),
-        )
-        for i, p in enumerate(layout)
-        for j, q in enumerate(layout)
-    ]
-    banded = prints.select("print_id", "phash", "dhash", "n", F.inline(F.array(*keys)))
+    base = ["print_id", "phash", "dhash", "n"]
+
+    def chunks(name: str) -> Column:
+        return F.array(*[_chunk(F.col(name), *part) for part in layout])
+
+    halves = prints.select(*base, F.posexplode(chunks("phash")).alias("i", "kp"))
+    keyed = halves.select(*base, "i", "kp", F.posexplode(chunks("dhash")).alias("j", "kd"))
+    banded = keyed.select(*base, (F.col("i") * side + F.col("j")).alias("band"), "kp", "kd")
 
     # a crowded bucket is cut into shares: each left row goes to one share, right rows to all
     bucket = ["band", "kp", "kd"]
@@ -150,7 +150,12 @@ def annotate_pairs(
 
     A print has few cells, so the table stays in proportion to the print pairs.
     """
-    cells = cells_of(items)
+    return _annotated(cells_of(items), split_priority, max_distance, hot_bucket)
+
+
+def _annotated(
+    cells: DataFrame, split_priority: Sequence[str], max_distance: int = 4, hot_bucket: int = HOT_BUCKET
+) -> DataFrame:
     prints = prints_of(cells)
     named = cells.join(prints.select("phash", "dhash", "print_id"), ["phash", "dhash"]).drop("phash", "dhash")
     named = named.withColumn("rank", _split_rank(F.col("split"), split_priority))
@@ -204,15 +209,19 @@ def resolve_drops(
     items: DataFrame, split_priority: Sequence[str], max_distance: int = 4, hot_bucket: int = HOT_BUCKET
 ) -> DataFrame:
     """One row per item to drop: its near partner sits in an earlier split. Same-split pairs stay."""
-    cells = _drop_cells(annotate_pairs(items, split_priority, max_distance, hot_bucket))
+    cells = cells_of(items)
+    return _drops(items, cells, _annotated(cells, split_priority, max_distance, hot_bucket))
+
+
+def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame) -> DataFrame:
     kept = items.select(
         F.col("item_id").alias("kept_id"),
         F.col("dataset").alias("duplicate_of_dataset"),
         F.col("split").alias("duplicate_of_split"),
         F.col("rel_path").alias("duplicate_of_rel_path"),
     )
-    prints = prints_of(cells_of(items)).select("phash", "dhash", "print_id")
-    losers = cells.join(kept, "kept_id").join(prints, "print_id").drop("print_id", "kept_id")
+    prints = prints_of(cells).select("phash", "dhash", "print_id")
+    losers = _drop_cells(annotated).join(kept, "kept_id").join(prints, "print_id").drop("print_id", "kept_id")
     return items.join(losers, ["phash", "dhash", "split"]).select(
         "dataset",
         "split",
@@ -241,12 +250,15 @@ def pair_totals(annotated: DataFrame) -> DataFrame:
 
 def dedupe_report(items: DataFrame, split_priority: Sequence[str], max_distance: int = 4) -> DataFrame:
     """Long report (metric, dataset, split, n): pair totals, items hashed, drops, drops per split."""
-    totals = pair_totals(annotate_pairs(items, split_priority, max_distance))
+    cells = cells_of(items)
+    annotated = keep(_annotated(cells, split_priority, max_distance))
+    totals = pair_totals(annotated)
     names = ["pairs_total", "pairs_same_split", "pairs_cross_split", "pairs_with_label_conflict"]
     rows = totals.unpivot([], names, "metric", "n")
-    hashed = items.agg(F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("images_hashed"))
-    drops = resolve_drops(items, split_priority, max_distance).groupBy("dataset", "split")
-    by_split = drops.agg(F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("dropped_by_dataset_split"))
+    hashed = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("metric", F.lit("images_hashed"))
+    sizes = cells.join(prints_of(cells).select("phash", "dhash", "print_id"), ["phash", "dhash"])
+    drops = sizes.join(_drop_cells(annotated).select("print_id", "split"), ["print_id", "split"])
+    by_split = drops.groupBy("dataset", "split").agg(F.sum("n").alias("n")).withColumn("metric", F.lit("dropped_by_dataset_split"))
     dropped = by_split.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("metric", F.lit("dropped_images"))
     plain = rows.unionByName(hashed).unionByName(dropped)
     nothing = F.lit(None).cast("string")
@@ -259,12 +271,13 @@ def borderline_pairs(items: DataFrame, split_priority: Sequence[str], max_distan
 
     The k best cells hold the k best pairs, and inside a cell only its k smallest ids can matter.
     """
-    cross = annotate_pairs(items, split_priority, max_distance).filter("cross_split")
+    folded = cells_of(items)
+    cross = _annotated(folded, split_priority, max_distance).filter("cross_split")
     first, second = F.least("first_id_i", "first_id_j"), F.greatest("first_id_i", "first_id_j")
     farthest = [F.col("phash_dist").desc(), F.col("dhash_dist").desc()]
     cells = cross.orderBy(*farthest, first, second).limit(k)
 
-    prints = prints_of(cells_of(items)).select("phash", "dhash", "print_id")
+    prints = prints_of(folded).select("phash", "dhash", "print_id")
     ids = items.join(prints, ["phash", "dhash"]).select("print_id", *CELL, "item_id")
     few = first_per_group(ids, ["print_id", *CELL], ["item_id"], k)
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.caching import keep
 from corpusgauge.functions.decision import logit_nll
 from corpusgauge.operators.ordering import running_totals, with_value_blocks
 
@@ -77,7 +78,7 @@ def curve(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     `tp`/`fp` are the rows at or above the score, `pos_total`/`neg_total` the group's classes.
     """
-    turned = with_value_blocks(counts.withColumn("_down", -F.col("score")), {"_down": "_at"})
+    turned = with_value_blocks(keep(counts).withColumn("_down", -F.col("score")), {"_down": "_at"})
     sums = {"pos": F.col("pos"), "neg": F.col("neg")}
     done = running_totals(turned, keys, ["_down"], sums, F.col("_at")).drop("_down", "_at")
     return done.withColumns({"tp": F.col("pos_before") + F.col("pos"), "fp": F.col("neg_before") + F.col("neg")})

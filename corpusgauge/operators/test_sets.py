@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.caching import keep
+
 ID_DATASET = "140k"
 CROSS_DATASET = "crossgen"
 OWN_DATASET = "own"
@@ -49,12 +51,12 @@ def build_test_sets(df: DataFrame) -> DataFrame:
 
     Works on raw predictions and, far cheaper, on `compact_scores`.
     """
-    kinds = df.select(*MEMBER_COLUMNS).distinct()
+    kinds = keep(df.select(*MEMBER_COLUMNS).distinct())
     labels = kinds.select("label", F.explode(_memberships(kinds)).alias("test_set")).groupBy("test_set")
     complete = labels.agg(F.countDistinct("label").alias("n")).filter(F.col("n") == 2)
-    keep = complete.agg(F.collect_set("test_set")).scalar()
+    usable = complete.agg(F.collect_set("test_set")).scalar()
     members = df.select("*", F.explode(_memberships(kinds)).alias("test_set"))
-    return members.withColumn("_keep", keep).filter(F.array_contains("_keep", F.col("test_set"))).drop("_keep")
+    return members.withColumn("_keep", usable).filter(F.array_contains("_keep", F.col("test_set"))).drop("_keep")
 
 
 def per_source_rates(df: DataFrame, threshold: float, keys: Sequence[str] = ("test_set",), n: str = "n") -> DataFrame:

@@ -616,7 +616,7 @@ oracle(
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hx(42, 'rel_path')}, rel_path) <= round_even(0.3::DOUBLE * count(*) OVER (PARTITION BY label), 0)""",
     "predictions",
 )
-oracle("rank_detections", f"SELECT image_id, k::INTEGER AS face_rank, {rd('score', 4)} AS score FROM ({_ORDERED}) WHERE k <= 10", "detections")
+oracle("rank_detections", f"SELECT image_id, k::INTEGER AS face_rank, score FROM ({_ORDERED}) WHERE k <= 10", "detections")
 oracle(
     "top_face",
     f"""SELECT image_id, least(n, 10) AS num_faces, {rd('score', 4)} AS score, {rd('x1', 4)} AS x1, {rd('y1', 4)} AS y1

@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgauge.caching import keep
 from corpusgauge.functions import decision, formats, geometry, hashing
 from corpusgauge.operators import (
     audit,
@@ -63,7 +64,7 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame
 
 def set_counts(spark: SparkSession, sf: str, extra: Sequence[str] = ()) -> DataFrame:
     """Score counts per test set, folded before the sets are built."""
-    folded = test_sets.build_test_sets(test_sets.compact_scores(v.scored(spark, sf), extra=extra))
+    folded = test_sets.build_test_sets(keep(test_sets.compact_scores(v.scored(spark, sf), extra=extra)))
     return metrics.score_counts(folded, [*extra, "test_set"], n=F.col("n"))
 
 
@@ -603,7 +604,7 @@ def sample_fraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rank_detections(spark: SparkSession, sf: str) -> DataFrame:
     ranked = detections.rank_detections(v.detections(spark, sf), ties=("pos", "x1", "y1", "x2", "y2"))
-    return rounded(ranked, ["score"], 4).select("image_id", "face_rank", "score")
+    return ranked.select("image_id", "face_rank", "score")
 
 
 @query

@@ -109,8 +109,8 @@ SELECT image_id, pos, x1, y1, x1 + 10.0::DOUBLE + l_tax * 1000.0::DOUBLE AS x2,
   image_width, image_height, least(1.0::DOUBLE, 1024.0::DOUBLE / greatest(image_width, image_height)) AS scale
 FROM (SELECT l_orderkey AS image_id, l_linenumber AS pos, l_quantity * 4.0::DOUBLE AS x1,
     l_linenumber * 20.0::DOUBLE AS y1, l_tax, l_discount,
-    (200 + {h(20, 'l_orderkey', 1800)})::INTEGER AS image_width,
-    (200 + {h(21, 'l_orderkey', 1800)})::INTEGER AS image_height FROM lineitem)
+    (200 + l_orderkey * 7919 % 1800)::INTEGER AS image_width,
+    (200 + l_orderkey * 104729 % 1800)::INTEGER AS image_height FROM lineitem)
 """
 VIEWS["history"] = f"""
 SELECT event_id AS id, user_id, ts AS created_at, 1 + {h(15, 'event_id', 3)} AS num_faces,
@@ -170,7 +170,7 @@ SELECT (row_number() OVER () - 1)::INTEGER AS step, family, level FROM (VALUES
 """
 VIEWS["perturbed"] = f"""
 SELECT p.* EXCLUDE (logit, l2), l2 AS logit, {sigmoid(f'l2 / {TEMPERATURE}::DOUBLE')} AS prob
-FROM (SELECT *, (tenths + ({h(60, "(item_id || ':' || step)", 21)} - 10) * step) / 10.0::DOUBLE AS l2
+FROM (SELECT *, (tenths + ((item_id * 31 + step * 17) % 21 - 10) * step) / 10.0::DOUBLE AS l2
   FROM predictions, grid WHERE split IN ('test', 'crossgen')) p
 """
 VIEWS["model_summary"] = """

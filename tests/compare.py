@@ -55,6 +55,7 @@ def difference(spark, sf_dir: str, query, sql: str) -> str | None:
 
 def main() -> None:
     from __spark_entry__ import oracle_sql, queries
+    from corpusgauge.caching import release
     from corpusgauge.session import local_session
 
     sf_dir = sys.argv[1]
@@ -75,6 +76,7 @@ def main() -> None:
                 diff = None if n else "no rows"
         except Exception as exc:  # report and go on
             diff = f"{type(exc).__name__}: {str(exc)[:700]}"
+        release()
         mark = "ok  " if diff is None else "FAIL"
         if diff:
             failed.append(name)
