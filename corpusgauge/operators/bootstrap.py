@@ -53,7 +53,10 @@ def _prepared(counts: DataFrame, keys: Sequence[str], n_boot: int) -> tuple[Data
 
 
 def _weights(pdf: pd.DataFrame, totals: dict[str, list], n_boot: int, seed: int) -> Iterator[tuple]:
-    """(replicate, positive draws, negative draws) over the rows of one (group, block, part)."""
+    """(replicate, positive draws, negative draws) over the rows of one (group, block, part).
+
+    `pdf` must be in score order: draws go to rows by position.
+    """
     group, block, part = pdf["_group"].iat[0], int(pdf["_block"].iat[0]), int(pdf["_part"].iat[0])
     listed = totals[group]
     at = [b for b, _, _ in listed].index(block)
@@ -77,6 +80,7 @@ def replicate_weights(counts: DataFrame, keys: Sequence[str], n_boot: int = 1000
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "score double", "replicate int", "pos bigint", "neg bigint"])
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score")
         out = [
             pdf[[*keys, "score"]].assign(replicate=np.int32(r), pos=p, neg=n)[(p > 0) | (n > 0)]
             for r, p, n in _weights(pdf, totals, n_boot, seed)
