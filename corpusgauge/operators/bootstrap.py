@@ -9,6 +9,7 @@ what leaves a task is one row of partial sums per replicate, never a resampled t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.ordering import with_value_blocks
+from corpusgauge.caching import keep
+from corpusgauge.operators.ordering import ranked, with_value_blocks
 
 SCORES_PER_BLOCK = 20_000
 REPLICATES_PER_TASK = 125
@@ -40,10 +42,17 @@ def _draw(seed: int, group: str, block: int, replicate: int, cls: int, n: int, c
 
 def _prepared(counts: DataFrame, keys: Sequence[str], n_boot: int) -> tuple[DataFrame, dict[str, list]]:
     """Scores with `_group`, `_block` and `_part` (a share of the replicates), and block totals by group."""
-    n_scores = counts.count()
-    blocks = max(1, -(-n_scores // SCORES_PER_BLOCK))
-    named = counts.withColumn("_group", F.concat_ws("|", F.lit(""), *[F.col(k).cast("string") for k in keys]))
-    placed = with_value_blocks(named, {"score": "_block"}, blocks).persist()
+    group = F.concat_ws("|", F.lit(""), *[F.col(k).cast("string") for k in keys])
+    named = keep(counts.withColumn("_group", group))
+    n_scores = named.count()
+    size = max(SCORES_PER_BLOCK, 30 * math.isqrt(n_scores))
+    if n_scores <= size:
+        placed = named.withColumn("_block", F.lit(0))
+    else:
+        # exact ranks, so that a block is the same set of scores in every run
+        turned = with_value_blocks(named, {"score": "_at"})
+        in_order = ranked(turned, ["_group"], ["score"], F.col("_at"))
+        placed = keep(in_order.withColumn("_block", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank", "rank_total", "_at"))
     sums = placed.groupBy("_group", "_block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals: dict[str, list] = {}
     for r in sums.orderBy("_group", "_block").collect():  # one row per (group, block)

@@ -186,6 +186,7 @@ def test_bootstrap_contains_estimate_and_narrows(spark):
 def test_bootstrap_replicates_agree_with_their_weights(spark, monkeypatch):
     """Also across several score blocks: the metric of the drawn table is the replicate's metric."""
     monkeypatch.setattr(bootstrap, "SCORES_PER_BLOCK", 40)
+    monkeypatch.setattr(bootstrap.math, "isqrt", lambda n: 1)
     pdf = pd.concat([sample(300, 1, ties=False).assign(g="a"), sample(300, 2, ties=False).assign(g="b")])
     counts = metrics.score_counts(spark.createDataFrame(pdf), ["g"])
     drawn = bootstrap.replicate_weights(counts, ["g"], 6).toPandas()
