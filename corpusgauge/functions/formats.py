@@ -50,12 +50,21 @@ def quality_means() -> list[float]:
 
 
 def jpeg_quality_estimate(quant: Column) -> Column:
-    """Quality whose table mean is closest, the lowest on a tie; null without a table."""
+    """Quality whose table mean is closest, the lowest on a tie; null without a table.
+
+    Means fall as quality rises, so the answer is how many midpoints between neighbours lie above.
+    """
     total = F.aggregate(quant, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
     mean = total / F.size(quant)
-    means = F.array(*[F.lit(m) for m in quality_means()])
-    ranked = F.transform(means, lambda m, i: F.struct(F.abs(m - mean).alias("gap"), (i + 1).alias("quality")))
-    return F.when(F.size(quant) > 0, F.array_min(ranked)["quality"])
+    first: dict[float, int] = {}
+    for q, m in enumerate(quality_means(), 1):
+        first.setdefault(m, q)
+    levels = list(first)
+    middles = F.array(*[F.lit((a + b) / 2) for a, b in zip(levels, levels[1:], strict=False)])
+    qualities = F.array(*[F.lit(q) for q in first.values()])
+    # a one-element transform binds the mean once, instead of once per midpoint
+    above = F.transform(F.array(mean), lambda mu: F.size(F.filter(middles, lambda e: e > mu)))[0]
+    return F.when(F.size(quant) > 0, F.element_at(qualities, above + 1))
 
 
 def flag(value: Column) -> Column:

@@ -91,9 +91,13 @@ def clipped_histogram(df: DataFrame, group: Sequence[str], columns: Sequence[str
 def degenerate_filter(df: DataFrame, pixels: str, min_std: float = 3.0) -> DataFrame:
     """Items whose grey values (an array column) barely vary, or are not finite."""
     values = F.transform(pixels, lambda v: v.cast("double"))
-    n = F.size(values)
+    n = F.size(pixels)
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    std = F.sqrt(var)
-    finite = ~F.isnan(std) & (std < float("inf"))
-    return df.withColumn("grey_std", std).filter(~F.coalesce(finite, F.lit(False)) | (std < min_std))
+
+    def spread(mu: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu)) / n
+
+    # a one-element transform binds the mean once, instead of once per pixel
+    std = F.sqrt(F.transform(F.array(mean), spread)[0])
+    finite = ~F.isnan("grey_std") & (F.col("grey_std") < float("inf"))
+    return df.withColumn("grey_std", std).filter(~F.coalesce(finite, F.lit(False)) | (F.col("grey_std") < min_std))

@@ -619,7 +619,7 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hx(42, 'rel_path')}, rel
 oracle("rank_detections", f"SELECT image_id, k::INTEGER AS face_rank, score FROM ({_ORDERED}) WHERE k <= 10", "detections")
 oracle(
     "top_face",
-    f"""SELECT image_id, least(n, 10) AS num_faces, {rd('score', 4)} AS score, {rd('x1', 4)} AS x1, {rd('y1', 4)} AS y1
+    f"""SELECT image_id, least(n, 10) AS num_faces, score, x1, y1
 FROM ({_ORDERED}) WHERE k = 1""",
     "detections",
 )
@@ -751,3 +751,61 @@ oracle(
 FROM (SELECT *, created_at < TIMESTAMP '2024-01-15' AND image_path IS NOT NULL AS old FROM history)""",
     "history",
 )
+
+# --- fits: the root of the slope of the mean loss in b = 1/T, narrowed on a grid of 200 points, five times
+
+
+def _narrowed(source: str, keys: str) -> str:
+    """CTEs ending in `fit`: (keys, t) for rows (keys, label, logit) of `source`."""
+    by = f"{keys}," if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    ctes = [
+        f"hist AS MATERIALIZED (SELECT {by} logit AS z, count(*)::DOUBLE AS n, count(*) FILTER (label = 'fake')::DOUBLE AS pos FROM {source} GROUP BY {by} logit)",
+        f"r0 AS (SELECT {by} exp(-3.0::DOUBLE) AS lo, exp(3.0::DOUBLE) AS hi FROM hist {group or 'LIMIT 1'})",
+    ]
+    using = f"USING ({keys})" if keys else "ON true"
+    for i in range(5):
+        ctes.append(
+            f"""r{i + 1} AS (SELECT {by} max(b) FILTER (slope <= 0) AS lo, min(b) FILTER (slope > 0) AS hi FROM (
+  SELECT {by} b, sum(z * (n / (1 + exp(-greatest(least(z * b, 50), -50))) - pos)) AS slope
+  FROM hist JOIN (SELECT {by} unnest(list_transform(range(201), lambda k: lo + (hi - lo) * k / 200.0::DOUBLE)) AS b FROM r{i}) {using}
+  GROUP BY {by} b) {group})"""
+        )
+    ctes.append(f"fit AS (SELECT {by} 2 / (lo + hi) AS t FROM r5)")
+    return ",\n".join(ctes)
+
+
+_PRED = f"predictions AS ({VIEWS['predictions'].strip()})"
+ORACLES["fit_temperature"] = f"""WITH {_PRED},
+{_narrowed('predictions', '')}
+SELECT 'temperature' AS name, round(t, 6) AS value FROM fit"""
+ORACLES["temperature_per_split"] = f"""WITH {_PRED},
+{_narrowed('predictions', 'dataset')}
+SELECT dataset AS name, round(t, 5) AS value FROM fit"""
+_CALIBRATED = f"""WITH {_PRED},
+calib AS MATERIALIZED (SELECT * FROM predictions WHERE dataset = '140k' AND split = 'val_calib'),
+{_narrowed('calib', '')},
+src AS MATERIALIZED (SELECT label, logit, 1 AS one, {sigmoid('logit / t')} AS prob, {sigmoid('logit')} AS raw, t FROM calib, fit),
+cut AS (SELECT nextafter(prob, 'inf'::DOUBLE) AS thr FROM (SELECT prob, row_number() OVER (ORDER BY prob DESC) - 1 AS k, count(*) OVER () AS n
+  FROM src WHERE label = 'real') WHERE k = floor(0.05::DOUBLE * n)),
+pts AS ({points('one')}),
+widths AS (SELECT d, avg((abs(prob - thr) < d)::INTEGER) AS abstention,
+    sum((abs(prob - thr) < d AND (prob >= thr) <> (label = 'fake'))::INTEGER)::DOUBLE / sum(((prob >= thr) <> (label = 'fake'))::INTEGER) AS capture
+  FROM src, cut, (SELECT unnest(range(51)) / 100.0::DOUBLE AS d) GROUP BY d),
+allowed AS (SELECT *, CASE WHEN capture >= 0.5 THEN d ELSE 10 - d END AS place FROM widths WHERE abstention <= 0.15)
+SELECT name, round(value::DOUBLE, 6) AS value FROM (
+  SELECT 'temperature' AS name, t AS value FROM fit
+  UNION ALL SELECT 'threshold', thr FROM cut
+  UNION ALL SELECT 'target_fpr', 0.05
+  UNION ALL SELECT 'achieved_fpr', avg((prob >= thr)::INTEGER) FROM src, cut WHERE label = 'real'
+  UNION ALL SELECT 'achieved_tpr', avg((prob >= thr)::INTEGER) FROM src, cut WHERE label = 'fake'
+  UNION ALL SELECT 'youden_threshold', arg_max(prob, tp::DOUBLE / p - fp::DOUBLE / n) FROM pts
+  UNION ALL SELECT 'uncertainty_delta', arg_min(d, place) FROM allowed
+  UNION ALL SELECT 'abstention_rate', arg_min(abstention, place) FROM allowed
+  UNION ALL SELECT 'errors_captured', arg_min(capture, place) FROM allowed
+  UNION ALL SELECT 'ece_before', ece FROM ({_ece('one').replace('prob', 'raw')})
+  UNION ALL SELECT 'ece_after', ece FROM ({_ece('one')})
+  UNION ALL SELECT 'nll_before', avg(greatest(logit, 0) - logit * (label = 'fake')::INTEGER + ln(1 + exp(-abs(logit)))) FROM src
+  UNION ALL SELECT 'nll_after', avg(greatest(logit / t, 0) - logit / t * (label = 'fake')::INTEGER + ln(1 + exp(-abs(logit / t)))) FROM src
+  UNION ALL SELECT 'n', count(*) FROM src)"""
+ORACLES["calibrate"] = _CALIBRATED

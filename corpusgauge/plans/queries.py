@@ -334,7 +334,7 @@ def exclude_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def resume_todo(spark: SparkSession, sf: str) -> DataFrame:
-    done = tables.parse_progress(v.progress_log(spark, sf))
+    done = keep(tables.parse_progress(v.progress_log(spark, sf)))
     there = done.filter(hashing.stable_mod(F.col("processed_rel_path"), 31, 4) > 0)
     drops = v.ledger(spark, sf).filter(F.col("status") == "duplicate_dropped")
     todo = ledger.resume_todo(v.manifest(spark, sf), done, there, drops)
@@ -610,7 +610,7 @@ def rank_detections(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def top_face(spark: SparkSession, sf: str) -> DataFrame:
     best = detections.top_face(v.detections(spark, sf), ties=("pos", "x1", "y1", "x2", "y2"))
-    return rounded(best, ["score", "x1", "y1"], 4).select("image_id", "num_faces", "score", "x1", "y1")
+    return best.select("image_id", "num_faces", "score", "x1", "y1")
 
 
 @query
@@ -730,6 +730,16 @@ def audit_compare(spark: SparkSession, sf: str) -> DataFrame:
     return classifiers.audit_compare(meta, sets, "rel_path", folds=2, rounds=3, importance=False)
 
 
+@query
+def temperature_per_split(spark: SparkSession, sf: str) -> DataFrame:
+    """One fit per dataset, each on its own rows."""
+    found = {}
+    for name in ("140k", "crossgen", "own"):
+        rows = v.predictions(spark, sf).filter(F.col("dataset") == name)
+        found[name] = round(calibration.fit_temperature(metrics.score_counts(rows, [], "logit")), 5)
+    return _one_row(spark, found)
+
+
 @query
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     fitted = classifiers.linear_probe(v.probe_rows(spark, sf), (0.01, 1.0))

@@ -336,8 +336,15 @@ def quant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = (1 + stable_mod(key, 50, 100)).cast("int")
     percent = F.when(q < 50, F.floor(F.lit(5000) / q)).otherwise(200 - 2 * q).cast("int")
     base = F.array(*[F.lit(v) for v in STANDARD_LUMA_TABLE])
-    scaled = F.transform(base, lambda v: F.least(F.lit(255), F.greatest(F.lit(1), F.floor((v * percent + 50) / 100).cast("int"))))
-    bumped = F.transform(scaled, lambda v, i: F.when(i == 0, v + stable_mod(key, 51, 40).cast("int")).otherwise(v))
+
+    def scaled(p: Column) -> Column:
+        return F.transform(base, lambda v: F.least(F.lit(255), F.greatest(F.lit(1), F.floor((v * p + 50) / 100).cast("int"))))
+
+    # a one-element transform binds the hashed percent once per row
+    table_at = F.transform(F.array(percent), scaled)[0]
+    bumped = F.transform(
+        F.array(table_at), lambda t: F.concat(F.array(F.get(t, F.lit(0)) + stable_mod(key, 51, 40).cast("int")), F.slice(t, 2, 63))
+    )[0]
     return table(spark, sf_dir, "part").select(
         key.alias("item_id"), F.when(stable_mod(key, 52, 10) > 0, bumped).alias("quant")
     )
