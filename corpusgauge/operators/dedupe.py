@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.caching import keep
+from corpusgauge.operators.joins import HOT_ROWS, lookup_join
 from corpusgauge.operators.ordering import first_per_group
 
 HASH_BITS = 64
@@ -133,8 +134,13 @@ def near_duplicate_pairs(items: DataFrame, max_distance: int = 4, hot_bucket: in
 
 def print_members(items: DataFrame) -> DataFrame:
     """Which print an item belongs to: with the print pairs, this is the whole item-level pair list."""
-    prints = prints_of(cells_of(items)).select("phash", "dhash", "print_id")
-    return items.join(prints, ["phash", "dhash"]).select("item_id", "print_id")
+    prints = prints_of(cells_of(items))
+    return _with_print(items, prints).select("item_id", "print_id")
+
+
+def _with_print(items: DataFrame, prints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    key = ["phash", "dhash"]
+    return lookup_join(items, prints.select(*key, "print_id"), key, prints, hot_rows)
 
 
 def _split_rank(split: Column, priority: Sequence[str]) -> Column:
@@ -213,7 +219,7 @@ def resolve_drops(
     return _drops(items, cells, _annotated(cells, split_priority, max_distance, hot_bucket))
 
 
-def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame) -> DataFrame:
+def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     kept = items.select(
         F.col("item_id").alias("kept_id"),
         F.col("dataset").alias("duplicate_of_dataset"),
@@ -222,7 +228,9 @@ def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame) -> DataFram
     )
     prints = prints_of(cells).select("phash", "dhash", "print_id")
     losers = _drop_cells(annotated).join(kept, "kept_id").join(prints, "print_id").drop("print_id", "kept_id")
-    return items.join(losers, ["phash", "dhash", "split"]).select(
+    key = ["phash", "dhash", "split"]
+    sizes = cells.groupBy(*key).agg(F.sum("n").alias("n"))
+    return lookup_join(items, losers, key, sizes, hot_rows).select(
         "dataset",
         "split",
         "rel_path",
@@ -277,9 +285,9 @@ def borderline_pairs(items: DataFrame, split_priority: Sequence[str], max_distan
     farthest = [F.col("phash_dist").desc(), F.col("dhash_dist").desc()]
     cells = cross.orderBy(*farthest, first, second).limit(k)
 
-    prints = prints_of(folded).select("phash", "dhash", "print_id")
-    ids = items.join(prints, ["phash", "dhash"]).select("print_id", *CELL, "item_id")
-    few = first_per_group(ids, ["print_id", *CELL], ["item_id"], k)
+    # the k smallest ids per cell before the print is looked up: copies are gone by then
+    few = first_per_group(items.select("phash", "dhash", *CELL, "item_id"), ["phash", "dhash", *CELL], ["item_id"], k)
+    few = few.join(prints_of(folded).select("phash", "dhash", "print_id"), ["phash", "dhash"])
 
     def side(tag: str) -> DataFrame:
         return few.select(*[F.col(c).alias(f"{c}_{tag}") for c in (*CELL,)], F.col("print_id").alias(f"print_{tag}"), F.col("item_id").alias(f"id_{tag}"))

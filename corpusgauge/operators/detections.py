@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.ordering import first_per_group
-
 
 def usable_detections(df: DataFrame, prob_threshold: float = 0.9, min_face: float = 40.0) -> DataFrame:
     """Sure enough and large enough boxes, rescaled to the original image's pixels, with a score."""
@@ -28,11 +26,12 @@ def rank_detections(
 
 
 def top_face(df: DataFrame, image: Sequence[str] = ("image_id",), ties: Sequence[str] = ("pos",), **limits: float) -> DataFrame:
-    """The best box of an image and how many usable ones it has, at most 10."""
+    """The best box of an image and how many usable ones it has, at most 10. One partial aggregation."""
     usable = usable_detections(df, **limits)
-    best = first_per_group(usable, image, [F.col("score").desc(), *ties])
-    counted = usable.groupBy(*image).agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("num_faces"))
-    return best.join(counted, list(image))
+    rest = [c for c in usable.columns if c not in (*image, *ties, "score")]
+    order = F.struct((-F.col("score")).alias("_below"), *ties, *rest)
+    folded = usable.groupBy(*image).agg(F.min(order).alias("_best"), F.least(F.count(F.lit(1)), F.lit(10)).alias("num_faces"))
+    return folded.select(*image, (-F.col("_best._below")).alias("score"), *[f"_best.{c}" for c in (*ties, *rest)], "num_faces")
 
 
 def result_faces(ranked: DataFrame, image: Sequence[str] = ("image_id",)) -> DataFrame:

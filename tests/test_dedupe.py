@@ -87,6 +87,17 @@ def test_totals_and_drops_equal_brute_force(spark):
     assert [(r["id_i"], r["id_j"]) for r in border] == [(w[0]["item_id"], w[1]["item_id"]) for w in far]
 
 
+def test_hot_prints_are_joined_in_place(spark):
+    _, df = make(spark, planted())
+    cells = dedupe.cells_of(df)
+    annotated = dedupe.annotate_pairs(df, SPLITS)
+    plain, hot = (sorted(map(str, dedupe._drops(df, cells, annotated, n).collect())) for n in (10**6, 3))
+    assert plain == hot and plain
+    prints = dedupe.prints_of(cells)
+    plain, hot = (sorted(map(str, dedupe._with_print(df, prints, n).collect())) for n in (10**6, 3))
+    assert plain == hot and len(hot) == df.count()
+
+
 def test_report_agrees_with_drops(spark):
     _, df = make(spark, planted())
     report = {(r["metric"], r["split"]): r["n"] for r in dedupe.dedupe_report(df, SPLITS).collect()}
