@@ -15,9 +15,13 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], sizes: Da
 
     `sizes` (keys, n) counts the rows of `big` per key. Keys above `hot_rows` are at most
     rows / hot_rows many, which bounds what is broadcast: their rows of `big` are joined where they
-    are. Everything else is joined by shuffle, without the crowded keys in it.
+    are. Everything else is joined by shuffle, without the crowded keys in it. Without any crowded
+    key this is a plain join (one small job on `sizes` finds out).
     """
-    hot = F.broadcast(sizes.filter(F.col("n") > hot_rows).select(*keys))
+    crowded = sizes.filter(F.col("n") > hot_rows).select(*keys)
+    if crowded.isEmpty():
+        return big.join(small, list(keys))
+    hot = F.broadcast(crowded)
     in_place = big.join(F.broadcast(small.join(hot, list(keys), "left_semi")), list(keys))
     shuffled = big.join(hot, list(keys), "left_anti").join(small, list(keys))
     return in_place.unionByName(shuffled)
