@@ -25,17 +25,21 @@ def fit_temperature(logit_counts: DataFrame, tolerance: float = 1e-9, max_rounds
     Each round is one aggregation to a single row; `logit_counts` are score counts over logits.
     """
     low, high, b = math.exp(-LOG_T_BOUND), math.exp(LOG_T_BOUND), 1.0
+    z, n = F.col("score"), F.col("pos") + F.col("neg")
+
+    def slope(at: float) -> Column:
+        return F.sum(z * (n * sigmoid(z * at) - F.col("pos")))
+
     counts = logit_counts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        ends = counts.agg(slope(low).alias("low"), slope(high).alias("high")).first()
+        if ends["low"] is None:
+            raise ValueError("no rows to fit a temperature on")
+        if ends["low"] >= 0 or ends["high"] <= 0:  # the minimum lies at a bound
+            return 1.0 / (low if ends["low"] >= 0 else high)
         for _ in range(max_rounds):
-            z = F.col("score")
             p = sigmoid(z * b)
-            n = F.col("pos") + F.col("neg")
-            row = counts.agg(
-                F.sum(z * (n * p - F.col("pos"))).alias("slope"), F.sum(n * z * z * p * (1.0 - p)).alias("bend")
-            ).first()
-            if row["slope"] is None:
-                raise ValueError("no rows to fit a temperature on")
+            row = counts.agg(slope(b).alias("slope"), F.sum(n * z * z * p * (1.0 - p)).alias("bend")).first()
             if row["slope"] > 0:
                 high = b
             else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusgauge.operators.ordering import running_max, running_totals, with_value_blocks
 
 RESULT_SCHEMA = "event_id bigint, key string, accepted boolean, retry_after int"
+_LONG = 64
 
 
 class Window:
@@ -31,6 +33,24 @@ class Window:
         left = (self.window_us - (now - self.hits[0])) / 1e6
         return max(1, int(left) + 1)
 
+    def offer_many(self, times: np.ndarray) -> np.ndarray:
+        """`offer` for sorted times; a full window's rejections are found by search, not one by one."""
+        if len(times) < _LONG:
+            return np.array([self.offer(int(t)) for t in times], dtype=np.int64)
+        waits = np.zeros(len(times), dtype=np.int64)
+        i = 0
+        while i < len(times):
+            waits[i] = self.offer(int(times[i]))
+            i += 1
+            if len(self.hits) == self.limit:
+                oldest = self.hits[0]
+                free = int(np.searchsorted(times, oldest + self.window_us))
+                if free > i:
+                    left = self.window_us - (times[i:free] - oldest)
+                    waits[i:free] = np.maximum(1, left // 1_000_000 + 1)
+                    i = free
+        return waits
+
 
 def idle_sessions(requests: DataFrame, window_seconds: int) -> DataFrame:
     """Add `session`: a pause of a whole window empties a key's state, so what follows is independent."""
@@ -49,20 +69,25 @@ def sliding_rate_limit(requests: DataFrame, limit: int, window_seconds: int) ->
     """Decide every request (event_id, key, ts): accepted, or seconds to wait.
 
     Decisions depend on earlier decisions, so a busy stretch of one key is sequential by nature.
-    Keys are cut at pauses into independent sessions; tasks walk sorted sessions batch by batch and
-    hold no more than `limit` times.
+    Keys are cut at pauses into independent sessions; tasks walk sorted sessions batch by batch,
+    hold no more than `limit` times, and jump over the rejections of a full window.
     """
     window_us = window_seconds * 1_000_000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, Window(limit, window_us)
         for pdf in batches:
+            if pdf.empty:
+                continue
+            keys, sessions, times = pdf["key"].to_numpy(), pdf["session"].to_numpy(), pdf["at"].to_numpy()
+            turns = (keys[1:] != keys[:-1]) | (sessions[1:] != sessions[:-1])
+            starts = [0, *(np.flatnonzero(turns) + 1), len(pdf)]
             waits = []
-            for key, session, at in zip(pdf["key"], pdf["session"], pdf["at"], strict=True):
-                if (key, session) != current:
-                    current, state = (key, session), Window(limit, window_us)
-                waits.append(state.offer(at))
-            wait = pd.Series(waits, index=pdf.index, dtype="int64")
+            for a, b in zip(starts, starts[1:], strict=False):
+                if (keys[a], sessions[a]) != current:
+                    current, state = (keys[a], sessions[a]), Window(limit, window_us)
+                waits.append(state.offer_many(times[a:b]))
+            wait = pd.Series(np.concatenate(waits), index=pdf.index)
             yield pd.DataFrame(
                 {
                     "event_id": pdf["event_id"],

@@ -16,7 +16,8 @@ def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: st
     """Decide requests (event_id, key, ts) as they arrive; within a micro-batch in time order.
 
     State is the accepted times, at most `limit` per key, and goes away once a key has been idle for
-    the window (event time, with the watermark delay).
+    the window (event time, with the watermark delay). A key's rows of one micro-batch are sorted
+    together: bound the batch at the source (maxFilesPerTrigger, maxBytesPerTrigger).
     """
     window_us = window_seconds * 1_000_000
 
@@ -26,7 +27,7 @@ def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: st
             return
         window = Window(limit, window_us, list(state.get[0]) if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        waits = [window.offer(int(at)) for at in rows["at"]]
+        waits = window.offer_many(rows["at"].to_numpy())
         state.update((list(window.hits),))
         last_ms = int(rows["at"].iloc[-1]) // 1000
         state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + window_seconds * 1000 + 1)
@@ -34,8 +35,8 @@ def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: st
             {
                 "event_id": rows["event_id"].to_numpy(),
                 "key": key[0],
-                "accepted": [w == 0 for w in waits],
-                "retry_after": pd.array([w or None for w in waits], dtype="Int32"),
+                "accepted": waits == 0,
+                "retry_after": pd.Series(waits).where(waits > 0).astype("Int32").to_numpy(dtype=object, na_value=None),
             }
         )
 

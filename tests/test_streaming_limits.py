@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgauge.operators.history import expire_images, history_page, purge_count
-from corpusgauge.operators.limits import sliding_rate_limit
+from corpusgauge.operators.limits import Window, sliding_rate_limit
 from corpusgauge.streaming.limits import limit_stream
 from corpusgauge.streaming.progress import read_ledger, stream_progress
 
@@ -89,3 +89,12 @@ def test_history(spark):
     expired = expire_images(df, "2024-01-05")
     assert expired.count() == 10 and purge_count(expired).first()["purged"] == 3
     assert expired.filter("image_path is null").count() == 4
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5])
+def test_jumping_over_rejections_changes_nothing(limit):
+    rng = np.random.default_rng(limit)
+    times = np.sort(rng.integers(0, 60_000_000, 3000)).astype(np.int64)
+    one, many = Window(limit, 1_500_000), Window(limit, 1_500_000)
+    got = np.concatenate([many.offer_many(part) for part in np.array_split(times, 7)])
+    assert list(got) == [one.offer(int(t)) for t in times] and list(one.hits) == list(many.hits)
