@@ -388,6 +388,24 @@ LEFT JOIN (SELECT label, least(floor((least(greatest({c}, lo), hi) - lo) / (hi -
         for c in ("width", "file_size_kb")
     ),
 )
+def _byte(k: str) -> str:
+    return f"CASE WHEN {k} < n THEN ('0x' || substr(hx, 2 * ({k}) + 1, 2))::INTEGER ELSE 0 END"
+
+
+_COLOURS = ", ".join(
+    [f"{rd(f'avg({c}) / 255')} AS mean_{c}" for c in "rgb"] + [f"{rd(f'stddev_pop({c}) / 255')} AS std_{c}" for c in "rgb"]
+)
+oracle(
+    "image_pixels",
+    f"""SELECT item_id, any_value(height) AS height, 32 AS width, {_COLOURS},
+  {rd('avg(CASE WHEN greatest(r, g, b) > 0 THEN 255 * (greatest(r, g, b) - least(r, g, b)) // greatest(r, g, b) ELSE 0 END) / 255')} AS mean_saturation,
+  {rd('avg(greatest(r, g, b)) / 255')} AS mean_brightness
+FROM (SELECT item_id, height, {_byte('3 * p')} AS b, {_byte('3 * p + 1')} AS g, {_byte('3 * p + 2')} AS r
+  FROM (SELECT page_id AS item_id, hex(encode(html)) AS hx, octet_length(encode(html)) AS n,
+      ceil(octet_length(encode(html)) / 96.0)::INTEGER AS height,
+      unnest(range(32 * ceil(octet_length(encode(html)) / 96.0)::INTEGER)) AS p FROM pages))
+GROUP BY item_id""",
+)
 oracle(
     "spectrum_counts",
     f"""SELECT {pick(h(41, 'page_id', 3), ['ffhq', 'sdxl', 'flux'])} AS source,

@@ -435,6 +435,15 @@ def pixel_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pixels.pixel_stats(v.page_images(spark, sf), ["item_id"]), pixels.PIXEL_FEATURES)
 
 
+@query
+def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Shape and colour of each decoded picture (the part of the pixel features SQL can follow)."""
+    images = v.page_images(spark, sf).select("item_id", "image.height", "image.width", "image")
+    stats = pixels.pixel_stats(images, ["item_id", "height", "width"])
+    colour = [c for c in pixels.PIXEL_FEATURES if c not in ("laplacian_var", "hf_energy_ratio")]
+    return rounded(stats.select("item_id", "height", "width", *colour), colour)
+
+
 @query
 def mean_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pixels.mean_spectrum(v.page_images(spark, sf), "source", 32), ["value"])
