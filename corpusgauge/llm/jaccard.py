@@ -99,6 +99,15 @@ def survey(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return found.where("part is null").select("key", "size", "h1", "h2"), out.reshape(-1)
 
 
+def histograms(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers per set that hold how many of its shingles fall to each of 16 classes, a byte each, 255 for more."""
+    n = len(starts) - 1
+    of = np.repeat(np.arange(n), np.diff(starts))
+    cell = of * 16 + ((value >> U(40)) & U(15)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=16 * n), 255).astype(np.uint8).reshape(n, 16)
+    return tuple(np.ascontiguousarray(counts[:, i : i + 8]).view(np.int64).ravel() for i in (0, 8))
+
+
 def least_overlap(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Shared shingles that sets of x and y shingles need: den * shared >= num * (x + y - shared)."""
     return -(-(num * (x + y)) // (num + den))
@@ -107,7 +116,7 @@ def least_overlap(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarra
 class Posting:
     """Sets of one list: place of the list's shingle in each, set sizes, and names; sorted by place."""
 
-    def __init__(self, at: np.ndarray, size: np.ndarray, key: np.ndarray, h1: np.ndarray, h2: np.ndarray, group: np.ndarray | None = None):
+    def __init__(self, at: np.ndarray, size: np.ndarray, key: np.ndarray, h1: np.ndarray, h2: np.ndarray, low8: np.ndarray, high8: np.ndarray, group: np.ndarray | None = None):
         order = np.lexsort((key, h2, h1))
         h1, h2 = h1[order], h2[order]
         new = np.ones(len(order), bool)
@@ -115,6 +124,8 @@ class Posting:
         order = order[new]  # equal sets: the smallest key stands for them
         order = order[np.lexsort((key[order], size[order], at[order]))]
         self.at, self.size, self.key = at[order].astype(np.int64), size[order].astype(np.int64), key[order]
+        self.low8, self.high8 = low8[order], high8[order]
+        self.classes = np.stack([self.low8, self.high8], 1).view(np.uint8).astype(np.int16)
         self.group = None if group is None else group[order]
 
         self.blocks = np.arange(0, len(order), BLOCK)
@@ -133,7 +144,10 @@ class Posting:
         rest = rest[(rest > i) & (rest < len(self.key))]
         y = self.size[rest]
         ok = (np.minimum(left, y - self.at[rest]) >= least_overlap(own, y, num, den)) & (np.minimum(y, own) * den >= num * np.maximum(y, own))
-        return rest[ok]
+        rest, y = rest[ok], y[ok]
+        # sets differ at least as much as their classes' counts do
+        apart = np.abs(self.classes[rest] - self.classes[i]).sum(axis=1)
+        return rest[apart <= own + y - 2 * least_overlap(own, y, num, den)]
 
 
 def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,7 +189,7 @@ def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Ca
     return run
 
 
-ENTRY = "token long, h1 long, h2 long, key long, size int, at int"
+ENTRY = "token long, h1 long, h2 long, key long, size int, at int, low8 long, high8 long"
 
 
 def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -207,18 +221,19 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
             keys = b.column(0).to_numpy()
             for a, value, starts in shingle_sets(b.column(1), n):
                 h1, h2 = _marks(value, starts)
+                low8, high8 = histograms(value, starts)
                 size = np.diff(starts)
                 of = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((value, counts.value[(value % U(COUNTERS)).astype(np.int64)], of))
                 at = np.arange(len(value)) - starts[:-1][of]
                 first = at < (size - -(-(num * size) // den) + 1)[of]
                 o, of, at = order[first], of[first], at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(h1[of]), pa.array(h2[of]), pa.array(keys[a + of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32))], ["token", "h1", "h2", "key", "size", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(h1[of]), pa.array(h2[of]), pa.array(keys[a + of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low8[of]), pa.array(high8[of])], ["token", "h1", "h2", "key", "size", "at", "low8", "high8"])
 
     posted = texts.mapInArrow(post, ENTRY)
 
-    def partners(token, h1, h2, keys, size, at) -> pa.RecordBatch | None:
-        p = Posting(at, size, keys, np.asarray(h1), np.asarray(h2))
+    def partners(token, h1, h2, keys, size, at, low8, high8) -> pa.RecordBatch | None:
+        p = Posting(at, size, keys, h1, h2, low8, high8)
         m = len(p.key)
         if m < 2:
             return None
@@ -231,11 +246,11 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
                 if hub[i] < 0:
                     hub[i] = i
         ok = np.flatnonzero(hub >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(p.key[hub[ok]])], ["token", "key", "size", "at", "hub"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(p.key[hub[ok]]), pa.array(p.low8[ok]), pa.array(p.high8[ok])], ["token", "key", "size", "at", "hub", "low8", "high8"])
 
-    names = ["token", "h1", "h2", "key", "size", "at"]
+    names = ["token", "h1", "h2", "key", "size", "at", "low8", "high8"]
     lists = posted.repartition("token").sortWithinPartitions("token")
-    near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long"), "postings")
+    near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long, low8 long, high8 long"), "postings")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,8 +270,8 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     first = stored(linked(near.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()), "links")
     groups = components(first, "a", "b")
 
-    def across(token, keys, size, at, group) -> pa.RecordBatch | None:
-        p = Posting(at, size, keys, np.asarray(keys), np.asarray(keys), np.asarray(group))
+    def across(token, keys, size, at, low8, high8, group) -> pa.RecordBatch | None:
+        p = Posting(at, size, keys, keys, keys, low8, high8, group)
         if len(p.key) < 2 or (p.group == p.group[0]).all():
             return None
         a, b = [], []
@@ -267,8 +282,8 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
             b.append(p.key[found])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    classed = near.select("token", "key", "size", "at").join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", "at", F.coalesce("component", "key").alias("group"))
-    crossing = classed.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _merged(_lists(across, ["token", "key", "size", "at", "group"])(it)), "a long, b long")
+    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", "at", F.coalesce("component", "key").alias("group"))
+    crossing = classed.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _merged(_lists(across, ["token", "key", "size", "at", "low8", "high8", "group"])(it)), "a long, b long")
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = near.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     second = linked(pairs.join(known, ["a", "b"], "left_anti"))
