@@ -237,16 +237,16 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
         m = len(p.key)
         if m < 2:
             return None
-        hub = np.full(m, -1)
+        # each set's partner is the smallest key that it may be similar to: mostly the same one in all lists
+        hub, met = p.key.copy(), np.zeros(m, bool)
         for i in range(m - 1):
             found = p.possible(i, num, den)
             if len(found):
-                open_ = found[hub[found] < 0]
-                hub[open_] = i
-                if hub[i] < 0:
-                    hub[i] = i
-        ok = np.flatnonzero(hub >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(p.key[hub[ok]]), pa.array(p.low8[ok]), pa.array(p.high8[ok])], ["token", "key", "size", "at", "hub", "low8", "high8"])
+                hub[found] = np.minimum(hub[found], p.key[i])
+                hub[i] = min(hub[i], p.key[found].min())
+                met[found] = met[i] = True
+        ok = np.flatnonzero(met)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(hub[ok]), pa.array(p.low8[ok]), pa.array(p.high8[ok])], ["token", "key", "size", "at", "hub", "low8", "high8"])
 
     names = ["token", "h1", "h2", "key", "size", "at", "low8", "high8"]
     lists = posted.repartition("token").sortWithinPartitions("token")
