@@ -9,7 +9,6 @@ what leaves a task is one row of partial sums per replicate, never a resampled t
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -45,7 +44,7 @@ def _prepared(counts: DataFrame, keys: Sequence[str], n_boot: int) -> tuple[Data
     group = F.concat_ws("|", F.lit(""), *[F.col(k).cast("string") for k in keys])
     named = keep(counts.withColumn("_group", group))
     n_scores = named.count()
-    size = max(SCORES_PER_BLOCK, 30 * math.isqrt(n_scores))
+    size = SCORES_PER_BLOCK  # the same for every group, whatever stands beside it
     if n_scores <= size:
         placed = named.withColumn("_block", F.lit(0))
     else:

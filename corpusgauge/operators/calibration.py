@@ -18,7 +18,7 @@ LOG_T_BOUND = 3.0
 BAND_STEPS = 50
 
 
-def fit_temperature(logit_counts: DataFrame, tolerance: float = 1e-9, max_rounds: int = 40) -> float:
+def fit_temperature(logit_counts: DataFrame, tolerance: float = 1e-9, max_rounds: int = 200) -> float:
     """T minimising the mean cross-entropy of logit / T, with log T in [-3, 3].
 
     The loss is convex in b = 1/T: Newton steps on b, halving the bracket where a step leaves it.
@@ -49,7 +49,7 @@ def fit_temperature(logit_counts: DataFrame, tolerance: float = 1e-9, max_rounds
             if abs(math.log(new / b)) < tolerance:
                 return 1.0 / new
             b = new
-        return 1.0 / b
+        raise RuntimeError(f"the temperature has not settled after {max_rounds} rounds")
     finally:
         counts.unpersist()
 

@@ -64,7 +64,7 @@ def _standardised(df: DataFrame, x: str, mean: Sequence[float], std: Sequence[fl
 def _logistic(train: DataFrame, c: float, n: int) -> Model:
     """Ridge-penalised logistic regression with inverse strength c on standardised features."""
     lr = LogisticRegression(
-        featuresCol="scaled", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6
+        featuresCol="scaled", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-6
     )
     return lr.fit(train)
 
@@ -84,7 +84,7 @@ def trivial_classifier(
     feature_set: str = "features",
     folds: int = 5,
     seed: int = 42,
-    rounds: int = 20,
+    rounds: int = 100,
     importance: bool = True,
 ) -> ClassifierReport:
     """Can these features alone tell the label? Cross-validated AUC of a linear and a boosted model.
@@ -187,7 +187,7 @@ class Probe:
     auc_by_c: dict[float, float]
 
 
-def linear_probe(df: DataFrame, c_grid: Sequence[float] = (0.01, 0.1, 1.0, 10.0)) -> Probe:
+def linear_probe(df: DataFrame, c_grid: Sequence[float] = (0.001, 0.01, 0.1, 1.0, 10.0)) -> Probe:
     """Logistic regression on embeddings (`x`, `label`, `split` train/val), strength by validation AUC.
 
     The scaling is folded into the weights, so the result scores raw vectors; the first best wins.
@@ -198,15 +198,17 @@ def linear_probe(df: DataFrame, c_grid: Sequence[float] = (0.01, 0.1, 1.0, 10.0)
     scaled = _standardised(train, "x", mean, std).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = scaled.count()
-        best, scores = None, {}
+        fitted = []
         for c in c_grid:
             model = _logistic(scaled, c, n)
             weights = [float(w) / s for w, s in zip(model.coefficients, std, strict=True)]
             bias = float(model.intercept) - sum(w * m for w, m in zip(weights, mean, strict=True))
-            scores[c] = auc_of(val, probe_logit(F.col("x"), F.array(*[F.lit(w) for w in weights]), bias))
-            if best is None or scores[c] > scores[best[0]]:
-                best = (c, weights, bias)
-        return Probe(best[1], best[2], best[0], scores)
+            auc = auc_of(val, probe_logit(F.col("x"), F.array(*[F.lit(w) for w in weights]), bias))
+            fitted.append((auc, weights, bias, c))
+        # of equal AUCs the one that stands first in the grid
+        top = max(range(len(fitted)), key=lambda i: (fitted[i][0], -i))
+        _, weights, bias, c = fitted[top]
+        return Probe(weights, bias, c, {x[3]: x[0] for x in fitted})
     finally:
         scaled.unpersist()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,42 +12,34 @@ from pyspark.sql import functions as F
 from corpusgauge.operators.ordering import running_max, running_totals, with_value_blocks
 
 RESULT_SCHEMA = "event_id bigint, key string, accepted boolean, retry_after int"
-_LONG = 64
 
 
 class Window:
-    """Accepted times (microseconds) of one key, at most `limit` of them."""
+    """Accepted times (microseconds) of one key, ascending, at most `limit` of them."""
 
     def __init__(self, limit: int, window_us: int, hits: list[int] | None = None) -> None:
         self.limit, self.window_us = limit, window_us
-        self.hits = deque(hits or [])
-
-    def offer(self, now: int) -> int:
-        """0 if accepted, else the seconds to wait. Rejected requests leave no trace."""
-        while self.hits and now - self.hits[0] >= self.window_us:
-            self.hits.popleft()
-        if len(self.hits) < self.limit:
-            self.hits.append(now)
-            return 0
-        left = (self.window_us - (now - self.hits[0])) / 1e6
-        return max(1, int(left) + 1)
+        self.hits = np.array(hits or [], dtype=np.int64)
 
     def offer_many(self, times: np.ndarray) -> np.ndarray:
-        """`offer` for sorted times; a full window's rejections are found by search, not one by one."""
-        if len(times) < _LONG:
-            return np.array([self.offer(int(t)) for t in times], dtype=np.int64)
+        """Seconds to wait for each of the ascending times, 0 if accepted; rejected requests leave no trace.
+
+        As many requests as there is room for are accepted at once; a full window rejects all until its oldest time has passed.
+        """
+        times = np.asarray(times, dtype=np.int64)
         waits = np.zeros(len(times), dtype=np.int64)
         i = 0
         while i < len(times):
-            waits[i] = self.offer(int(times[i]))
-            i += 1
-            if len(self.hits) == self.limit:
-                oldest = self.hits[0]
-                free = int(np.searchsorted(times, oldest + self.window_us))
-                if free > i:
-                    left = self.window_us - (times[i:free] - oldest)
-                    waits[i:free] = np.maximum(1, left // 1_000_000 + 1)
-                    i = free
+            self.hits = self.hits[np.searchsorted(self.hits, times[i] - self.window_us, "right") :]
+            room = self.limit - len(self.hits)
+            if room > 0:
+                self.hits = np.concatenate([self.hits, times[i : i + room]])
+                i += room
+                continue
+            ends = self.hits[0] + self.window_us
+            free = i + int(np.searchsorted(times[i:], ends))
+            waits[i:free] = (ends - times[i:free]) // 1_000_000 + 1
+            i = free
         return waits
 
 

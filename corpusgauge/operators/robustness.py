@@ -19,9 +19,10 @@ SCREENSHOT_SEEDS = (1, 2, 3)
 def grid_steps(
     grid: Mapping[str, Sequence[float]] = DEFAULT_GRID, screenshot_seeds: Sequence[int] = SCREENSHOT_SEEDS
 ) -> list[tuple[str, float]]:
-    unknown = sorted(set(grid) - set(DEFAULT_GRID))
-    if unknown:
-        raise ValueError(f"unknown perturbation families: {unknown}")
+    """The clean step, then every family and level in the caller's order, own families included, then the screenshot seeds."""
+    taken = sorted({"none", "screenshot"} & set(grid))
+    if taken:
+        raise ValueError(f"reserved perturbation families: {taken}")
     steps = [("none", 0.0)]
     steps += [(family, float(level)) for family, levels in grid.items() for level in levels]
     return steps + [("screenshot", float(seed)) for seed in screenshot_seeds]

@@ -314,7 +314,7 @@ oracle(
 oracle("owned_history", "SELECT id, user_id, num_faces FROM history WHERE num_faces = 1", "history")
 oracle(
     "robustness_grid",
-    "SELECT item_id, step, family, level FROM predictions, grid WHERE split = 'test'",
+    "SELECT item_id, step, family, level FROM predictions, grid WHERE split IN ('test', 'crossgen_full') OR dataset = 'crossgen'",
     "predictions",
     "grid",
 )
@@ -412,16 +412,16 @@ oracle(
   count(*) FILTER (ceil(octet_length(encode(html)) / 96.0) >= 32) AS used,
   count(*) FILTER (ceil(octet_length(encode(html)) / 96.0) < 32) AS skipped FROM pages GROUP BY 1""",
 )
-_CHANNELS = "channels AS (SELECT c, y, x, avg(a) AS v, floor(sqrt((y - 3) * (y - 3) + (x - 3) * (x - 3)))::INTEGER AS r FROM feature_map GROUP BY 1, 2, 3)"
+_CHANNELS = "channels AS (SELECT c, y, x, avg(a) AS v, floor(sqrt((y - 4) * (y - 4) + (x - 4) * (x - 4)))::INTEGER AS r FROM feature_map GROUP BY 1, 2, 3)"
 oracle(
     "radial_profile",
-    f"WITH feature_map AS ({VIEWS['feature_map'].strip()}), {_CHANNELS} SELECT c, r, {rd('avg(v)')} AS value FROM channels WHERE r < 3 GROUP BY 1, 2",
+    f"WITH feature_map AS ({VIEWS['feature_map'].strip()}), {_CHANNELS} SELECT c, r, {rd('avg(v)')} AS value FROM channels WHERE r < 4 GROUP BY 1, 2",
 )
 oracle(
     "spectrum_diff",
     f"""WITH feature_map AS ({VIEWS['feature_map'].strip()}), {_CHANNELS}
 SELECT c, {rd('tail')} AS upper_half_log_power, CASE WHEN c <> 0 THEN {rd('gap')} END AS mean_abs_diff
-FROM (SELECT c, avg(m) AS tail FROM (SELECT c, r, avg(v) AS m FROM channels WHERE r BETWEEN 1 AND 2 GROUP BY 1, 2) GROUP BY 1)
+FROM (SELECT c, avg(m) AS tail FROM (SELECT c, r, avg(v) AS m FROM channels WHERE r BETWEEN 2 AND 3 GROUP BY 1, 2) GROUP BY 1)
 JOIN (SELECT a.c, avg(abs(a.v - b.v)) AS gap FROM channels a JOIN channels b ON b.c = 0 AND a.y = b.y AND a.x = b.x GROUP BY 1) USING (c)""",
 )
 _CONF = f"""count(*) FILTER (label = 'fake' AND prob >= {T}) AS tp, count(*) FILTER (label = 'real' AND prob >= {T}) AS fp,

@@ -363,7 +363,7 @@ def owned_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def robustness_grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.predictions(spark, sf).filter(F.col("split") == "test")
+    rows = v.predictions(spark, sf).filter(F.col("split").isin("test", "crossgen_full") | (F.col("dataset") == "crossgen"))
     return robustness.expand_grid(rows).select("item_id", "step", "family", "level")
 
 
@@ -460,12 +460,12 @@ def channel_means(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def radial_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pixels.radial_profile(channel_means(spark, sf), "c", 7), ["value"])
+    return rounded(pixels.radial_profile(channel_means(spark, sf), "c", 8), ["value"])
 
 
 @query
 def spectrum_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pixels.spectrum_diff(channel_means(spark, sf), "c", 7, 0), ["upper_half_log_power", "mean_abs_diff"])
+    return rounded(pixels.spectrum_diff(channel_means(spark, sf), "c", 8, 0), ["upper_half_log_power", "mean_abs_diff"])
 
 
 @query
@@ -714,7 +714,7 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
 def trivial_classifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.features(spark, sf)
     columns = ["n_chars", "n_words", "n_digits", "n_lines", "fixed"]
-    return classifiers.trivial_classifier(rows, columns, "doc_id", rounds=5, importance=False).to_df(rows)
+    return classifiers.trivial_classifier(rows, columns, "doc_id").to_df(rows)
 
 
 @query
@@ -751,7 +751,7 @@ def temperature_per_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = classifiers.linear_probe(v.probe_rows(spark, sf), (0.01, 1.0))
+    fitted = classifiers.linear_probe(v.probe_rows(spark, sf))
     return _one_row(spark, {"best_c": fitted.best_c, **{f"auc_c_{c}": round(a, 6) for c, a in fitted.auc_by_c.items()}})
 
 
@@ -819,7 +819,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     requests = _streamed(spark, sf, "events").select(
         "event_id", F.concat(F.lit("user"), "user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")
     )
-    decided = stream_limits.limit_stream(requests, 2, 3600 * 12)
+    decided = stream_limits.limit_stream(requests, 2, 3600 * 12, evict=False)
     return _drain(spark, decided, "limits").select("event_id", "accepted", "retry_after")
 
 

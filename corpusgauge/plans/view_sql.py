@@ -147,8 +147,8 @@ SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, even
 FROM events
 """
 VIEWS["feature_map"] = """
-SELECT item_id, c, p // 7 AS y, p % 7 AS x, embedding[p + 1]::DOUBLE AS a
-FROM (SELECT vec_id - vec_id % 4 AS item_id, (vec_id % 4)::INTEGER AS c, embedding, unnest(range(49))::INTEGER AS p
+SELECT item_id, c, p // 8 AS y, p % 8 AS x, embedding[p + 1]::DOUBLE AS a
+FROM (SELECT vec_id - vec_id % 4 AS item_id, (vec_id % 4)::INTEGER AS c, embedding, unnest(range(len(embedding)))::INTEGER AS p
       FROM embeddings)
 """
 VIEWS["quant_tables"] = f"""

@@ -319,14 +319,14 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four embeddings make one item: each is a 7x7 channel."""
+    """Four embeddings make one item: each is an 8x8 channel."""
     cells = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") - F.col("vec_id") % 4).alias("item_id"),
         (F.col("vec_id") % 4).cast("int").alias("c"),
-        F.posexplode(F.slice("embedding", 1, 49)).alias("p", "v"),
+        F.posexplode("embedding").alias("p", "v"),
     )
     return cells.select(
-        "item_id", "c", F.floor(F.col("p") / 7).cast("int").alias("y"), (F.col("p") % 7).alias("x"), F.col("v").cast("double").alias("a")
+        "item_id", "c", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), F.col("v").cast("double").alias("a")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,19 +27,11 @@ def local_session(cpus: int | None = None, app: str = "corpusgauge") -> SparkSes
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared checkpoint folder the cluster names; `fallback` only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = named or sc.getCheckpointDir() or fallback
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a job's own output, under the cluster's shared folder if one is named."""
+    """A fresh folder for a job's own output, under the shared folder that the cluster names; only a local session may do without."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     shared = shared or spark.sparkContext.getCheckpointDir()
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="corpusgauge-")
     return f"{base}/{name}-{uuid.uuid4().hex}"

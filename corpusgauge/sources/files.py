@@ -71,7 +71,9 @@ def scan_files(spark: SparkSession, specs: DataFrame, root: str) -> DataFrame:
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     named = files.select(F.element_at(F.split("path", f"\\Q{base}/\\E", 2), -1).alias("rel_path"), "content")
-    return specs.join(scan_bytes(named), "rel_path", "left")
+    found = scan_bytes(named).withColumn("_found", F.lit(True))
+    missing = F.when(F.col("_found").isNull(), "file not found")
+    return specs.join(found, "rel_path", "left").withColumn("read_error", F.coalesce("read_error", missing)).drop("_found")
 
 
 def image_pixels(spark: SparkSession, root: str) -> DataFrame:

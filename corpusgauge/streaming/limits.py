@@ -12,12 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusgauge.operators.limits import RESULT_SCHEMA, Window
 
 
-def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Decide requests (event_id, key, ts) as they arrive; within a micro-batch in time order.
+def limit_stream(requests: DataFrame, limit: int, window_seconds: int, evict: bool = True) -> DataFrame:
+    """One decision for every request (event_id, key, ts), however late it comes.
 
-    State is the accepted times, at most `limit` per key, and goes away once a key has been idle for
-    the window (event time, with the watermark delay). A key's rows of one micro-batch are sorted
-    together: bound the batch at the source (maxFilesPerTrigger, maxBytesPerTrigger).
+    Within a micro-batch requests are decided in time order. One that is older than what its key has seen in earlier batches
+    is decided as if it came at that time: there is no watermark, so nothing is left out. State is the accepted
+    times, at most `limit` per key, and the newest time; with `evict` it goes away once a key has been quiet for the window by
+    the clock. Such a stream never runs out of batches: turn it off for availableNow triggers. A key's rows of one micro-batch are sorted together: bound the batch at the source (maxFilesPerTrigger, maxBytesPerTrigger).
     """
     window_us = window_seconds * 1_000_000
 
@@ -25,12 +26,16 @@ def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: st
         if state.hasTimedOut:
             state.remove()
             return
-        window = Window(limit, window_us, list(state.get[0]) if state.exists else [])
+        hits, newest = state.get if state.exists else ([], None)
+        window = Window(limit, window_us, list(hits))
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        waits = window.offer_many(rows["at"].to_numpy())
-        state.update((list(window.hits),))
-        last_ms = int(rows["at"].iloc[-1]) // 1000
-        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + window_seconds * 1000 + 1)
+        times = rows["at"].to_numpy()
+        if newest is not None:
+            times = times.clip(min=newest)
+        waits = window.offer_many(times)
+        state.update(([int(x) for x in window.hits], int(times[-1])))
+        if evict:
+            state.setTimeoutDuration(window_seconds * 1000)
         yield pd.DataFrame(
             {
                 "event_id": rows["event_id"].to_numpy(),
@@ -40,7 +45,7 @@ def limit_stream(requests: DataFrame, limit: int, window_seconds: int, delay: st
             }
         )
 
-    timed = requests.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    timed = requests.withColumn("at", F.unix_micros("ts"))
     return timed.groupBy("key").applyInPandasWithState(
-        decide, RESULT_SCHEMA, "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        decide, RESULT_SCHEMA, "hits array<bigint>, newest bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout
     )

@@ -234,5 +234,6 @@ def test_membership(spark):
 def test_grid(spark):
     assert len(grid_steps()) == 22
     assert expand_grid(spark.range(3)).count() == 66
-    with pytest.raises(ValueError, match="unknown perturbation"):
-        grid_steps({"sepia": [1]})
+    assert ("sepia", 1.0) in grid_steps({"sepia": [1]})
+    with pytest.raises(ValueError, match="reserved perturbation"):
+        grid_steps({"none": [1]})

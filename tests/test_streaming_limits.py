@@ -56,7 +56,7 @@ def test_stream_equals_batch(spark, tmp_path):
         requests(spark, times).filter(F.col("event_id").between(part * 100, part * 100 + 99)).coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    writer = limit_stream(stream, 2, 30).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    writer = limit_stream(stream, 2, 30, evict=False).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
     assert decided(spark.read.parquet(out)) == by_hand(times, 2, 30)
 
@@ -97,4 +97,22 @@ def test_jumping_over_rejections_changes_nothing(limit):
     times = np.sort(rng.integers(0, 60_000_000, 3000)).astype(np.int64)
     one, many = Window(limit, 1_500_000), Window(limit, 1_500_000)
     got = np.concatenate([many.offer_many(part) for part in np.array_split(times, 7)])
-    assert list(got) == [one.offer(int(t)) for t in times] and list(one.hits) == list(many.hits)
+    assert list(got) == [int(one.offer_many(times[i : i + 1])[0]) for i in range(len(times))] and list(one.hits) == list(many.hits)
+
+
+def test_late_requests_are_decided(spark, tmp_path):
+    """Files out of time order, one per micro-batch: one decision for each request."""
+    from pyspark.sql import functions as F
+
+    from corpusgauge.streaming.limits import limit_stream
+
+    rows = [(1, "a", 7200), (2, "a", 7201), (3, "a", 60), (4, "b", 0), (5, "a", 7500)]
+    for i, (event, key, second) in enumerate(rows):
+        one = spark.createDataFrame([(event, key, second)], "event_id long, key string, second long")
+        one.select("event_id", "key", F.timestamp_seconds("second").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    schema = "event_id long, key string, ts timestamp"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = limit_stream(stream, 2, 100, evict=False).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
+    out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = {r["event_id"]: r["accepted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1] and got[2] and not got[3] and got[4] and got[5]
