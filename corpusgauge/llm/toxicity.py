@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 FIT_ROWS = 20_000
 #: Terms with weights, at most: those that tell the labels apart best; and how many labelled texts a term needs.
 TERMS, MIN_TEXTS = 4096, 4
+#: Least evidence of a term (natural log of a likelihood ratio): chance alone rarely reaches it among all terms.
+MIN_GAIN = 7
 #: Length of the beginnings of words that are terms of their own.
 STEM = 5
 FACTORS, EPOCHS, STEP, BATCH = 8, 25, 0.2, 256
@@ -51,7 +53,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict[str, np.n
     gain = in_pos * np.log(p / q) + (in_all - in_pos) * np.log((1 - p) / (1 - q))
     gain[in_all < MIN_TEXTS] = -1
     best = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
-    best = best[gain[best] > 2]
+    best = best[gain[best] > MIN_GAIN]
     new = np.full(len(seen), -1)
     new[best] = np.arange(len(best))
     slot, m = new[slot], len(best)
