@@ -40,6 +40,7 @@ class Pieces(dict):
 
     def __init__(self, library, lead: str):
         self.library, self.lead, self.marks = library, lead, {}
+        self.line_end = library.encode("\n", add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
         if piece[-1:] in _ENDS and piece[:-1].isalpha():
@@ -51,6 +52,24 @@ class Pieces(dict):
         self[piece] = ids
         return ids
 
+    def learn(self, words: set[str]) -> None:
+        """Asks the library for all new ones of some words without white space at once.
+
+        Single line ends stand between the words: each is one id of its own and changes no word beside it. Where a
+        vocabulary drops white space, or the ids do not fall apart into as many words, nothing is learned here.
+        """
+        new = {w[:-1] if w[-1] in _ENDS and w[:-1].isalpha() else w for w in words if w not in self}
+        new = [w for w in new if w not in self]
+        if len(new) < 2 or len(self.line_end) != 1:
+            return
+        ids = np.array(self.library.encode_batch_fast(["\n".join([self.lead + w for w in new])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line_end[0])
+        if len(ends) != len(new) - 1:
+            return
+        data = ids.tobytes()
+        starts, stops = [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(data)]
+        self.update(zip(new, [data[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
+
     def _asked(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -118,6 +137,11 @@ class PieceEncoder:
             memory.clear()
         return b"".join(map(memory.__getitem__, words))
 
+    def _learned(self, words: list[str], lead: str = "") -> bytes:
+        """As _known, for words without white space: new ones are learned together."""
+        self.memory[lead].learn(set(words))
+        return self._known(words, lead)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. Where each blank is one space or line end between visible characters, words are looked up at once."""
         words = text.split()
@@ -126,8 +150,10 @@ class PieceEncoder:
         if not self.keeps_space:
             return self._known(words)
         if "\n" not in text:
-            return self._known(words[:1]) + self._known(words[1:], " ")
-        lines = (line.split(" ") for line in text.split("\n"))
+            return self._known(words[:1]) + self._learned(words[1:], " ")
+        lines = [line.split(" ") for line in text.split("\n")]
+        self.memory[""].learn({x[0] for x in lines})
+        self.memory[" "].learn({w for x in lines for w in x[1:]})
         return self._known(["\n"]).join(self._known(x[:1]) + self._known(x[1:], " ") for x in lines)
 
     @lru_cache(maxsize=1)  # noqa: B019
