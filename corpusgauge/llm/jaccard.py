@@ -116,11 +116,11 @@ def least_overlap(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarra
 class Posting:
     """Sets of one list: place of the list's shingle in each, set sizes, and names; sorted by place."""
 
-    def __init__(self, at: np.ndarray, size: np.ndarray, key: np.ndarray, h1: np.ndarray, h2: np.ndarray, low8: np.ndarray, high8: np.ndarray, group: np.ndarray | None = None):
-        order = np.lexsort((key, h2, h1))
-        h1, h2 = h1[order], h2[order]
+    def __init__(self, at: np.ndarray, size: np.ndarray, key: np.ndarray, mark: np.ndarray, low8: np.ndarray, high8: np.ndarray, group: np.ndarray | None = None):
+        order = np.lexsort((key, size, mark))
+        mark, sizes = mark[order], size[order]
         new = np.ones(len(order), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[1:] = (mark[1:] != mark[:-1]) | (sizes[1:] != sizes[:-1])
         order = order[new]  # equal sets: the smallest key stands for them
         order = order[np.lexsort((key[order], size[order], at[order]))]
         self.at, self.size, self.key = at[order].astype(np.int64), size[order].astype(np.int64), key[order]
@@ -150,6 +150,23 @@ class Posting:
         return rest[apart <= own + y - 2 * least_overlap(own, y, num, den)]
 
 
+def _each_set(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Shingles of each text of a column; equal texts share one array."""
+    coded = texts.dictionary_encode()
+    found = [x for _, value, starts in shingle_sets(coded.dictionary, n) for x in np.split(value, starts[1:-1])]
+    return [found[i] for i in coded.indices.to_numpy()]
+
+
+def similar_rows(texts: pa.Array, others: pa.Array, n: int, num: int, den: int) -> np.ndarray:
+    """For each row of two text columns, whether den * (shared shingles) >= num * (shingles of either)."""
+    out = np.zeros(len(texts), bool)
+    for i, (x, y) in enumerate(zip(_each_set(texts, n), _each_set(others, n), strict=True)):
+        if len(x) and len(y):
+            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out[i] = den * shared >= num * (len(x) + len(y) - shared)
+    return out
+
+
 def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Calls `walk` with the columns of each list of a table sorted by token; lists of one row are dropped."""
 
@@ -189,7 +206,7 @@ def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Ca
     return run
 
 
-ENTRY = "token long, h1 long, h2 long, key long, size int, at int, low8 long, high8 long"
+ENTRY = "token long, mark long, key long, size int, at int, low8 long, high8 long"
 
 
 def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -208,6 +225,7 @@ def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
 def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of `docs`: key, n_shingles and component_id, the smallest key reachable by links.
 
+    Pairs are decided on their whole texts, which take less room in a shuffle than sets of 64-bit names do.
     Two texts link if den * (shared shingles) >= num * (shingles of either). Null and empty texts have no shingles and link with
     nothing; a text of fewer than n words is one shingle. Repeated keys are one document with several texts; a null
     key is larger than all others and its row's component is null only if nothing smaller is reached. Equal sets are one class from the start.
@@ -220,7 +238,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
         for b in batches:
             keys = b.column(0).to_numpy()
             for a, value, starts in shingle_sets(b.column(1), n):
-                h1, h2 = _marks(value, starts)
+                mark, _ = _marks(value, starts)
                 low8, high8 = histograms(value, starts)
                 size = np.diff(starts)
                 of = np.repeat(np.arange(len(size)), size)
@@ -228,12 +246,12 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
                 at = np.arange(len(value)) - starts[:-1][of]
                 first = at < (size - -(-(num * size) // den) + 1)[of]
                 o, of, at = order[first], of[first], at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(h1[of]), pa.array(h2[of]), pa.array(keys[a + of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low8[of]), pa.array(high8[of])], ["token", "h1", "h2", "key", "size", "at", "low8", "high8"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(mark[of]), pa.array(keys[a + of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low8[of]), pa.array(high8[of])], ["token", "mark", "key", "size", "at", "low8", "high8"])
 
     posted = texts.mapInArrow(post, ENTRY)
 
-    def partners(token, h1, h2, keys, size, at, low8, high8) -> pa.RecordBatch | None:
-        p = Posting(at, size, keys, h1, h2, low8, high8)
+    def partners(token, mark, keys, size, at, low8, high8) -> pa.RecordBatch | None:
+        p = Posting(at, size, keys, mark, low8, high8)
         m = len(p.key)
         if m < 2:
             return None
@@ -248,30 +266,29 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
         ok = np.flatnonzero(met)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(hub[ok]), pa.array(p.low8[ok]), pa.array(p.high8[ok])], ["token", "key", "size", "at", "hub", "low8", "high8"])
 
-    names = ["token", "h1", "h2", "key", "size", "at", "low8", "high8"]
+    names = ["token", "mark", "key", "size", "at", "low8", "high8"]
     lists = posted.repartition("token").sortWithinPartitions("token")
     near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long, low8 long, high8 long"), "postings")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, value, starts in shingle_sets(b.column(1), n):
-                data = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(data)), data], ["key", "shingles"])
-
     wanted = near.select("key").distinct()
-    needed = stored(texts.join(wanted, "key", "left_semi").mapInArrow(sets, "key long, shingles array<long>"), "sets")
+    needed = stored(texts.join(wanted, "key", "left_semi"), "texts")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = pa.array(similar_rows(batch.column(2), batch.column(3), n, num, den))
+                yield batch.select([0, 1]).filter(ok)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        x, y = F.size("shingles"), F.size("other")
-        shared = F.size(F.array_intersect("shingles", "other"))
-        both = pairs.join(needed, F.col("a") == F.col("key")).drop("key").join(needed.select("key", F.col("shingles").alias("other")), F.col("b") == F.col("key"))
-        return both.where(den * shared.cast("long") >= num * (x + y - shared)).select("a", "b")
+        one = pairs.join(needed, F.col("a") == F.col("key")).select("a", "b", "text")
+        both = one.join(needed.select("key", F.col("text").alias("other")), F.col("b") == F.col("key")).select("a", "b", "text", "other")
+        return both.mapInArrow(verified, "a long, b long")
 
     first = stored(linked(near.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()), "links")
     groups = components(first, "a", "b")
 
     def across(token, keys, size, at, low8, high8, group) -> pa.RecordBatch | None:
-        p = Posting(at, size, keys, keys, keys, low8, high8, group)
+        p = Posting(at, size, keys, keys, low8, high8, group)
         if len(p.key) < 2 or (p.group == p.group[0]).all():
             return None
         a, b = [], []
