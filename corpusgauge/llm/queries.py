@@ -55,9 +55,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents by one tokenizer, then each moved to another (a delete and an insert), one batch sent twice."""
+    """Totals after three batches: all documents by the byte vocabulary; every third moved to the word vocabulary (a delete and an insert), sent twice; every third revised by one token."""
     docs = table(spark, sf_dir, "documents")
-    old, new = token_counts.retokenized(docs, "doc_id", "text", vocabulary(WORD_BPE), "word_bpe_49k", vocabulary(BYTE_BPE), "byte_bpe_50k")
+    old, new = token_counts.retokenized(docs, "doc_id", "text", path=vocabulary(WORD_BPE), version="word_bpe_49k", old_path=vocabulary(BYTE_BPE), old_version="byte_bpe_50k")
     none = F.lit(None).cast("long")
     rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
     moved = F.pmod(F.col("doc_id"), F.lit(3)) == 0

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import bpe, components, embeddings, jaccard, mph, packing, quality, shards, substrings, token_counts, toxicity, warc
+from corpusgauge.llm import bpe, components, embeddings, jaccard, mph, packing, quality, queries, shards, substrings, token_counts, toxicity, warc
 from corpusgauge.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
 from corpusgauge.llm.shared import new_folder
 
@@ -178,6 +178,21 @@ def test_rollup(spark):
     same(rollup.totals().collect(), [("a", "en", "t", 2, 16), (None, None, "t", 1, 1)])
 
 
+def test_rollup_query(spark, rows, docs, tmp_path):
+    """The whole query against counts by the library: a third moved from the byte to the word vocabulary, a third revised by one."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    old, new = (brute.library(vocabulary(x)) for x in (BYTE_BPE, WORD_BPE))
+    want = Counter()
+    for k, text in rows:
+        moved = k % 3 == 0
+        group = ("s", "en" if k % 3 else None, "word_bpe_49k" if moved else "byte_bpe_50k")
+        n = len(brute.ids(new if moved else old, text or "")) + (k % 3 == 1)
+        want[group, "docs"] += 1
+        want[group, "tokens"] += n
+    got = queries.op5_token_rollup(spark, str(tmp_path)).select("source", "lang", "tokenizer", "n_docs", "n_tokens").collect()
+    same(got, [(*g, want[g, "docs"], want[g, "tokens"]) for g in {g for g, _ in want}])
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     words = ["n%s" % "".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
