@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.llm import bpe, embeddings, jaccard, packing, quality, shards, substrings, token_counts, toxicity, warc
+from corpusgauge.llm.oracles import ORACLES  # noqa: F401
 from corpusgauge.llm.shared import new_folder
 
 
@@ -106,4 +107,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_substring_dedup, op8_ngram_jaccard, op9_embedding_near_dedup, op10_warc,
     )
 }
-ORACLES: dict[str, str] = {}
