@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_by_one(files: DataFrame, column: str) -> DataFrame:
+    """A table of files dealt so that each is a task's own; counted first, as Spark would merge tasks that read so few bytes."""
+    return files.repartitionByRange(max(1, files.count()), column)
+
+
 def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and path of a folder or file, in any store that pyarrow knows by its scheme."""
     import pyarrow.fs

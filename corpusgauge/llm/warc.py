@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.shared import place, write_whole
+from corpusgauge.llm.shared import one_by_one, place, stored, write_whole
 
 #: Longest header block that is taken for one, and how much is read at a time.
 MAX_HEAD, CHUNK = 64 * 1024, 1 << 16
@@ -220,7 +220,7 @@ def _urn(value: str | None) -> str | None:
 def read_archives(spark: SparkSession, folder: str, files: list[str] | None = None) -> DataFrame:
     """Records and gaps of all archives of a folder: kind is record or gap; a gap has its bytes' place and the check that failed.
 
-    Files are spread over tasks; each is read as a stream, one record at a time. A record's payload is its block after the HTTP head.
+    Each file is one task, which reads it as a stream, one record at a time. A record's payload is its block after the HTTP head.
     """
     listed = spark.read.parquet(f"{folder}/files").select("file") if files is None else spark.createDataFrame([(f,) for f in files], "file string")
     names = ["file", "at", "end", "kind", "problem", "record_type", "record_id", "refers_to_id", "url", "page_key", "refers_to_key", "payload_digest", "payload"]
@@ -245,17 +245,18 @@ def read_archives(spark: SparkSession, folder: str, files: list[str] | None = No
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    return listed.repartition("file").mapInPandas(read, FOUND)
+    return one_by_one(listed, "file").mapInPandas(read, FOUND)
 
 
 def page_digests(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Per record: key, payload_bytes and payload_digest of the full payload, record_type and refers_to.
 
-    A response's payload is at hand; a revisit has that of the response it refers to, found by record id.
+    A response's payload is at hand; a revisit has that of the response it refers to, found by record id. Archives are read
+    once: what is needed of each record, without its payload, is written to the shared folder.
     """
     sound = records.where("kind = 'record'")
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
-    size = sound.select("record_id", F.octet_length("payload").cast("long").alias("own_bytes"), "record_type", "refers_to_id", "payload_digest", number("page_key").alias(key), number("refers_to_key").alias("refers_to"))
+    size = stored(sound.select("record_id", F.octet_length("payload").cast("long").alias("own_bytes"), "record_type", "refers_to_id", "payload_digest", number("page_key").alias(key), number("refers_to_key").alias("refers_to")), "records")
     answers = size.where("record_type = 'response'").groupBy("record_id").agg(F.first("own_bytes").alias("full_bytes")).withColumnRenamed("record_id", "_id")
     joined = size.join(answers, (F.col("record_type") == "revisit") & (F.col("refers_to_id") == F.col("_id")), "left")
     return joined.select(key, F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
