@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.bpe import encoder, whole_text_ids
 from corpusgauge.llm.mph import PerfectHash, fingerprints
-from corpusgauge.llm.shared import place, write_whole
+from corpusgauge.llm.shared import one_by_one, place, write_whole
 
 MAGIC = b"IDSHARD1"
 #: What stands for a null key in the index; it has a mark of its own beside each row.
@@ -131,7 +131,7 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row of every shard, each key found through the index: key, start (ids before it in all shards), n_tokens, ids."""
+    """Every row of every shard, one task per shard, each key found through the index: key, start (ids before it in all shards), n_tokens, ids."""
     listed = read_manifest(spark, folder).select("shard", "file", "ids_before")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +149,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                             "n_tokens": s.offsets[rows + 1] - s.offsets[rows], "ids": [s.ids(r).tobytes() for r in rows], "shard": np.int32(shard),
                         })
 
-    return listed.repartition("shard").mapInPandas(read, ROWS)
+    return one_by_one(listed, "shard").mapInPandas(read, ROWS)
 
 
 def lookup(keys: DataFrame, key: str, folder: str) -> DataFrame:
