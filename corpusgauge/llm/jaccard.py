@@ -185,7 +185,10 @@ def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Ca
         for b in batches:
             if not b.num_rows:
                 continue
-            data = [b.column(b.schema.get_field_index(c)).to_numpy() for c in columns]
+            at = [b.schema.get_field_index(c) for c in columns]
+            if min(at) < 0:  # pyarrow takes column(-1) for the last one
+                raise ValueError(f"no column {columns[at.index(-1)]} in {b.schema.names}")
+            data = [b.column(i).to_numpy() for i in at]
             token = data[0]
             cut = np.flatnonzero(token[1:] != token[:-1]) + 1
             if held and held[0][0][0] != token[0]:
@@ -299,7 +302,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
             b.append(p.key[found])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", "at", F.coalesce("component", "key").alias("group"))
+    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", "at", "low8", "high8", F.coalesce("component", "key").alias("group"))
     crossing = classed.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _merged(_lists(across, ["token", "key", "size", "at", "low8", "high8", "group"])(it)), "a long, b long")
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = near.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()

@@ -242,6 +242,32 @@ def test_jaccard_of_a_crowd(spark):
     same(jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect(), brute.similar(rows, 3, 90))
 
 
+def spread_families(seed=6, n=60):
+    """Families of two near copies; in each of their lists stands a smaller key that is only nearly similar. Keys are far apart."""
+    r, rows, common = random.Random(seed), [], ["c%d" % i for i in range(12)]
+    for f in range(n):
+        base = ["f%dw%d" % (f, i) for i in range(200)]
+        texts = [base[:-12] + common, common + base[12:], base, [*base[:100], "c0", *base[101:]]]
+        rows += zip(sorted(r.sample(range(5000, 10**12), 4)), map(" ".join, texts), strict=True)
+    r.shuffle(rows)
+    return rows
+
+
+def test_jaccard_of_spread_keys(spark):
+    rows = spread_families()
+    want = brute.similar(rows, 3, 90)
+    assert sum(k != c for k, _, c in want) == 60
+    same(jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect(), want)
+
+
+def test_lists_need_their_columns():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"token": [1, 1], "group": [2, 3]})
+    with pytest.raises(ValueError):
+        list(jaccard._lists(lambda *x: None, ["token", "low8"])([batch]))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 400)] + [(1000 + i, 1000) for i in range(50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
