@@ -39,11 +39,17 @@ class Pieces(dict):
     """Ids of pieces as bytes; unknown ones are asked of the library when they are first looked up."""
 
     def __init__(self, library, lead: str):
-        self.library, self.lead, self.marks = library, lead, {}
+        self.library, self.lead, self.marks, self.normalizer = library, lead, {}, library.normalizer
         self.line_end = library.encode("\n", add_special_tokens=False).ids
 
+    def _parts(self, piece: str) -> bool:
+        """Whether a piece is letters and a mark with ids of their own. A normalizer may end letters in a combining mark, which joins it."""
+        if piece[-1:] not in _ENDS or not (word := piece[:-1]).isalpha():
+            return False
+        return self.normalizer is None or word.isascii() or self.normalizer.normalize_str(word).isalpha()
+
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in _ENDS and piece[:-1].isalpha():
+        if self._parts(piece):
             if (mark := self.marks.get(piece[-1])) is None:
                 mark = self.marks[piece[-1]] = self._asked(piece[-1])
             ids = self[piece[:-1]] + mark
@@ -58,7 +64,7 @@ class Pieces(dict):
         Single line ends stand between the words: each is one id of its own and changes no word beside it. Where a
         vocabulary drops white space, or the ids do not fall apart into as many words, nothing is learned here.
         """
-        new = {w[:-1] if w[-1] in _ENDS and w[:-1].isalpha() else w for w in words if w not in self}
+        new = {w[:-1] if self._parts(w) else w for w in words if w not in self}
         new = [w for w in new if w not in self]
         if len(new) < 2 or len(self.line_end) != 1:
             return

@@ -136,6 +136,20 @@ def test_shards(spark, docs, rows, none):
     assert shards.read_shards(spark, empty).count() == 0
 
 
+def test_normalized_words_with_marks(spark):
+    """Lower-casing and composing may end a word in a combining mark, which stays with the punctuation after it."""
+    words = ["AL\u0130", "al\u0130", "\u0130", "\u0958", "\u0915\u095f", "\ufb2a", "\u05d0\ufb35", "\ufb1d", "STRASSE", "stra\u00dfe", "\u00fcber", "\u6f22\u5b57", "e\u0301", "\u01c5", "\u1e9e", "\u039f\u03a3"]
+    texts = [f"{w}{m} the {w}{m}" for w in words for m in ".,;:!?"] + [" ".join(w + m for w in words for m in (".", "?!", ""))]
+    for name in (WORD_BPE, BYTE_BPE):
+        path, t = vocabulary(name), brute.library(vocabulary(name))
+        enc = bpe.PieceEncoder(path)
+        assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == [brute.ids(t, x) for x in texts]
+    folder, rows = new_folder(spark, "shards"), list(enumerate(texts))
+    shards.write_shards(frame(spark, rows), "doc_id", "text", vocabulary(WORD_BPE), folder)
+    got = [(r["key"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in shards.read_shards(spark, folder).collect()]
+    same(got, brute.shards(rows, vocabulary(WORD_BPE)))
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False)
     index = mph.PerfectHash.from_bytes(mph.PerfectHash.build(keys).to_bytes())
