@@ -29,7 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents with similar sets of five-word shingles (0.8 or more), the one with the smallest id stays."""
-    return jaccard.keep_one(docs, jaccard.similar_classes(docs, "doc_id", "text", n=5, num=80, den=100), "doc_id")
+    classes = jaccard.similar_classes(docs, "doc_id", "text", n=5, num=80, den=100, keep_digest=True)
+    return jaccard.keep_one(docs, classes, "doc_id", "text")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

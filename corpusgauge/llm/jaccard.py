@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.llm.components import components
@@ -61,27 +61,26 @@ def _marks(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def survey(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, size, h1, h2) of each text's set, and how many sets of the corpus have a shingle with each counter.
+    """(key, digest, size, h1, h2) of each text's set, and how many sets of the corpus have a shingle with each counter.
 
     All documents count; the table of counters has a fixed size, and tasks' tables are summed in two steps.
     """
     part = COUNTERS // PARTS
-    names = ["key", "size", "h1", "h2", "part", "group", "counts"]
+    names = ["key", "digest", "size", "h1", "h2", "part", "group", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            keys = b.column(0).to_numpy()
             for a, value, starts in shingle_sets(b.column(1), n):
                 total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 h1, h2 = _marks(value, starts)
                 m = len(h1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + m]), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, m), b.column(2).slice(a, m), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if total.any():
             group, none = TaskContext.get().partitionId() % 64, pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, group, np.int32)), pa.array([x.tobytes() for x in total.reshape(PARTS, part)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, group, np.int32)), pa.array([x.tobytes() for x in total.reshape(PARTS, part)], pa.binary())], names)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(part, np.int64)
@@ -89,14 +88,14 @@ def survey(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(x.as_py(), np.int64)
         return pa.table({"part": group.column("part")[:1], "group": group.column("group")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = stored(texts.mapInArrow(count, "key long, size long, h1 long, h2 long, part int, group int, counts binary"), "survey")
+    found = stored(texts.mapInArrow(count, "key long, digest long, size long, h1 long, h2 long, part int, group int, counts binary"), "survey")
     schema = "part int, group int, counts binary"
     tables = found.where("part is not null").select("part", "group", "counts")
     summed = tables.groupBy("part", "group").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros((PARTS, part), np.int64)
     for r in summed.select("part", "counts").collect():  # PARTS rows of a fixed size
         out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return found.where("part is null").select("key", "size", "h1", "h2"), out.reshape(-1)
+    return found.where("part is null").select("key", "digest", "size", "h1", "h2"), out.reshape(-1)
 
 
 def histograms(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +208,7 @@ def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Ca
     return run
 
 
-ENTRY = "token long, mark long, key long, size int, at int, low8 long, high8 long"
+ENTRY = "token long, mark long, size int, at int, low8 long, high8 long"
 
 
 def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -225,22 +224,27 @@ def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def digest_of(text: str) -> Column:
+    """A number that names a text; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int = 80, den: int = 100, keep_digest: bool = False) -> DataFrame:
     """One row per row of `docs`: key, n_shingles and component_id, the smallest key reachable by links.
 
     Pairs are decided on their whole texts, which take less room in a shuffle than sets of 64-bit names do.
     Two texts link if den * (shared shingles) >= num * (shingles of either). Null and empty texts have no shingles and link with
-    nothing; a text of fewer than n words is one shingle. Repeated keys are one document with several texts; a null
-    key is larger than all others and its row's component is null only if nothing smaller is reached. Equal sets are one class from the start.
+    nothing; a text of fewer than n words is one shingle. What is joined are distinct sets, each named by a 64-bit sum over its shingles: a key that
+    several rows have, or none, links no texts. A component is null if no row that it reaches has a key. With
+    keep_digest, _digest names each row's text and _class its class, which may have the same smallest key as others (null without shingles).
     """
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest_of(text).alias("digest"))
     own, totals = survey(texts, n)
     counts = docs.sparkSession.sparkContext.broadcast(np.minimum(totals, (1 << 31) - 1).astype(np.int32))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for a, value, starts in shingle_sets(b.column(1), n):
+            for _, value, starts in shingle_sets(b.column(0), n):
                 mark, _ = _marks(value, starts)
                 low8, high8 = histograms(value, starts)
                 size = np.diff(starts)
@@ -249,12 +253,13 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
                 at = np.arange(len(value)) - starts[:-1][of]
                 first = at < (size - -(-(num * size) // den) + 1)[of]
                 o, of, at = order[first], of[first], at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(mark[of]), pa.array(keys[a + of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low8[of]), pa.array(high8[of])], ["token", "mark", "key", "size", "at", "low8", "high8"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[o].view(np.int64)), pa.array(mark[of]), pa.array(size[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low8[of]), pa.array(high8[of])], names)
 
-    posted = texts.mapInArrow(post, ENTRY)
+    names = ["token", "mark", "size", "at", "low8", "high8"]
+    posted = texts.select("text").mapInArrow(post, ENTRY)
 
-    def partners(token, mark, keys, size, at, low8, high8) -> pa.RecordBatch | None:
-        p = Posting(at, size, keys, mark, low8, high8)
+    def partners(token, mark, size, at, low8, high8) -> pa.RecordBatch | None:
+        p = Posting(at, size, mark, mark, low8, high8)
         m = len(p.key)
         if m < 2:
             return None
@@ -269,12 +274,15 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
         ok = np.flatnonzero(met)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), token[0])), pa.array(p.key[ok]), pa.array(p.size[ok].astype(np.int32)), pa.array(p.at[ok].astype(np.int32)), pa.array(hub[ok]), pa.array(p.low8[ok]), pa.array(p.high8[ok])], ["token", "key", "size", "at", "hub", "low8", "high8"])
 
-    names = ["token", "mark", "key", "size", "at", "low8", "high8"]
     lists = posted.repartition("token").sortWithinPartitions("token")
     near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long, low8 long, high8 long"), "postings")
 
-    wanted = near.select("key").distinct()
-    needed = stored(texts.join(wanted, "key", "left_semi"), "texts")
+    # one row's text stands for each set that may have partners
+    row = F.struct("rows", F.col("key").isNull().alias("none"), "key", "digest")
+    found = own.join(near.select(F.col("key").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1", "key", "digest").agg(F.count("*").alias("rows"))
+    reps = stored(found.groupBy("h1").agg(F.min(row).alias("row")).select("h1", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest")), "rows")
+    chosen = texts.join(reps, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), "text")
+    needed = stored(chosen if reps.where("rows > 1").isEmpty() else chosen.dropDuplicates(["key"]), "texts")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,24 +317,26 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     second = linked(pairs.join(known, ["a", "b"], "left_anti"))
     all_groups = components(first.unionByName(second), "a", "b")
 
-    rep = F.min("key").alias("rep")
-    classes = own.where("size > 0").groupBy("h1", "h2").agg(rep)
-    # a document whose key has several texts joins their classes
-    placed = classes.join(all_groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    joined = own.join(placed, ["h1", "h2"], "left")
-    null_key = (1 << 63) - 1
-    shown = lambda c: F.when(F.col(c) != null_key, F.col(c))
-    return joined.select(shown("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, shown("component_id")).otherwise(shown("key")).alias("component_id"))
+    # classes of sets, and only now the keys of their rows
+    sets = own.where("size > 0").groupBy("h1", "h2").agg(F.min("key").alias("rep"))
+    classed_sets = sets.join(all_groups, F.col("h1") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "h1").alias("class"))
+    smallest = classed_sets.groupBy("class").agg(F.min("rep").alias("component_id"))
+    joined = own.join(classed_sets.join(smallest, "class").select("h1", "h2", "class", "component_id"), ["h1", "h2"], "left")
+    more = [F.col("digest").alias("_digest"), F.col("class").alias("_class")] if keep_digest else []
+    return joined.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), *more)
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """The rows of `docs` that stand for their class: those whose key is the class's own, one row per key.
+def keep_one(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of `docs` that stand for their class, from similar_classes with keep_digest: of each class, one row of its smallest key.
 
-    Rows without a key stay; of equal ones, one.
+    A row goes only if its own text is in the class of a row that stays. So rows of one key whose texts are not
+    similar all stay. In classes in which no row has a key all rows stay; of equal ones, one.
     """
-    chosen = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    often = docs.groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key")
-    once = kept.join(often, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-    again = kept.join(often, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return once.unionByName(again.where(F.col(key).isNotNull()).dropDuplicates([key])).unionByName(again.where(F.col(key).isNull()).dropDuplicates())
+    apart = F.when(F.col(key).isNull(), F.col("_digest"))
+    own = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key"), "_class", apart.alias("_apart"), "_digest").agg(F.count("*").alias("_rows"))
+    one = own.groupBy("_key", "_class", "_apart").agg(F.min(F.struct("_digest", "_rows")).alias("_one"))
+    chosen = one.select("_key", F.col("_one._digest").alias("_digest"), F.col("_one._rows").alias("_rows"))
+    here = lambda some: docs.join(some, F.col(key).eqNullSafe(F.col("_key")) & (digest_of(text) == F.col("_digest")), "left_semi")
+    once, again = here(chosen.where("_rows = 1")), chosen.where("_rows > 1")
+    keyed, unkeyed = here(again.where("_key is not null")), here(again.where("_key is null"))
+    return once.unionByName(keyed.withColumn("_digest", digest_of(text)).dropDuplicates([key, "_digest"]).drop("_digest")).unionByName(unkeyed.dropDuplicates())

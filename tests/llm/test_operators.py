@@ -274,6 +274,21 @@ def test_jaccard_of_spread_keys(spark):
     same(jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect(), want)
 
 
+def test_rows_without_a_key_of_their_own(spark):
+    """Null and repeated ids link no texts; a row goes only for a similar one that stays."""
+    r = random.Random(8)
+    text = lambda: " ".join("v%d" % r.randrange(10**6) for _ in range(150))
+    near, far, top = text(), [text() for _ in range(6)], (1 << 63) - 1
+    rows = [(10, near), (None, near + " end"), (None, far[0]), (None, far[1]), (None, far[1]), (None, None), (20, far[2]), (20, far[3]), (20, far[2] + " end"), (5, far[4]), (20, far[4] + " end"), (top, far[5])]
+    docs = frame(spark, rows)
+    want = [(k, 148 + t.endswith(" end") if t else 0, {near[:9]: 10, far[2][:9]: 20, far[3][:9]: 20, far[4][:9]: 5, far[5][:9]: top}.get((t or "")[:9])) for k, t in rows]
+    same(jaccard.similar_classes(docs, "doc_id", "text", 3, 90).collect(), want)
+    classes = jaccard.similar_classes(docs, "doc_id", "text", 3, 90, keep_digest=True)
+    kept = [(x["doc_id"], x["text"]) for x in jaccard.keep_one(docs, classes, "doc_id", "text").collect()]
+    assert len(kept) == 8 and sum(k == 20 and t.startswith(far[2]) for k, t in kept) == 1
+    same([x for x in kept if not (x[0] == 20 and x[1].startswith(far[2]))], [(10, near), (None, far[0]), (None, far[1]), (None, None), (20, far[3]), (5, far[4]), (top, far[5])])
+
+
 def test_lists_need_their_columns():
     import pyarrow as pa
 
