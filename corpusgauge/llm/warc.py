@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.shared import one_by_one, place, stored, write_whole
 
-#: Longest header block that is taken for one, and how much is read at a time.
+#: First step of the search for a header's end, which doubles, and how much is read at a time.
 MAX_HEAD, CHUNK = 64 * 1024, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 _LINE = re.compile(rb"WARC/[01]\.[0-9]\r?\n")
@@ -113,9 +113,10 @@ def _plain(data: bytes, whole: bool) -> tuple[dict, bytes, int] | str | None:
     m = _LINE.match(data)
     if not m:
         return "version line" if len(data) > 12 or whole else None
-    end = data.find(b"\r\n\r\n", m.end() - 2, MAX_HEAD)
+    end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
-        return "header" if len(data) >= MAX_HEAD or whole else None
+        # a header may have any size, but each of its whole lines a colon
+        return "header" if whole or any(b":" not in x for x in data[m.end() :].split(b"\r\n")[:-1]) else None
     head: dict[str, str] = {}
     for line in data[m.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -173,7 +174,7 @@ def salvage(file, gzip: bool) -> Iterator[tuple[int, int, dict | None, bytes, st
                 if isinstance(found, tuple) and found[2] != len(got[0]):
                     found = "length"
         else:
-            size = CHUNK
+            size = MAX_HEAD
             while (found := _plain(src.data, src.over)) is None:
                 size = max(size * 2, len(src.data) + CHUNK)
                 src.need(size)

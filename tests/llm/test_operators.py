@@ -334,6 +334,16 @@ def test_warc(spark, gzip):
     assert warc.read_archives(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_warc_of_long_urls(spark, gzip):
+    rows = [(1, "u", "<p>one</p>"), (2, "v" * 100_000, "<p>one</p>"), (3, " " * 40_000, "<p>three</p>"), (4, "w", "<p>four</p>")]
+    folder = new_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "page_id", "url", "html", folder, gzip)
+    records = warc.read_archives(spark, folder)
+    same(warc.page_digests(records).collect(), brute.pages([(k, h) for k, _, h in rows]))
+    assert {(r["kind"], r["page_key"], len(r["url"] or "")) for r in records.collect()} == {("record", "1", 1), ("record", "2", 100_000), ("record", "3", 120_000), ("record", "4", 1)}
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage(tmp_path, gzip):
     records = [warc._record("response", str(i), "u", b"<p>%d</p>" % i * 50, None) for i in range(6)]
