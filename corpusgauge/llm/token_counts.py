@@ -46,8 +46,8 @@ class Rollup:
     """Totals in a folder: one small table of folded deltas per batch, named by the batch.
 
     A batch is committed by the writer's own _SUCCESS mark; committing a batch of the same name again replaces nothing and
-    adds nothing, half a batch is overwritten. Totals are the sum over all committed batches. compact() folds
-    batches into one base table whose name lists what it holds, and the batches it holds no longer count.
+    adds nothing, half a batch is overwritten. Totals are the sum over all committed batches; batches are never merged,
+    so reading totals takes one small table per batch ever committed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
