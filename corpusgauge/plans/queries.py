@@ -714,7 +714,7 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
 def trivial_classifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.features(spark, sf)
     columns = ["n_chars", "n_words", "n_digits", "n_lines", "fixed"]
-    return classifiers.trivial_classifier(rows, columns, "doc_id", rounds=5, importance=False).to_df(rows)
+    return classifiers.trivial_classifier(rows, columns, "doc_id").to_df(rows)
 
 
 @query
@@ -727,7 +727,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
         placed.withColumn("y", decision.label_to_int(F.col("label")).cast("double"))
     )
     quarter = F.col("rank") % 4 == 0
-    model = classifiers.GBTClassifier(featuresCol="vector", labelCol="y", maxIter=5, maxDepth=4, seed=42).fit(vectors.filter(~quarter))
+    model = classifiers.GBTClassifier(featuresCol="vector", labelCol="y", maxIter=100, maxDepth=4, seed=42).fit(vectors.filter(~quarter))
     return classifiers.permutation_importance(vectors.filter(quarter), model, columns, "doc_id", 42)
 
 
@@ -736,7 +736,7 @@ def audit_compare(spark: SparkSession, sf: str) -> DataFrame:
     meta = audit.metadata_features(v.manifest(spark, sf).filter(F.col("read_error").isNull()), ["rel_path", "label"])
     small = [c for c in audit.METADATA_FEATURES if c not in audit.SIZE_FEATURES]
     sets = {"metadata": audit.METADATA_FEATURES, "metadata_no_filesize": small}
-    return classifiers.audit_compare(meta, sets, "rel_path", folds=2, rounds=3, importance=False)
+    return classifiers.audit_compare(meta, sets, "rel_path")
 
 
 @query

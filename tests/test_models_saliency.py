@@ -141,3 +141,30 @@ def test_early_stop(spark):
     for patience in (1, 3, 5):
         got = {r["run"]: (r["best_epoch"], r["best_auc"], r["epochs_run"], r["stopped"]) for r in selection.early_stop(df, patience).collect()}
         assert got == {run: early_by_hand(values, patience) for run, values in runs.items()}
+
+
+def test_registered_fits_are_full(monkeypatch):
+    """The named queries fit with the library's own rounds, folds and importance."""
+    import inspect
+
+    from corpusgauge.plans import queries
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def record(name):
+        def call(*args, **options):
+            seen[name] = options
+            raise Stop
+
+        return call
+
+    monkeypatch.setattr(queries.v, "features", lambda *_: None)
+    monkeypatch.setattr(queries.classifiers, "trivial_classifier", record("trivial"))
+    with pytest.raises(Stop):
+        queries.trivial_classifier(None, "")
+    assert not {"rounds", "folds", "importance"} & set(seen["trivial"])
+    for name, cut in (("audit_compare", "rounds="), ("audit_compare", "folds="), ("audit_compare", "importance="), ("permutation_importance", "maxIter=5")):
+        assert cut not in inspect.getsource(getattr(queries, name))
