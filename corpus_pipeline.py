@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic), ("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("substring dedup", cut_repeats), ("best-fit packing", pack),
 ]
 
-#: Tokenizers and the learned stages cannot be written in SQL; a brute-force version checks the rows.
+#: Tokenizers and the learned stages cannot be written in SQL. Tests check planted cases only: nothing compares all rows of the stages as chained.
 ORACLE_SQL = None
 
 
