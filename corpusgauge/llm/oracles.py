@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusgauge.llm import licenses
 from corpusgauge.llm.quality import ERROR, GRIDS, PRICE, RISK
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -112,4 +113,79 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest,
     CASE WHEN page_id <> last THEN last END AS refers_to FROM named
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4, "op7_substring_dedup": OP7, "op8_ngram_jaccard": OP8, "op9_embedding_near_dedup": OP9, "op10_warc": OP10}
+_LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rows(values: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in values)
+
+
+OP11 = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LICENSE_WORDS}') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM texts),
+next AS (SELECT doc_id, pos, word, lead(word, 1) OVER own AS w2, lead(word, 2) OVER own AS w3 FROM words WINDOW own AS (PARTITION BY doc_id ORDER BY pos)),
+base AS (SELECT doc_id, pos, label FROM next, (VALUES {_rows(list(licenses.PHRASES.items()))}) p(phrase, label) WHERE word || ' ' || w2 = phrase OR word || ' ' || w2 || ' ' || w3 = phrase),
+based AS (SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last FROM base GROUP BY doc_id),
+notices AS (
+    SELECT notice, label, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place
+    FROM (SELECT notice, label, regexp_extract_all({_LOWER.format("t")}, '{_LICENSE_WORDS}') AS w FROM (VALUES {_rows([(n, label, t) for n, (label, t) in enumerate(licenses.NOTICES)])}) v(notice, label, t))
+), places AS (SELECT *, lead(word, 1) OVER own AS w2, lead(word, 2) OVER own AS w3 FROM notices WINDOW own AS (PARTITION BY notice ORDER BY place)),
+votes AS (
+    SELECT doc_id, notice, n.pos - place AS shift, count(*) AS votes FROM next n JOIN places p ON n.word = p.word AND n.w2 = p.w2 AND n.w3 = p.w3 GROUP BY doc_id, notice, n.pos - place
+), agreed AS (
+    SELECT doc_id, notice, shift, sum(votes) OVER (PARTITION BY doc_id, notice ORDER BY shift RANGE BETWEEN CURRENT ROW AND {licenses.SLACK} FOLLOWING) AS agree FROM votes
+), asked AS (
+    SELECT a.* FROM agreed a JOIN (SELECT notice, count(*) AS n FROM notices GROUP BY notice) s USING (notice) WHERE agree >= {licenses.VOTES} * greatest(1, s.n - {licenses.GRAM - 1})
+), shares AS (
+    SELECT a.doc_id, a.notice, a.shift, any_value(t.label) AS label, count(DISTINCT t.place) / any_value(t.n)::DOUBLE AS share
+    FROM asked a JOIN notices t USING (notice) JOIN words d ON d.doc_id = a.doc_id AND d.word = t.word AND d.pos - t.place BETWEEN a.shift AND a.shift + {licenses.SLACK} GROUP BY ALL
+), labelled AS (SELECT doc_id, label, share FROM shares WHERE share >= {licenses.WORDS} UNION ALL SELECT doc_id, label, 0 FROM base),
+joined AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM labelled GROUP BY doc_id),
+base_joined AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first AS first_word, b.last AS last_word, coalesce(x.labels, '') AS base_labels,
+    coalesce(j.labels, '') AS labels, coalesce(j.score, 0)::DOUBLE AS score
+FROM texts t LEFT JOIN based b USING (doc_id) LEFT JOIN joined j USING (doc_id) LEFT JOIN base_joined x USING (doc_id)
+"""
+
+#: A run of lag q holds at least five places whose next five words stand q further on too; only those pairs are compared.
+OP12 = rf"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+        lambda c, x: list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(c, x)), 4294967295::BIGINT)) AS h FROM documents
+), drawn AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM split),
+placed AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM drawn),
+texts AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM placed),
+words AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM texts),
+grams AS (
+    SELECT doc_id, n, pos, hash(word, lead(word, 1) OVER own, lead(word, 2) OVER own, lead(word, 3) OVER own, lead(word, 4) OVER own) AS gram
+    FROM words WINDOW own AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(word, 4) OVER own IS NOT NULL
+), pairs AS (SELECT x.doc_id, x.pos AS i, y.pos - x.pos AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+stretches AS (
+    SELECT doc_id, q, min(i) AS first, count(*) + 4 + q AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (SELECT doc_id, first, size, min(q) AS q FROM stretches WHERE size >= greatest(6, 4 * q) GROUP BY doc_id, first, size),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, sha256(string_agg(first || ',' || size || ',' || q || chr(10), '' ORDER BY first, q)) AS digest, list(struct_pack(size := size, first := first, q := q) ORDER BY size DESC, first, q)[1] AS top
+    FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(first + q, first + size)) AS pos FROM runs),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS left_over FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.first::BIGINT AS start, top.size::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.size // top.q)::BIGINT AS exponent_milli,
+    coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+OP13 = r"""
+WITH cuts AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id::VARCHAR) AS x FROM documents
+), drawn AS (
+    SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS c2, ('0x' || x[25:32])::BIGINT % 100 AS draw,
+        t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 100 AS plain FROM cuts
+), parts AS (
+    SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:n], '') AS s FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN draw < 50 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+    sha256(CASE WHEN plain THEN t WHEN draw < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4, "op7_substring_dedup": OP7, "op8_ngram_jaccard": OP8, "op9_embedding_near_dedup": OP9, "op10_warc": OP10, "op11_license_scan": OP11, "op12_periodic_runs": OP12, "op13_fill_in_middle": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import bpe, embeddings, jaccard, packing, quality, shards, substrings, token_counts, toxicity, warc
+from corpusgauge.llm import bpe, embeddings, infill, jaccard, licenses, packing, periods, quality, shards, substrings, token_counts, toxicity, warc
 from corpusgauge.llm.oracles import ORACLES  # noqa: F401
 from corpusgauge.llm.shared import new_folder
 
@@ -100,10 +100,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_archives(spark, folder))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth is made periodic: from word a on, original words a .. a+p-1 are repeated to the same number of words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    w, a, p = F.col("planted.w"), F.col("planted.a"), F.col("planted.p")
+    # computed for the tenth only: the condition stands around the array
+    planted = F.when(h % 10 == 0, F.struct(words.alias("w"), F.floor(h / 10).alias("g")))
+    docs = docs.select("doc_id", "text", planted.alias("planted")).withColumn("planted", F.when(F.size("planted.w") > 0, F.struct("planted.w", "planted.g", (F.col("planted.g") % F.size("planted.w")).alias("a"))))
+    docs = docs.withColumn("planted", F.when(F.col("planted").isNotNull(), F.struct("planted.w", "planted.a", (1 + F.floor((F.size("planted.w") - F.col("planted.a")) / (3 + F.col("planted.g") % 8))).alias("p"))))
+    at = F.transform(w, lambda x, i: F.element_at(w, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
+    return docs.select("doc_id", F.when(F.col("planted").isNotNull(), F.array_join(at, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(with_periods(table(spark, sf_dir, "documents")), "doc_id", "text")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.before")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = infill.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", seed=7, rate=100, spm=50)
+    return infill.digests(pieces).select(F.col("key").alias("doc_id"), F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_token_id_shards, op3_bpe_round_trip, op4_quality_rules, op5_token_rollup, op6_toxicity,
-        op7_substring_dedup, op8_ngram_jaccard, op9_embedding_near_dedup, op10_warc,
+        op7_substring_dedup, op8_ngram_jaccard, op9_embedding_near_dedup, op10_warc, op11_license_scan, op12_periodic_runs, op13_fill_in_middle,
     )
 }
