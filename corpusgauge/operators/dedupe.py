@@ -1,58 +1,33 @@
 """Near duplicates under two 64-bit fingerprints, and what to drop because of them.
 
-Two items are near when both fingerprints differ in at most d bits. Cut into d + 1 chunks, two
-fingerprints that close agree on at least one whole chunk (pigeonhole), and this holds for each of
-the two. Candidates therefore share one chunk of the first and one of the second fingerprint:
-(d + 1)^2 narrow join keys, exact, and far fewer false candidates than chunks of one alone.
+Two items are near when both fingerprints differ in at most d bits; `close_prints` finds them.
 
 Copies are folded before anything is compared. The unit is the *print*, a distinct pair of
-fingerprints, known by its smallest item id. Pair tables are kept per print, or per cell (print,
-dataset, split, label), with the number of item pairs each row stands for; so a group of copies
-holding a third of all items is one row, totals stay exact and nothing quadratic is written.
+fingerprints, known by its smallest item id, or a *cell*, the items of one print, dataset, split and label.
+Pair tables hold one row per pair of these with the number of item pairs it stands for; so a group of copies
+holding a third of all items is one row, totals stay exact and nothing quadratic is written. Drops and the report need no
+pair table at all: buckets give each cell's smallest partner and sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.caching import keep
+from corpusgauge.operators.close_prints import HOT_BUCKET, chunk, chunk_masks, close_pairs, partners
 from corpusgauge.operators.joins import HOT_ROWS, lookup_join
 from corpusgauge.operators.ordering import first_per_group
 
-HASH_BITS = 64
-HOT_BUCKET = 20_000
 CELL = ("dataset", "split", "label")
 
 
-def chunk_masks(max_distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of the d + 1 chunks; the first ones take the spare bits."""
-    if not 0 <= max_distance <= 16:
-        raise ValueError(f"distance must be in 0..16, got {max_distance}")
-    n = max_distance + 1
-    widths = [HASH_BITS // n + (1 if i < HASH_BITS % n else 0) for i in range(n)]
-    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
-
-
-def _chunk(hash_: Column, shift: int, width: int) -> Column:
-    part = F.shiftrightunsigned(hash_, shift)
-    return part if width == HASH_BITS else part.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-
-
-def _first_equal_chunk(difference: Column, max_distance: int) -> Column:
-    """Index of the first chunk without a differing bit."""
-    out = F.lit(None).cast("int")
-    for i, (shift, width) in reversed(list(enumerate(chunk_masks(max_distance)))):
-        out = F.when(_chunk(difference, shift, width) == 0, i).otherwise(out)
-    return out
-
-
 def bucket_sizes(items: DataFrame, max_distance: int) -> DataFrame:
     """Items per (chunk number, chunk value) of the first fingerprint."""
     parts = [
-        F.struct(F.lit(i).alias("band"), _chunk(F.col("phash"), s, w).alias("chunk"))
+        F.struct(F.lit(i).alias("band"), chunk(F.col("phash"), s, w).alias("chunk"))
         for i, (s, w) in enumerate(chunk_masks(max_distance))
     ]
     return items.select(F.inline(F.array(*parts))).groupBy("band", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -76,41 +51,8 @@ def prints_of(cells: DataFrame) -> DataFrame:
 
 def print_pairs(prints: DataFrame, max_distance: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Pairs of different prints within the distance: print_i < print_j, both distances, both sizes."""
-    layout = chunk_masks(max_distance)
-    side = max_distance + 1
-    base = ["print_id", "phash", "dhash", "n"]
-
-    def chunks(name: str) -> Column:
-        return F.array(*[_chunk(F.col(name), *part) for part in layout])
-
-    halves = prints.select(*base, F.posexplode(chunks("phash")).alias("i", "kp"))
-    keyed = halves.select(*base, "i", "kp", F.posexplode(chunks("dhash")).alias("j", "kd"))
-    banded = keyed.select(*base, (F.col("i") * side + F.col("j")).alias("band"), "kp", "kd")
-
-    # a crowded bucket is cut into shares: each left row goes to one share, right rows to all
-    bucket = ["band", "kp", "kd"]
-    crowded = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_bucket)
-    shares = crowded.select(*bucket, F.ceil(F.col("_size") / hot_bucket).cast("int").alias("_shares"))
-    sized = banded.join(shares, bucket, "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
-    left = sized.withColumn("share", F.pmod(F.xxhash64("print_id"), F.col("_shares")).cast("int"))
-    right = sized.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-
-    a, b = left.alias("a"), right.alias("b")
-    dp = F.col("a.phash").bitwiseXOR(F.col("b.phash"))
-    dd = F.col("a.dhash").bitwiseXOR(F.col("b.dhash"))
-    # a pair may share several buckets; it counts in the first one only
-    here = _first_equal_chunk(dp, max_distance) * side + _first_equal_chunk(dd, max_distance)
-    close = (F.bit_count(dp) <= max_distance) & (F.bit_count(dd) <= max_distance)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*bucket, "share"]]
-    met = a.join(b, [*same, F.col("a.print_id") < F.col("b.print_id"), close, here == F.col("a.band")])
-    return met.select(
-        F.col("a.print_id").alias("print_i"),
-        F.col("b.print_id").alias("print_j"),
-        F.bit_count(dp).alias("phash_dist"),
-        F.bit_count(dd).alias("dhash_dist"),
-        F.col("a.n").alias("n_i"),
-        F.col("b.n").alias("n_j"),
-    )
+    found = close_pairs(prints.select("phash", "dhash", "print_id", "n"), ["print_id"], max_distance, hot_bucket)
+    return found.select(F.col("print_id_i").alias("print_i"), F.col("print_id_j").alias("print_j"), "phash_dist", "dhash_dist", "n_i", "n_j")
 
 
 def near_duplicate_pairs(items: DataFrame, max_distance: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -162,53 +104,29 @@ def annotate_pairs(
 def _annotated(
     cells: DataFrame, split_priority: Sequence[str], max_distance: int = 4, hot_bucket: int = HOT_BUCKET
 ) -> DataFrame:
-    prints = prints_of(cells)
-    named = cells.join(prints.select("phash", "dhash", "print_id"), ["phash", "dhash"]).drop("phash", "dhash")
-    named = named.withColumn("rank", _split_rank(F.col("split"), split_priority))
-    between = print_pairs(prints, max_distance, hot_bucket).drop("n_i", "n_j")
-    within = prints.filter(F.col("n") > 1).select(
-        F.col("print_id").alias("print_i"),
-        F.col("print_id").alias("print_j"),
-        F.lit(0).alias("phash_dist"),
-        F.lit(0).alias("dhash_dist"),
-    )
-
-    def side(tag: str) -> DataFrame:
-        return named.select(
-            F.col("print_id").alias(f"print_{tag}"),
-            *[F.col(c).alias(f"{c}_{tag}") for c in (*CELL, "rank", "n", "first_id")],
-        )
-
-    both = between.unionByName(within).join(side("i"), "print_i").join(side("j"), "print_j")
-    key_i, key_j = (F.struct(*[F.col(f"{c}_{t}") for c in CELL]) for t in "ij")
-    own = (F.col("print_i") == F.col("print_j")) & (F.col("first_id_i") == F.col("first_id_j"))
-    pairs = F.when(own, F.expr("n_i * (n_i - 1) div 2")).otherwise(F.col("n_i") * F.col("n_j"))
-    once = (F.col("print_i") < F.col("print_j")) | (F.col("first_id_i") <= F.col("first_id_j"))
+    own_print = F.min("first_id").over(Window.partitionBy("phash", "dhash"))
+    named = cells.withColumn("print", own_print).withColumn("rank", _split_rank(F.col("split"), split_priority))
+    between = close_pairs(named, ["print", "first_id"], max_distance, hot_bucket).withColumn("pairs", F.col("n_i") * F.col("n_j"))
+    sides = [F.col(c).alias(f"{c}_{t}") for t in "ij" for c in named.columns if c not in ("phash", "dhash")]
+    own = named.filter(F.col("n") > 1).select(*sides, F.lit(0).alias("phash_dist"), F.lit(0).alias("dhash_dist"), F.expr("n * (n - 1) div 2").alias("pairs"))
     return (
-        both.filter(once)
-        .withColumn("pairs", pairs)
-        .filter(F.col("pairs") > 0)
+        between.unionByName(own)
         .withColumn("cross_split", F.col("rank_i") != F.col("rank_j"))
-        .withColumn("label_conflict", key_i["label_i"] != key_j["label_j"])
+        .withColumn("label_conflict", F.col("label_i") != F.col("label_j"))
     )
 
 
-def _drop_cells(annotated: DataFrame) -> DataFrame:
-    """Per (print, split) that loses: the smallest partner id in an earlier split, with distances.
+def _partners(cells: DataFrame, split_priority: Sequence[str], max_distance: int, hot_bucket: int) -> DataFrame:
+    folded = cells.groupBy("phash", "dhash", "split", "label").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+    return partners(folded.withColumn("rank", _split_rank(F.col("split"), split_priority)), max_distance, hot_bucket)
 
-    An item's first pair in (i, j) order is the one with its smallest partner, on whichever side.
-    """
-    cross = annotated.filter("cross_split")
 
-    def losing(lose: str, keep: str) -> DataFrame:
-        return cross.filter(F.col(f"rank_{lose}") > F.col(f"rank_{keep}")).select(
-            F.col(f"print_{lose}").alias("print_id"),
-            F.col(f"split_{lose}").alias("split"),
-            F.struct(F.col(f"first_id_{keep}").alias("kept_id"), "phash_dist", "dhash_dist").alias("best"),
-        )
+def _drop_cells(found: DataFrame) -> DataFrame:
+    """Per (print, split) that loses: the smallest partner id in an earlier split.
 
-    both = losing("i", "j").unionByName(losing("j", "i"))
-    return both.groupBy("print_id", "split").agg(F.min("best").alias("best")).select("print_id", "split", "best.*")
+    An item's first pair in (i, j) order is the one with its smallest partner, on whichever side.
+    """
+    return found.filter("kept_id is not null").groupBy("phash", "dhash", "split").agg(F.min("kept_id").alias("kept_id"))
 
 
 def resolve_drops(
@@ -216,18 +134,19 @@ def resolve_drops(
 ) -> DataFrame:
     """One row per item to drop: its near partner sits in an earlier split. Same-split pairs stay."""
     cells = cells_of(items)
-    return _drops(items, cells, _annotated(cells, split_priority, max_distance, hot_bucket))
+    return _drops(items, cells, _partners(cells, split_priority, max_distance, hot_bucket))
 
 
-def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _drops(items: DataFrame, cells: DataFrame, found: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     kept = items.select(
         F.col("item_id").alias("kept_id"),
+        F.col("phash").alias("kept_phash"),
+        F.col("dhash").alias("kept_dhash"),
         F.col("dataset").alias("duplicate_of_dataset"),
         F.col("split").alias("duplicate_of_split"),
         F.col("rel_path").alias("duplicate_of_rel_path"),
     )
-    prints = prints_of(cells).select("phash", "dhash", "print_id")
-    losers = _drop_cells(annotated).join(kept, "kept_id").join(prints, "print_id").drop("print_id", "kept_id")
+    losers = keep(_drop_cells(found)).join(kept, "kept_id").drop("kept_id")
     key = ["phash", "dhash", "split"]
     sizes = cells.groupBy(*key).agg(F.sum("n").alias("n"))
     return lookup_join(items, losers, key, sizes, hot_rows).select(
@@ -237,8 +156,8 @@ def _drops(items: DataFrame, cells: DataFrame, annotated: DataFrame, hot_rows: i
         "duplicate_of_dataset",
         "duplicate_of_split",
         "duplicate_of_rel_path",
-        "phash_dist",
-        "dhash_dist",
+        F.bit_count(F.col("phash").bitwiseXOR(F.col("kept_phash"))).alias("phash_dist"),
+        F.bit_count(F.col("dhash").bitwiseXOR(F.col("kept_dhash"))).alias("dhash_dist"),
     )
 
 
@@ -256,16 +175,24 @@ def pair_totals(annotated: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_report(items: DataFrame, split_priority: Sequence[str], max_distance: int = 4) -> DataFrame:
+def dedupe_report(items: DataFrame, split_priority: Sequence[str], max_distance: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Long report (metric, dataset, split, n): pair totals, items hashed, drops, drops per split."""
     cells = cells_of(items)
-    annotated = keep(_annotated(cells, split_priority, max_distance))
-    totals = pair_totals(annotated)
+    found = keep(_partners(cells, split_priority, max_distance, hot_bucket))
+    # pairs inside a cell are neither across splits nor in conflict, but datasets are folded in the sums of partners
+    inside = cells.groupBy("phash", "dhash", "split", "label").agg(F.sum("n").alias("n"))
+    own = inside.select(F.expr("n * (n - 1) div 2").alias("total"), F.lit(0).cast("bigint").alias("cross"), F.lit(0).cast("bigint").alias("conflict"))
+    sums = found.select("total", "cross", "conflict").unionByName(own).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "cross", "conflict")])
+    totals = sums.select(
+        F.col("total").alias("pairs_total"),
+        (F.col("total") - F.col("cross")).alias("pairs_same_split"),
+        F.col("cross").alias("pairs_cross_split"),
+        F.col("conflict").alias("pairs_with_label_conflict"),
+    )
     names = ["pairs_total", "pairs_same_split", "pairs_cross_split", "pairs_with_label_conflict"]
     rows = totals.unpivot([], names, "metric", "n")
     hashed = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("metric", F.lit("images_hashed"))
-    sizes = cells.join(prints_of(cells).select("phash", "dhash", "print_id"), ["phash", "dhash"])
-    drops = sizes.join(_drop_cells(annotated).select("print_id", "split"), ["print_id", "split"])
+    drops = cells.join(_drop_cells(found), ["phash", "dhash", "split"])
     by_split = drops.groupBy("dataset", "split").agg(F.sum("n").alias("n")).withColumn("metric", F.lit("dropped_by_dataset_split"))
     dropped = by_split.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("metric", F.lit("dropped_images"))
     plain = rows.unionByName(hashed).unionByName(dropped)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgauge.operators import dedupe
+from corpusgauge.operators import close_prints, dedupe
 
 SPLITS = ("train", "val", "test", "crossgen")
 
@@ -37,6 +37,24 @@ def planted(n=60, copies=20, exact=25, seed=4):
     return np.concatenate([base, near, np.repeat(base[:1], exact, axis=0)])
 
 
+def same_first_hash(n=70, seed=5):
+    """One first hash for all: buckets differ by the second one only."""
+    out = planted(n, 30, 5, seed)
+    out[:, 0] = 12345
+    return out
+
+
+def dense(n=120, seed=6):
+    """Different prints around one, nearly all of them close to each other."""
+    rng = np.random.default_rng(seed)
+    out = np.full((n, 2), 2**40 + 17, dtype=np.uint64)
+    for row in out:
+        for h in range(2):
+            for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+                row[h] ^= np.uint64(1) << np.uint64(bit)
+    return out
+
+
 def brute(pdf, d):
     rows = []
     records = pdf.sort_values("item_id").to_dict("records")
@@ -51,7 +69,7 @@ def brute(pdf, d):
 
 
 @pytest.mark.parametrize("d", [0, 2, 4])
-@pytest.mark.parametrize("hot", [dedupe.HOT_BUCKET, 2])
+@pytest.mark.parametrize("hot", [dedupe.HOT_BUCKET, 2, 7])
 def test_pairs_equal_brute_force(spark, d, hot):
     pdf, df = make(spark, planted())
     want = brute(pdf, d)
@@ -66,11 +84,13 @@ def test_pairs_equal_brute_force(spark, d, hot):
     assert len(key) == len(folded)
 
 
-def test_totals_and_drops_equal_brute_force(spark):
-    pdf, df = make(spark, planted())
+@pytest.mark.parametrize("hot", [dedupe.HOT_BUCKET, 3])
+@pytest.mark.parametrize("hashes", [planted(), same_first_hash(), dense()], ids=["planted", "constant", "dense"])
+def test_totals_and_drops_equal_brute_force(spark, hashes, hot):
+    pdf, df = make(spark, hashes)
     want = brute(pdf, 4)
     rank = {s: k for k, s in enumerate(SPLITS)}
-    totals = dedupe.pair_totals(dedupe.annotate_pairs(df, SPLITS)).first()
+    totals = dedupe.pair_totals(dedupe.annotate_pairs(df, SPLITS, hot_bucket=hot)).first()
     cross = [w for w in want if w[0]["split"] != w[1]["split"]]
     assert totals["pairs_total"] == len(want) and totals["pairs_cross_split"] == len(cross)
     assert totals["pairs_same_split"] == len(want) - len(cross)
@@ -79,7 +99,9 @@ def test_totals_and_drops_equal_brute_force(spark):
     for i, j, p, q in cross:
         lose, keep = (i, j) if rank[i["split"]] > rank[j["split"]] else (j, i)
         drops.setdefault(lose["rel_path"], (keep["rel_path"], p, q))
-    got = dedupe.resolve_drops(df.repartition(3), SPLITS).collect()
+    report = {r["metric"]: r["n"] for r in dedupe.dedupe_report(df, SPLITS, hot_bucket=hot).collect() if r["split"] is None}
+    assert {k: report[k] for k in totals.asDict()} == totals.asDict()
+    got = dedupe.resolve_drops(df.repartition(3), SPLITS, hot_bucket=hot).collect()
     assert {r["rel_path"]: (r["duplicate_of_rel_path"], r["phash_dist"], r["dhash_dist"]) for r in got} == drops
     assert len(got) == len(drops)
     border = dedupe.borderline_pairs(df, SPLITS, k=7).collect()
@@ -90,8 +112,8 @@ def test_totals_and_drops_equal_brute_force(spark):
 def test_hot_prints_are_joined_in_place(spark):
     _, df = make(spark, planted())
     cells = dedupe.cells_of(df)
-    annotated = dedupe.annotate_pairs(df, SPLITS)
-    plain, hot = (sorted(map(str, dedupe._drops(df, cells, annotated, n).collect())) for n in (10**6, 3))
+    found = dedupe._partners(cells, SPLITS, 4, dedupe.HOT_BUCKET)
+    plain, hot = (sorted(map(str, dedupe._drops(df, cells, found, n).collect())) for n in (10**6, 3))
     assert plain == hot and plain
     prints = dedupe.prints_of(cells)
     plain, hot = (sorted(map(str, dedupe._with_print(df, prints, n).collect())) for n in (10**6, 3))
@@ -141,3 +163,45 @@ def test_copies_never_multiply_rows(spark):
     folded = dedupe.near_duplicate_pairs(df, 4).collect()
     assert [(r["print_i"], r["n_i"], r["pairs"]) for r in folded] == [(0, 10_000, 10_000 * 9_999 // 2)]
     assert dedupe.resolve_drops(df, SPLITS).count() == 5_000
+
+
+def test_dense_cluster_gives_no_row_per_pair(spark):
+    """1,500 different prints within two bits of one: over a million close pairs, at most one row per print and bucket."""
+    rng = np.random.default_rng(8)
+    hashes = np.full((1500, 2), 99, dtype=np.uint64)
+    for row in hashes:
+        for h in range(2):
+            for bit in rng.choice(64, 2, replace=False):
+                row[h] ^= np.uint64(1) << np.uint64(bit)
+    _, df = make(spark, hashes)
+    cells = dedupe.cells_of(df)
+    found = dedupe._partners(cells, SPLITS, 4, dedupe.HOT_BUCKET)
+    sums = found.agg(F.sum("total")).first()[0]
+    assert sums > 1_000_000 and found.count() <= 25 * cells.count() + 100
+
+
+def test_one_exchange_a_level(spark):
+    """Rows are shuffled once, on their bucket."""
+    _, df = make(spark, planted())
+    prints = dedupe.prints_of(dedupe.cells_of(df))
+    plan = dedupe.print_pairs(prints, 4)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    buckets = [x for x in plan.splitlines() if "Exchange hashpartitioning(path" in x]
+    assert len(buckets) == 1 and "Join" not in plan
+
+
+def test_layout_of_the_bits():
+    """Chunks and what is left of them hold every bit once, level by level."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    for d in (0, 1, 4, 16):
+        bits, rest = 64, x
+        for _ in range(close_prints.LEVELS):
+            layout = close_prints.chunk_masks(d, bits)
+            assert sum(w for _, w in layout) == bits
+            taken = [close_prints._bits(rest, s, w) for s, w in layout]
+            total = sum(np.bitwise_count(t).astype(int) for t in taken)
+            assert (total == np.bitwise_count(rest)).all()
+            shift, width = layout[d // 2]
+            left = close_prints._without(rest, shift, width, bits)
+            assert (np.bitwise_count(left) + np.bitwise_count(taken[d // 2]) == np.bitwise_count(rest)).all()
+            bits, rest = bits - width, left
