@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.ordering import running_max, running_totals, with_value_blocks
-
 RESULT_SCHEMA = "event_id bigint, key string, accepted boolean, retry_after int"
 
 
@@ -43,17 +42,35 @@ class Window:
         return waits
 
 
+def _islands(slots: DataFrame) -> DataFrame:
+    """(key, starts) from (key, slots): first slots of all stretches of neighbouring slots, in lists of about the root of their number.
+
+    `starts` is an array of (first, all) sorted by first, so that the stretch of a slot is found without walking through them all.
+    Rows are one per key and stay where they are.
+    """
+    by_key = Over.partitionBy("key")
+    each = slots.select("key", F.explode("slots").alias("slot"))
+    begin = each.withColumn("before", F.lag("slot").over(by_key.orderBy("slot"))).filter("before is null or slot - before > 1")
+    numbered = begin.withColumns({"nth": F.row_number().over(by_key.orderBy("slot")), "count": F.count(F.lit(1)).over(by_key)})
+    lists = numbered.groupBy("key", F.floor((F.col("nth") - 1) / F.ceil(F.sqrt("count"))).alias("list")).agg(F.sort_array(F.collect_list("slot")).alias("all"))
+    return lists.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("all")[0].alias("first"), "all"))).alias("starts"))
+
+
 def idle_sessions(requests: DataFrame, window_seconds: int) -> DataFrame:
-    """Add `session`: a pause of a whole window empties a key's state, so what follows is independent."""
-    timed = requests.withColumn("at", F.unix_micros("ts"))
-    placed = with_value_blocks(timed, {"at": "_slot"})
-    seen = running_max(placed, ["key"], ["at", "event_id"], {"at_seen": F.col("at")}, F.col("_slot"))
-    starts = (F.col("at") - F.col("at_seen_before") >= window_seconds * 1_000_000) | F.col("at_seen_before").isNull()
-    flagged = seen.withColumn("_start", starts.cast("int"))
-    counted = running_totals(flagged, ["key"], ["at", "event_id"], {"s": F.col("_start")}, F.col("_slot"))
-    return counted.withColumn("session", F.col("s_before") + F.col("_start")).drop(
-        "_slot", "_start", "s_before", "s_total", "at_seen_before"
-    )
+    """Add `session`: a slot of time without a request empties a key's state, so what follows is independent.
+
+    Time is cut into slots of one window. Where a slot is empty, two requests lie more than a window apart. A key's
+    slots with requests are gathered first (one small row per key, folded map-side), their stretches are the sessions, and
+    each request looks its own up: the requests are shuffled once for that, and a crowded key's share is split by AQE.
+    """
+    timed = requests.withColumn("at", F.unix_micros("ts")).withColumn("slot", F.floor(F.col("at") / (window_seconds * 1_000_000)))
+    # a null key is a key of its own
+    timed = timed.withColumnRenamed("key", "plain").withColumn("key", F.coalesce(F.concat(F.lit("="), "plain"), F.lit("")))
+    islands = _islands(timed.groupBy("key").agg(F.collect_set("slot").alias("slots")))
+    found = timed.join(islands, "key")
+    nearest = F.element_at(F.filter("starts", lambda x: x["first"] <= F.col("slot")), -1)["all"]
+    session = F.element_at(F.filter(nearest, lambda x: x <= F.col("slot")), -1)
+    return found.withColumns({"session": session, "key": F.col("plain")}).drop("starts", "slot", "plain")
 
 
 def sliding_rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:

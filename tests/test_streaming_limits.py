@@ -48,6 +48,21 @@ def test_limit_with_a_hot_key(spark, limit):
     assert got == by_hand(times, limit, 20)
 
 
+def test_limit_of_a_null_key_and_of_the_edge_of_a_slot(spark):
+    """Requests without a key share one; a pause of just a window ends a session, a shorter one across slots doesn't."""
+    times = [(None, 0), (None, 5), (None, 9), (None, 19.5), ("a", 9.5), ("a", 10.5), ("a", 19.4), ("a", 19.5), ("a", 400), ("", 1)]
+    assert decided(sliding_rate_limit(requests(spark, times), 1, 10)) == by_hand(times, 1, 10)
+
+
+def test_limit_needs_three_exchanges(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sliding_rate_limit(requests(spark, [("a", 0), ("b", 1)]), 2, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     times = [(f"k{rng.integers(5)}", float(t)) for t in np.sort(rng.integers(0, 600, 300))]
