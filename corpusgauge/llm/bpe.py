@@ -6,6 +6,7 @@ The ids of such pieces do not depend on their neighbours, so a worker keeps the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -22,8 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of a leaf of the tree; longer texts are cut into leaves that are encoded in parallel.
 LEAF_CHARS = 16_384
-#: Pieces whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 600_000
+#: Pieces whose ids a worker keeps, per vocabulary and lead; beyond it the memory starts anew. About 20 MB.
+KEPT_PIECES = 100_000
 #: Bytes on either side of a join in the first window; later windows are four times as wide each.
 FIRST_WINDOW = 32
 
@@ -35,11 +36,79 @@ _ENDS = frozenset(".,;:!?")
 _ASCII_BLANK = re.compile(r"[\x20\t\n\r]+")
 
 
+#: How public vocabularies cut text; in each of these ways a run of letters, with one space before it or none, is one piece.
+_LETTER_CUTS = (
+    {"type": "ByteLevel", "use_regex": True},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+#: Bytes that no UTF-8 text holds: the end of a word in vocabularies that mark it, and what is put behind a piece to have its merges done one by one.
+_WORD_END, _BEHIND = b"\xff", b"\xfe"
+#: Letters below this one are cut, composed and lower-cased alike by every version of Unicode.
+_SETTLED = "\u0250"
+
+
+class Letters:
+    """Ids of runs of letters by the merges of a vocabulary file, without the library's work on cutting and offsets.
+
+    The merges run in another public library, which takes them as a table of byte strings in order; marks of a word's end
+    stand in it as a byte of their own that is always merged first.
+    """
+
+    def __init__(self, model: dict, lower: bool):
+        import tiktoken
+
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        of = {c: b for b, c in byte_letters().items()}
+        singles = [byte_letters()[b] for b in range(256)]
+        merged = ["".join(x.split(" ")) if isinstance(x, str) else "".join(x) for x in model["merges"]]
+
+        def raw(token: str) -> bytes:
+            ends = suffix and token.endswith(suffix) and token != suffix
+            return bytes(of[c] for c in (token[: -len(suffix)] if ends else token)) + (_WORD_END if ends else b"")
+
+        ordered = [*singles, *([c + suffix for c in singles if of[c] not in (_WORD_END[0], _BEHIND[0])] if suffix else []), *merged]
+        table = {raw(t): i for i, t in enumerate(ordered)}
+        if len(table) != len(ordered) or any(len(x) > 1 and _BEHIND in x for x in table):
+            raise ValueError("the merges do not stand for different bytes")
+        self.ids = [vocab[t] if t in vocab else None for t in ordered].__getitem__
+        self.core = tiktoken.Encoding("own", pat_str=r"\p{L}+", mergeable_ranks=table, special_tokens={})._core_bpe
+        self.lower, self.end = lower, (_WORD_END if suffix else b"") + _BEHIND
+
+    @classmethod
+    def of_file(cls, path: str) -> Letters | None:
+        """None where a vocabulary works in another way."""
+        with open(path) as f:
+            whole = json.load(f)
+        model, cuts, norm = whole["model"], whole["pre_tokenizer"] or {}, whole["normalizer"] or {"type": "Sequence", "normalizers": []}
+        first = cuts["pretokenizers"][0] if cuts.get("type") == "Sequence" and [x["type"] for x in cuts["pretokenizers"]] == ["Split", "ByteLevel"] else cuts
+        changes = [x["type"] for x in norm.get("normalizers", [norm])]
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if not plain or not set(changes) <= {"NFC", "Replace", "Lowercase"} or cuts.get("add_prefix_space") or not any(c.items() <= first.items() for c in _LETTER_CUTS):
+            return None
+        if any(x["type"] == "Replace" and x["pattern"] != {"Regex": r"\s+"} for x in norm.get("normalizers", [])):
+            return None
+        try:
+            return cls(model, "Lowercase" in changes)
+        except (KeyError, ValueError):
+            return None
+
+    def __call__(self, word: str, lead: str) -> bytes | None:
+        """Ids of a word that is letters alone, after `lead`; None if it is not, or its letters are not settled."""
+        if not word.isalpha():
+            return None
+        if self.lower:
+            word = word.lower()
+        if not word.isascii() and max(word) >= _SETTLED:
+            return None
+        return array("I", map(self.ids, self.core.encode_single_piece((lead + word).encode() + self.end)[:-1])).tobytes()
+
+
 class Pieces(dict):
-    """Ids of pieces as bytes; unknown ones are asked of the library when they are first looked up."""
+    """Ids of pieces as bytes; unknown ones are found when they are first looked up, runs of letters by their merges, others by the library."""
 
-    def __init__(self, library, lead: str):
+    def __init__(self, library, lead: str, letters: Letters | None = None):
         self.library, self.lead, self.marks, self.normalizer = library, lead, {}, library.normalizer
+        self.quick, self.letters = letters is not None, letters or (lambda word, lead: None)
         self.line_end = library.encode("\n", add_special_tokens=False).ids
 
     def _parts(self, piece: str) -> bool:
@@ -53,7 +122,7 @@ class Pieces(dict):
             if (mark := self.marks.get(piece[-1])) is None:
                 mark = self.marks[piece[-1]] = self._asked(piece[-1])
             ids = self[piece[:-1]] + mark
-        else:
+        elif (ids := self.letters(piece, self.lead)) is None:
             ids = self._asked(self.lead + piece)
         self[piece] = ids
         return ids
@@ -64,6 +133,8 @@ class Pieces(dict):
         Single line ends stand between the words: each is one id of its own and changes no word beside it. Where a
         vocabulary drops white space, or the ids do not fall apart into as many words, nothing is learned here.
         """
+        if self.quick:  # few words are left to ask for
+            return
         new = {w[:-1] if self._parts(w) else w for w in words if w not in self}
         new = [w for w in new if w not in self]
         if len(new) < 2 or len(self.line_end) != 1:
@@ -90,7 +161,8 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kept = kept
-        self.memory = {lead: Pieces(self.library, lead) for lead in ("", " ")}
+        letters = Letters.of_file(path)
+        self.memory = {lead: Pieces(self.library, lead, letters) for lead in ("", " ")}
         added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.keeps_space = self.library.normalizer is None

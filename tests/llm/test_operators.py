@@ -150,6 +150,20 @@ def test_normalized_words_with_marks(spark):
     same(got, brute.shards(rows, vocabulary(WORD_BPE)))
 
 
+def test_letters_by_their_merges():
+    """Runs of letters of many scripts: the same ids as the library's, whether the short way takes them or not."""
+    r = random.Random(7)
+    letters = [chr(c) for c in range(65, 0x250) if chr(c).isalpha()] + list("İıσς́Åǅ漢ﬁक़")
+    words = ["".join(r.choice(letters if r.random() < 0.3 else "etaoinshrdluETA") for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    for name in (WORD_BPE, BYTE_BPE):
+        t = brute.library(vocabulary(name))
+        short = bpe.Letters.of_file(vocabulary(name))
+        taken = [(w, ids) for w in words if (ids := short(w, "")) is not None]
+        assert len(taken) > 2000 and all(np.frombuffer(ids, "<u4").tolist() == brute.ids(t, w) for w, ids in taken)
+        tokens = [x for x in t.get_vocab() if x.isascii() and x.isalpha()]
+        assert all(np.frombuffer(short(x, ""), "<u4").tolist() == brute.ids(t, x) for x in tokens)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False)
     index = mph.PerfectHash.from_bytes(mph.PerfectHash.build(keys).to_bytes())
