@@ -24,7 +24,8 @@ STEM = 5
 FACTORS, EPOCHS, STEP, BATCH = 8, 25, 0.2, 256
 
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 400_000
+#: Words whose terms a task remembers; beyond it the memory starts anew.
+KEPT_WORDS = 100_000
 
 
 def hashes(word: str) -> tuple[int, ...]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ U = np.uint64
 #: Odd factors of the polynomial names of words and of word sequences.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -22,18 +21,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(size, base, U)
-        down = np.full(size, pow(base, -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
+#: One table of powers per base, which grows; a larger one than this is made for one use and not kept.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT_POWERS = (1 << 20) + 1
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 .. base^(n-1) modulo 2^64, and their inverses."""
-    return tuple(x[:n] for x in _powers(base, 1 << max(10, (n - 1).bit_length())))
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        size = n if n > KEPT_POWERS else min(KEPT_POWERS, 1 << max(10, (n - 1).bit_length()))
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
+            up[0] = down[0] = 1
+            have = np.cumprod(up), np.cumprod(down)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
+    return have[0][:n], have[1][:n]
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
