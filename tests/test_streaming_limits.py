@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusgauge.operators.history import expire_images, history_page, purge_count
 from corpusgauge.operators.limits import Window, sliding_rate_limit
 from corpusgauge.streaming.limits import limit_stream
-from corpusgauge.streaming.progress import read_ledger, stream_progress
+from corpusgauge.streaming.progress import bucket_versions, fold_batch, read_ledger, stream_progress
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -93,6 +93,46 @@ def test_progress_stream_keeps_the_last_record(spark, tmp_path):
     assert got == {"a": (4, "no_face"), "b": (2, "ok"), "c": (5, "ok")}
 
 
+def test_progress_rewrites_only_touched_buckets(spark, tmp_path):
+    """Files of an untouched bucket stay, replaced versions go, and a batch that runs again changes nothing."""
+    schema = "seq bigint, dataset string, rel_path string, status string"
+    path, seq = str(tmp_path / "ledger"), iter(range(10_000))
+    want = {}
+
+    def batch(names, number):
+        rows = [(next(seq), "d", name, f"s{number}") for name in names]
+        want.update({r[2]: (r[0], r[3]) for r in rows})
+        return spark.createDataFrame(rows, schema)
+
+    def files():
+        return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "ledger").rglob("part-*")}
+
+    def got():
+        return {r["rel_path"]: (r["seq"], r["status"]) for r in read_ledger(spark, path).collect()}
+
+    first = batch([f"f{i}" for i in range(200)], 0)
+    fold_batch(first, 0, path, buckets=16)
+    before, versions = files(), bucket_versions(spark, path)
+    assert len(versions) == 16 and got() == want
+    for n in range(1, 5):
+        again = batch(["f7", "f8"], n)
+        fold_batch(again, n, path, buckets=16)
+        fold_batch(again, n, path, buckets=16)  # as after a failure between writing and committing
+        assert got() == want
+    versions = bucket_versions(spark, path)
+    touched = {b for b, vs in versions.items() if vs[-1] > 0}
+    assert 1 <= len(touched) <= 2 and all(len(versions[b]) <= 3 for b in touched)
+    left = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    assert len(left) >= 14 and all(files()[f] == before[f] for f in left)
+    assert not any("v=0/bucket=%d/" % b in f for f in files() for b in touched)
+    assert read_ledger(spark, path, before=1).count() <= 200
+    fold_batch(first.limit(0), 5, path, buckets=16)
+    assert got() == want
+    with pytest.raises(ValueError, match="buckets"):
+        fold_batch(first, 6, path, buckets=8)
+    assert read_ledger(spark, str(tmp_path / "nothing")) is None
+
+
 def test_history(spark):
     rows = [(i, i % 2, START + dt.timedelta(days=i), f"{i}.jpg" if i != 3 else None) for i in range(10)]
     df = spark.createDataFrame(rows, "id bigint, user_id bigint, created_at timestamp, image_path string")
