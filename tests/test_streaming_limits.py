@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -171,3 +172,50 @@ def test_late_requests_are_decided(spark, tmp_path):
     out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     got = {r["event_id"]: r["accepted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert sorted(got) == [1, 2, 3, 4, 5] and got[1] and got[2] and not got[3] and got[4] and got[5]
+
+
+def test_state_of_quiet_keys_goes(spark, tmp_path):
+    """By the clock: states leave after a quiet window, late requests are decided all the same, and a key that comes back starts anew."""
+    schema = "event_id long, key string, ts timestamp"
+
+    def send(number, rows):
+        table = spark.createDataFrame([(e, k, START + dt.timedelta(seconds=t)) for e, k, t in rows], schema)
+        table.coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+
+    def wait_for(what):
+        end = time.time() + 120
+        while not what():
+            assert query.exception() is None and time.time() < end
+            time.sleep(0.3)
+
+    def decided_so_far():
+        return {r["event_id"]: r["accepted"] for r in spark.read.schema("event_id bigint, accepted boolean").parquet(f"{tmp_path}/out").collect()}
+
+    def states():
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    send(0, [(1, "a", 0), (2, "a", 1), (3, "b", 2), (4, "a", 2)])
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    writer = limit_stream(stream, 2, 3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
+    query = writer.trigger(processingTime="200 milliseconds").start(f"{tmp_path}/out")
+    try:
+        wait_for(lambda: query.lastProgress is not None and len(decided_so_far()) == 4)
+        assert decided_so_far() == {1: True, 2: True, 3: True, 4: False}
+        wait_for(lambda: states() == 0)
+        send(1, [(5, "a", 1), (6, "b", 0), (7, "c", 500), (8, "a", 2), (9, "a", 2)])
+        wait_for(lambda: len(decided_so_far()) == 9)
+        assert [decided_so_far()[e] for e in (5, 6, 7, 8, 9)] == [True, True, True, True, False]
+        wait_for(lambda: states() == 0)
+    finally:
+        query.stop()
+
+
+def test_one_key_of_many_requests_leaves_in_parts(spark, tmp_path):
+    """More requests of a key in one micro-batch than leave together, in any order."""
+    rng = np.random.default_rng(3)
+    times = [("k", float(t)) for t in rng.integers(0, 10**7, 45_000)]
+    requests(spark, times).repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id bigint, key string, ts timestamp").parquet(f"{tmp_path}/in")
+    out = limit_stream(stream, 2, 500, evict=False).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
+    out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert decided(spark.read.parquet(f"{tmp_path}/out")) == by_hand(times, 2, 500)
