@@ -11,7 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +36,22 @@ _ENDS = frozenset(".,;:!?")
 _ASCII_BLANK = re.compile(r"[\x20\t\n\r]+")
 
 
-#: How public vocabularies cut text; in each of these ways a run of letters, with one space before it or none, is one piece.
-_LETTER_CUTS = (
-    {"type": "ByteLevel", "use_regex": True},
-    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
-)
-#: Bytes that no UTF-8 text holds: the end of a word in vocabularies that mark it, and what is put behind a piece to have its merges done one by one.
-_WORD_END, _BEHIND = b"\xff", b"\xfe"
-#: Letters below this one are cut, composed and lower-cased alike by every version of Unicode.
-_SETTLED = "\u0250"
+#: How public vocabularies cut text. The first takes the space before a word along, the second drops blanks and marks a word's end.
+_SPACED_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ENDED_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The second cut for the characters below, in this language's own patterns.
+_ENDED_WORDS = re.compile("[a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: What every version of Unicode may not cut, compose or lower-case alike: controls, unusual blanks, numbers that are no digits, and all beyond Latin letters.
+_UNSETTLED = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
+#: A byte that stands for the mark of a word's end, and one to keep a token's merges from being passed over in the check of them.
+_WORD_END, _BEHIND = b"\x01", b"\xfe"
 
 
-class Letters:
-    """Ids of runs of letters by the merges of a vocabulary file, without the library's work on cutting and offsets.
+class Merges:
+    """Ids of whole texts of settled characters, by the merges of a vocabulary file.
 
-    The merges run in another public library, which takes them as a table of byte strings in order; marks of a word's end
-    stand in it as a byte of their own that is always merged first.
+    The merges run in another public library, which takes them as a table from bytes to ids, of which the smaller merges first.
+    A mark of a word's end is a byte of its own there, merged before all else.
     """
 
     def __init__(self, model: dict, lower: bool):
@@ -59,56 +59,62 @@ class Letters:
 
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         of = {c: b for b, c in byte_letters().items()}
-        singles = [byte_letters()[b] for b in range(256)]
-        merged = ["".join(x.split(" ")) if isinstance(x, str) else "".join(x) for x in model["merges"]]
+        merged = [vocab["".join(x.split(" ")) if isinstance(x, str) else "".join(x)] for x in model["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:], strict=False)) or len(vocab) - len(merged) != (512 if suffix else 256) or merged[0] != len(vocab) - len(merged):
+            raise ValueError("ids don't follow the order of the merges")
 
         def raw(token: str) -> bytes:
             ends = suffix and token.endswith(suffix) and token != suffix
             return bytes(of[c] for c in (token[: -len(suffix)] if ends else token)) + (_WORD_END if ends else b"")
 
-        ordered = [*singles, *([c + suffix for c in singles if of[c] not in (_WORD_END[0], _BEHIND[0])] if suffix else []), *merged]
-        table = {raw(t): i for i, t in enumerate(ordered)}
-        if len(table) != len(ordered) or any(len(x) > 1 and _BEHIND in x for x in table):
-            raise ValueError("the merges do not stand for different bytes")
-        self.ids = [vocab[t] if t in vocab else None for t in ordered].__getitem__
-        self.core = tiktoken.Encoding("own", pat_str=r"\p{L}+", mergeable_ranks=table, special_tokens={})._core_bpe
-        self.lower, self.end = lower, (_WORD_END if suffix else b"") + _BEHIND
+        table = {raw(t): i for t, i in vocab.items()}
+        self.core = tiktoken.Encoding("own", pat_str=r"[^\x01]+\x01" if suffix else _SPACED_CUT, mergeable_ranks=table, special_tokens={})._core_bpe
+        # a token that its own merges don't lead to would be taken whole
+        own = [t for t in table if t[-1:] != _BEHIND]
+        if len(table) != len(vocab) or any(self.core.encode_single_piece(t + _BEHIND)[:-1] != [table[t]] for t in own if len(t) > 2 or not suffix):
+            raise ValueError("a token is not what its merges give")
+        self.ended, self.lower = bool(suffix), lower
 
     @classmethod
-    def of_file(cls, path: str) -> Letters | None:
+    def of_file(cls, path: str) -> Merges | None:
         """None where a vocabulary works in another way."""
         with open(path) as f:
             whole = json.load(f)
-        model, cuts, norm = whole["model"], whole["pre_tokenizer"] or {}, whole["normalizer"] or {"type": "Sequence", "normalizers": []}
-        first = cuts["pretokenizers"][0] if cuts.get("type") == "Sequence" and [x["type"] for x in cuts["pretokenizers"]] == ["Split", "ByteLevel"] else cuts
-        changes = [x["type"] for x in norm.get("normalizers", [norm])]
-        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
-        if not plain or not set(changes) <= {"NFC", "Replace", "Lowercase"} or cuts.get("add_prefix_space") or not any(c.items() <= first.items() for c in _LETTER_CUTS):
-            return None
-        if any(x["type"] == "Replace" and x["pattern"] != {"Regex": r"\s+"} for x in norm.get("normalizers", [])):
+        model, cuts, norm = whole["model"], whole["pre_tokenizer"] or {}, whole["normalizer"]
+        changes = norm["normalizers"] if norm and norm["type"] == "Sequence" else [norm] if norm else []
+        kinds = [x["type"] for x in changes]
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
             return None
+        if model["end_of_word_suffix"]:
+            steps = cuts.get("pretokenizers", [{}, {}])
+            known = len(steps) == 2 and {"type": "Split", "pattern": {"Regex": _ENDED_CUT}, "behavior": "Removed", "invert": True}.items() <= steps[0].items()
+            known = known and {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}.items() <= steps[1].items()
+            known = known and set(kinds) <= {"NFC", "Replace", "Lowercase"} and all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in changes if x["type"] == "Replace")
+        else:
+            known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= cuts.items() and not changes
         try:
-            return cls(model, "Lowercase" in changes)
+            return cls(model, "Lowercase" in kinds) if known else None
         except (KeyError, ValueError):
             return None
 
-    def __call__(self, word: str, lead: str) -> bytes | None:
-        """Ids of a word that is letters alone, after `lead`; None if it is not, or its letters are not settled."""
-        if not word.isalpha():
-            return None
-        if self.lower:
-            word = word.lower()
-        if not word.isascii() and max(word) >= _SETTLED:
+    def __call__(self, text: str) -> bytes | None:
+        """Ids of a text; None if it holds other characters."""
+        if _UNSETTLED.search(text):
             return None
-        return array("I", map(self.ids, self.core.encode_single_piece((lead + word).encode() + self.end)[:-1])).tobytes()
+        if self.ended:
+            low = text.lower() if self.lower else text
+            if not low.isascii() and _UNSETTLED.search(low):  # small letters may lie elsewhere
+                return None
+            pieces = _ENDED_WORDS.findall(low)
+            text = "\x01".join(pieces) + "\x01" if pieces else ""
+        return array("I", self.core.encode_ordinary(text)).tobytes()
 
 
 class Pieces(dict):
-    """Ids of pieces as bytes; unknown ones are found when they are first looked up, runs of letters by their merges, others by the library."""
+    """Ids of pieces as bytes; unknown ones are asked of the library when they are first looked up."""
 
-    def __init__(self, library, lead: str, letters: Letters | None = None):
+    def __init__(self, library, lead: str):
         self.library, self.lead, self.marks, self.normalizer = library, lead, {}, library.normalizer
-        self.quick, self.letters = letters is not None, letters or (lambda word, lead: None)
         self.line_end = library.encode("\n", add_special_tokens=False).ids
 
     def _parts(self, piece: str) -> bool:
@@ -122,7 +128,7 @@ class Pieces(dict):
             if (mark := self.marks.get(piece[-1])) is None:
                 mark = self.marks[piece[-1]] = self._asked(piece[-1])
             ids = self[piece[:-1]] + mark
-        elif (ids := self.letters(piece, self.lead)) is None:
+        else:
             ids = self._asked(self.lead + piece)
         self[piece] = ids
         return ids
@@ -133,8 +139,6 @@ class Pieces(dict):
         Single line ends stand between the words: each is one id of its own and changes no word beside it. Where a
         vocabulary drops white space, or the ids do not fall apart into as many words, nothing is learned here.
         """
-        if self.quick:  # few words are left to ask for
-            return
         new = {w[:-1] if self._parts(w) else w for w in words if w not in self}
         new = [w for w in new if w not in self]
         if len(new) < 2 or len(self.line_end) != 1:
@@ -161,13 +165,23 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kept = kept
-        letters = Letters.of_file(path)
-        self.memory = {lead: Pieces(self.library, lead, letters) for lead in ("", " ")}
+        self.path = path
+        self.memory = {lead: Pieces(self.library, lead) for lead in ("", " ")}
         added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.keeps_space = self.library.normalizer is None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
+    @cached_property
+    def merges(self) -> Merges | None:
+        """Made when the first text is encoded: a worker that only decodes needs none."""
+        return Merges.of_file(self.path)
+
+    @property
+    def kind(self) -> str:
+        """The narrowest number that holds every id."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     def whole(self, text: str) -> bytes:
         """The library's own ids of a text."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -221,9 +235,12 @@ class PieceEncoder:
         return self._known(words, lead)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text. Where each blank is one space or line end between visible characters, words are looked up at once."""
+        """Ids of a whole text: by the merges alone if they can, else by its pieces. Where each blank is one space or line end between visible characters, words are looked up at once."""
+        special = self.added and "<" in text and self.added.search(text)
+        if not special and self.merges and (ids := self.merges(text)) is not None:
+            return ids
         words = text.split()
-        if " ".join(words) != text.replace("\n", " ") or (self.added and "<" in text and self.added.search(text)):
+        if special or " ".join(words) != text.replace("\n", " "):
             return self._known(self.pieces(text))
         if not self.keeps_space:
             return self._known(words)
@@ -368,24 +385,31 @@ def encode(df: DataFrame, text: str, path: str, out: str = "ids", leaf_chars: in
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
     short = df.where(~long).mapInArrow(short_ids, T.StructType(fields))
-    texts = df.where(long).select(F.sha2(F.col(text), 256).alias("_digest"), F.col(text).alias("_text"))
     n = F.ceil(F.char_length("_text") / leaf_chars).cast("int")
-    leaves = texts.groupBy("_digest").agg(F.min("_text").alias("_text")).select(
+    parts = df.where(long).select(F.sha2(F.col(text), 256).alias("_digest"), F.col(text).alias("_text")).select(
         "_digest", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
             i.alias("at"), F.substring(F.col("_text"), i * leaf_chars + 1, F.lit(leaf_chars)).alias("part")))).alias("_leaf"),
-    ).select("_digest", "_leaf.at", "_leaf.part").repartition("_digest", "at")
+    )
+    # copies of a text fold before the shuffle that deals the leaves
+    leaves = parts.groupBy("_digest", F.col("_leaf.at").alias("at")).agg(F.min("_leaf.part").alias("part"))
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
         for b in batches:
-            ids = pa.array(whole_text_ids(path, (x.as_py() for x in b.column(2))), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], ["_digest", "at", "part", "leaf_ids"])
+            ids, kept = [], []
+            for text_ in b.column(2).to_pylist():
+                found = np.frombuffer(enc.encode(text_), "<u4")
+                ids.append(found.astype(enc.kind).tobytes())
+                # ids that stand for the part's own bytes are enough to have it back
+                kept.append(None if enc.decode_bytes(found) == (raw := text_.encode()) else raw)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(ids, pa.binary())], ["_digest", "at", "part", "leaf_ids"])
 
-    encoded = leaves.mapInArrow(leaf_ids, "_digest string, at int, part string, leaf_ids binary")
+    encoded = leaves.mapInArrow(leaf_ids, "_digest string, at int, part binary, leaf_ids binary")
 
     def joined(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        parts = [(x.as_py().encode(), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(group.column("part"), group.column("leaf_ids"), strict=True)]
-        ids = join_tree(encoder(path), parts)
+        enc, group = encoder(path), group.sort_by("at")
+        each = [(x.as_py(), np.frombuffer(y.as_py(), enc.kind).astype("<u4")) for x, y in zip(group.column("part"), group.column("leaf_ids"), strict=True)]
+        ids = join_tree(enc, [(enc.decode_bytes(y) if x is None else x, y) for x, y in each])
         return pa.table({"_digest": group.column("_digest")[:1], "_ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
 
     trees = encoded.groupBy("_digest").applyInArrow(joined, "_digest string, _ids binary")

@@ -150,18 +150,23 @@ def test_normalized_words_with_marks(spark):
     same(got, brute.shards(rows, vocabulary(WORD_BPE)))
 
 
-def test_letters_by_their_merges():
-    """Runs of letters of many scripts: the same ids as the library's, whether the short way takes them or not."""
+def test_texts_by_their_merges():
+    """Texts of many scripts, blanks and marks: the same ids as the library's, whether the short way takes them or not."""
     r = random.Random(7)
-    letters = [chr(c) for c in range(65, 0x250) if chr(c).isalpha()] + list("İıσς́Åǅ漢ﬁक़")
-    words = ["".join(r.choice(letters if r.random() < 0.3 else "etaoinshrdluETA") for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    latin = [chr(c) for c in range(33, 0x250) if chr(c).isprintable()]
+    blanks = [" ", " ", " ", "\n", "  ", "\t", "\r\n", " \n ", "\x0b", "\xa0", "\x1c", "\u3000"]
+    texts = ["", " ", "\n\n", "don't we'll I'M it's 'tis 's", "<|endoftext|>", "a<|endoftext|>b", "x_y __ _", "1234 12a3 ²³ ½", "ALİ. ẞ ŉ ǅ Ⱥ", "e\u0301 \ufb01 漢字 क़", "\x01 a\x01b", "\ufe00"]
+    for k in range(1500):
+        letters = latin if k % 3 else list("etaoinshrdluETA.,'1")
+        words = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 9))]
+        texts.append("".join(w + r.choice(blanks[:8] if k % 5 else blanks) for w in words))
     for name in (WORD_BPE, BYTE_BPE):
-        t = brute.library(vocabulary(name))
-        short = bpe.Letters.of_file(vocabulary(name))
-        taken = [(w, ids) for w in words if (ids := short(w, "")) is not None]
-        assert len(taken) > 2000 and all(np.frombuffer(ids, "<u4").tolist() == brute.ids(t, w) for w, ids in taken)
-        tokens = [x for x in t.get_vocab() if x.isascii() and x.isalpha()]
-        assert all(np.frombuffer(short(x, ""), "<u4").tolist() == brute.ids(t, x) for x in tokens)
+        t, enc = brute.library(vocabulary(name)), bpe.PieceEncoder(vocabulary(name))
+        assert sum(enc.merges(x) is not None for x in texts) > 900
+        assert all(np.frombuffer(enc.encode(x), "<u4").tolist() == brute.ids(t, x) for x in texts)
+    tokens = [x.replace("</w>", "") for x in brute.library(vocabulary(WORD_BPE)).get_vocab()]
+    t, enc = brute.library(vocabulary(WORD_BPE)), bpe.PieceEncoder(vocabulary(WORD_BPE))
+    assert all(np.frombuffer(enc.encode(x), "<u4").tolist() == brute.ids(t, x) for x in tokens)
 
 
 def test_perfect_hash():
