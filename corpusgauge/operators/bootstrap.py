@@ -150,6 +150,21 @@ def interval(replicates: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     )
 
 
+def report_with_intervals(
+    report: DataFrame, counts: DataFrame, keys: Sequence[str], threshold: float, n_boot: int = 1000, seed: int = 42, alpha: float = 0.05
+) -> DataFrame:
+    """A report with the percentile intervals of its ROC-AUC and balanced accuracy as columns <metric>_low and <metric>_high; null for one class.
+
+    The replicates of a group become its four numbers in one aggregation, joined as columns; null keys meet too.
+    """
+    ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    names = ["roc_auc", "balanced_accuracy"]
+    found = bootstrap_replicates(counts, keys, threshold, n_boot, seed).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.percentile(m, ends).alias(f"_{m}") for m in names])
+    joined = report.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    sides = [F.col(f"_{m}")[i].alias(f"{m}_{side}") for m in names for i, side in enumerate(("low", "high"))]
+    return joined.select(*report.columns, *sides)
+
+
 def bootstrap_ci(
     counts: DataFrame, keys: Sequence[str], threshold: float, n_boot: int = 1000, seed: int = 42, alpha: float = 0.05
 ) -> DataFrame:

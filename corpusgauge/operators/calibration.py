@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from corpusgauge.caching import keep
 from corpusgauge.functions.decision import apply_calibration, sigmoid
 from corpusgauge.operators.metrics import confusion, curve, ece, nll_aggregate, score_counts
 
@@ -54,6 +56,59 @@ def fit_temperature(logit_counts: DataFrame, tolerance: float = 1e-9, max_rounds
         counts.unpersist()
 
 
+def fit_temperatures(logit_counts: DataFrame, keys: Sequence[str], tolerance: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+    """(keys, temperature) of every group, as fit_temperature gives them; null where a group has no rows.
+
+    One aggregation per round serves all groups. A group's bracket and step, one small row each, go through the driver; groups
+    that have settled leave the rounds. Null keys are groups too.
+    """
+    spark, names = logit_counts.sparkSession, list(keys)
+    z, n = F.col("score"), F.col("pos") + F.col("neg")
+    bounds = (math.exp(-LOG_T_BOUND), math.exp(LOG_T_BOUND))
+
+    def slope(at: Column) -> Column:
+        return F.sum(z * (n * sigmoid(z * at) - F.col("pos")))
+
+    schema = StructType([*[logit_counts.schema[k] for k in names], StructField("b", DoubleType())])
+    counts = logit_counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ends = counts.groupBy(*names).agg(slope(F.lit(bounds[0])).alias("low"), slope(F.lit(bounds[1])).alias("high")).collect()
+        done: dict[tuple, float | None] = {}
+        open_: dict[tuple, tuple[float, float, float]] = {}
+        for r in ends:
+            group = tuple(r[k] for k in names)
+            if r["low"] is None:
+                done[group] = None
+            elif r["low"] >= 0 or r["high"] <= 0:  # the minimum lies at a bound
+                done[group] = 1.0 / bounds[0 if r["low"] >= 0 else 1]
+            else:
+                open_[group] = (*bounds, 1.0)
+        for _ in range(max_rounds):
+            if not open_:
+                break
+            state = spark.createDataFrame([(*g, s[2]) for g, s in open_.items()], schema)
+            at = state.select(*[F.col(k).alias(f"_at_{k}") for k in names], "b")
+            met = counts.join(at, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in names])
+            p = sigmoid(z * F.col("b"))
+            for r in met.groupBy(*names).agg(slope(F.col("b")).alias("slope"), F.sum(n * z * z * p * (1.0 - p)).alias("bend")).collect():
+                group = tuple(r[k] for k in names)
+                low, high, b = open_[group]
+                low, high = (low, b) if r["slope"] > 0 else (b, high)
+                step = b - r["slope"] / r["bend"] if r["bend"] else -1.0
+                new = step if low < step < high else math.sqrt(low * high)
+                if abs(math.log(new / b)) < tolerance:
+                    done[group] = 1.0 / new
+                    del open_[group]
+                else:
+                    open_[group] = (low, high, new)
+        if open_:
+            raise RuntimeError(f"{len(open_)} temperatures have not settled after {max_rounds} rounds")
+        fitted = StructType([*schema.fields[:-1], StructField("temperature", DoubleType())])
+        return spark.createDataFrame([(*g, t) for g, t in done.items()], fitted)
+    finally:
+        counts.unpersist()
+
+
 def next_up(x: Column) -> Column:
     """The next larger double of a positive normal number: adding this fraction rounds up by one step."""
     return x + x * F.lit(2.0**-53 * (1.0 + 2.0**-52))
@@ -123,6 +178,12 @@ def uncertainty_band(
     return best.select(*keys, F.coalesce("reached", "widest").alias("band")).select(*keys, "band.*")
 
 
+def _values(*tables: DataFrame) -> dict[str, float]:
+    """Numbers of several one-row tables by column, in one trip."""
+    long = [t.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in t.columns]), F.array(*[F.col(c).cast("double") for c in t.columns]))).alias("name", "value")) for t in tables]
+    return {r["name"]: r["value"] for r in reduce(DataFrame.unionByName, long).collect()}
+
+
 @dataclass(frozen=True)
 class Calibration:
     temperature: float
@@ -147,7 +208,11 @@ def calibrate(
     max_abstention: float = 0.15,
     target_error_capture: float = 0.5,
 ) -> Calibration:
-    """Fit everything on rows (`label`, `logit`) of one split. Only one-row results reach the driver."""
+    """Fit everything on rows (`label`, `logit`) of one split.
+
+    Besides the rounds of the temperature there are three trips to the driver, each for a few numbers: the sizes, what the curve
+    gives (threshold and Youden's), and what follows from the threshold.
+    """
     logits = score_counts(df, [], "logit").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = logits.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
@@ -157,25 +222,30 @@ def calibrate(
         raw = logits.withColumn("score", sigmoid(F.col("score")))
         fitted = logits.withColumn("score", apply_calibration(F.col("score"), temperature))
         merged = fitted.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        points = curve(merged, [])
-        threshold = threshold_for_fpr(points, [], target_fpr).first()["threshold"]
-        at = confusion(merged, [], threshold).first()
-        band = uncertainty_band(merged, [], threshold, max_abstention, target_error_capture).first()
-        nll = logits.agg(nll_aggregate(1.0).alias("before"), nll_aggregate(temperature).alias("after")).first()
+        points = keep(curve(merged, []))
+        cuts = _values(threshold_for_fpr(points, [], target_fpr).select("threshold"), youden_threshold(points, []).select(F.col("threshold").alias("youden")))
+        threshold = cuts["threshold"]
+        found = _values(
+            confusion(merged, [], threshold).select(F.col("tp").cast("double"), F.col("fp").cast("double")),
+            uncertainty_band(merged, [], threshold, max_abstention, target_error_capture),
+            logits.agg(nll_aggregate(1.0).alias("nll_before"), nll_aggregate(temperature).alias("nll_after")),
+            ece(raw, []).select(F.col("ece").alias("ece_before")),
+            ece(merged, []).select(F.col("ece").alias("ece_after")),
+        )
         return Calibration(
             temperature=temperature,
             threshold=threshold,
             target_fpr=target_fpr,
-            achieved_fpr=at["fp"] / sizes["neg"],
-            achieved_tpr=at["tp"] / sizes["pos"],
-            youden_threshold=youden_threshold(points, []).first()["threshold"],
-            uncertainty_delta=band["delta"],
-            abstention_rate=band["abstention"],
-            errors_captured=band["capture"],
-            ece_before=ece(raw, []).first()["ece"],
-            ece_after=ece(merged, []).first()["ece"],
-            nll_before=nll["before"],
-            nll_after=nll["after"],
+            achieved_fpr=found["fp"] / sizes["neg"],
+            achieved_tpr=found["tp"] / sizes["pos"],
+            youden_threshold=cuts["youden"],
+            uncertainty_delta=found["delta"],
+            abstention_rate=found["abstention"],
+            errors_captured=found["capture"],
+            ece_before=found["ece_before"],
+            ece_after=found["ece_after"],
+            nll_before=found["nll_before"],
+            nll_after=found["nll_after"],
             n=sizes["pos"] + sizes["neg"],
         )
     finally:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusgauge.functions.formats import IMAGE_EXTENSIONS, sniff_format
 
 
+SPLIT_FOLDERS = ("train", "valid", "test")
+
+
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
     """(path, rel_path, length) of all files below root with an allowed extension, any case.
 
@@ -23,31 +26,54 @@ def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = IMAGE
     return named.filter(F.col("path").rlike(rf"(?i)\.({allowed})$"))
 
 
-def discover_files(
-    spark: SparkSession,
-    root: str,
+def layout_specs(
+    paths: DataFrame,
     dataset: str,
     layout: str = "external",
-    sources: dict[str, str] | None = None,
+    sources: Mapping[str, str] | None = None,
+    splits: Sequence[str] = SPLIT_FOLDERS,
     extensions: Sequence[str] = IMAGE_EXTENSIONS,
 ) -> DataFrame:
-    """Record specs (rel_path, dataset, source, label, split) from folder names.
+    """Record specs (rel_path, dataset, source, label, split) from a table of paths (`rel_path`), wherever it comes from.
 
-    `split` layout: <split>/<label>/..., the source following from the label (`sources`).
-    `external` layout: <label>/<source>/..., the split being the dataset. No file at all is an error.
+    `split` layout: <split>/<label>/..., with known splits, the source following from the label (`sources`).
+    `external` layout: <label>/<source>/..., the split being the dataset. Paths of no image, without the two folders, or
+    below other folders are no specs. Narrow: a listing of any size is filtered where it stands.
     """
-    files = list_files(spark, root, extensions)
     parts = F.split("rel_path", "/")
+    label, other = (F.get(parts, F.lit(i)) for i in ((1, 0) if layout == "split" else (0, 1)))
     if layout == "split":
-        names = sources or {}
-        source = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[parts[1]]
-        columns = {"source": source, "label": parts[1], "split": parts[0]}
+        named = F.create_map(*[F.lit(x) for pair in (sources or {}).items() for x in pair]) if sources else F.create_map().cast("map<string,string>")
+        columns, fits = {"source": F.try_element_at(named, label), "split": other}, other.isin(list(splits))
     elif layout == "external":
-        columns = {"source": parts[1], "label": parts[0], "split": F.lit(dataset)}
+        columns, fits = {"source": other, "split": F.lit(dataset)}, F.lit(True)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    deep = files.filter(F.size(parts) >= 3).withColumns(columns)
-    specs = deep.filter(F.col("label").isin("real", "fake")).select("rel_path", F.lit(dataset).alias("dataset"), "source", "label", "split")
+    allowed = "|".join(e.lstrip(".") for e in extensions)
+    image = F.element_at(parts, -1).rlike(rf"(?i)^.+\.({allowed})$")
+    deep = paths.filter(image & (F.size(parts) >= 3) & label.isin("real", "fake") & fits)
+    return deep.withColumns({"dataset": F.lit(dataset), "label": label, **columns}).select("rel_path", "dataset", "source", "label", "split")
+
+
+def missing_folders(specs: DataFrame, splits: Sequence[str] = SPLIT_FOLDERS) -> DataFrame:
+    """(split, label) folders of the split layout without an image: each of them has to hold some."""
+    wanted = specs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in splits])).alias("split")).withColumn("label", F.explode(F.array(F.lit("real"), F.lit("fake"))))
+    return wanted.join(specs.select("split", "label").distinct(), ["split", "label"], "left_anti")
+
+
+def discover_files(
+    spark: SparkSession,
+    root: str,
+    dataset: str,
+    layout: str = "external",
+    sources: Mapping[str, str] | None = None,
+    extensions: Sequence[str] = IMAGE_EXTENSIONS,
+    complete: bool = False,
+) -> DataFrame:
+    """Specs of the files below a folder, see layout_specs; no file at all is an error, and with `complete` so is an empty folder of the split layout."""
+    specs = layout_specs(list_files(spark, root, extensions), dataset, layout, sources, extensions=extensions)
+    if complete and layout == "split" and (empty := missing_folders(specs).collect()):
+        raise ValueError(f"no images in {root}: {sorted(f'{r.split}/{r.label}' for r in empty)}")
     if specs.isEmpty():
         raise ValueError(f"no images under {root}")
     return specs

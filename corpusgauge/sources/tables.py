@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.hashing import output_name
 from corpusgauge.operators.ledger import latest_records
-from corpusgauge.operators.manifest import MANIFEST_SCHEMA, require_valid, sample_fraction
+from corpusgauge.operators.manifest import MANIFEST_COLUMNS, MANIFEST_SCHEMA, require_valid, sample_fraction
 
 PREDICTION_SCHEMA = (
     "dataset string, split string, source string, label string, rel_path string, processed_rel_path string, logit double"
@@ -19,14 +19,28 @@ PROGRESS_SCHEMA = "dataset string, rel_path string, status string, processed_rel
 PROCESSED_REQUIRED = ("status", "label", "split", "dataset", "processed_rel_path")
 
 
+#: How manifests lie in files: quotes doubled, line ends inside quotes, blanks kept, and nothing for null and for an empty text, which comes back as null.
+MANIFEST_FORMAT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n", "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+TORN = "_torn"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Gzip CSV (or any CSV) manifest, checked."""
-    return require_valid(spark.read.schema(MANIFEST_SCHEMA).option("header", "true").csv(path))
+    """Gzip CSV (or any CSV) manifest: pinned types, torn rows found, header and rules checked."""
+    head = spark.read.options(**MANIFEST_FORMAT).csv(path).columns
+    if tuple(head) != MANIFEST_COLUMNS:
+        raise ValueError(f"{path} is no manifest: its columns are {head}")
+    options = {**MANIFEST_FORMAT, "columnNameOfCorruptRecord": TORN, "mode": "PERMISSIVE", "enforceSchema": "false"}
+    rows = spark.read.schema(f"{MANIFEST_SCHEMA}, {TORN} string").options(**options).csv(path)
+    # a torn row has a value too many or too few, or one of another type; all columns are read, or the column would not be filled
+    torn = rows.select(*MANIFEST_COLUMNS, TORN).filter(F.col(TORN).isNotNull()).limit(3).collect()
+    if torn:
+        raise ValueError(f"{path} holds torn rows, such as {[r[TORN][:200] for r in torn]}")
+    return require_valid(rows.drop(TORN))
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    columns = [part.split()[0] for part in MANIFEST_SCHEMA.split(", ")]
-    require_valid(df).select(*columns).write.mode("overwrite").option("header", "true").csv(path, compression="gzip")
+    """A checked manifest as gzip CSV, one part per task."""
+    require_valid(df).select(*MANIFEST_COLUMNS).write.mode("overwrite").options(**MANIFEST_FORMAT).csv(path, compression="gzip")
 
 
 def manifest_lines(df: DataFrame) -> DataFrame:

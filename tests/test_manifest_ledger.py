@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusgauge.operators import ledger, manifest
 from corpusgauge.operators.detections import rank_detections, result_faces, top_face
+from corpusgauge.operators.manifest import MANIFEST_COLUMNS, MANIFEST_SCHEMA
 from corpusgauge.operators.reports import fixed_text, interval_cell, report_json
-from corpusgauge.sources import tables
+from corpusgauge.sources import files, tables
 
 
 def rows(spark, n=6, **changes):
@@ -162,3 +163,54 @@ def test_text_and_json(spark):
     assert spark.range(1).select(interval_cell(none, F.lit(0.5)).alias("c")).first()["c"] == "TBD"
     odd = spark.createDataFrame([(math.nan, math.inf, 1.5)], "a double, b double, c double")
     assert json.loads(report_json(odd).first()["json"]) == {"a": None, "b": None, "c": 1.5}
+
+
+def one_manifest_row(**changes):
+    row = dict(dataset="d", source="s", label="real", split="train", rel_path="a.jpg", sha256="0" * 64, format="jpeg", width=3, height=4, mode="RGB",
+               file_size=9, jpeg_quality_est=90, has_exif="True", has_icc="False", has_xmp=None, read_error=None)
+    return tuple((row | changes).values())
+
+
+def test_manifest_files_keep_every_value(spark, tmp_path):
+    """Nulls, quotes, commas, blanks, line ends and other letters come back as they were, from several parts; an empty text comes back as null."""
+    odd = ['say "hi"', "a,b", "two\nlines", "", None, " padded ", "ünï\\code", '"', "x\\", "'"]
+    rows = [one_manifest_row(rel_path=f"{i}.jpg", read_error=text, source=text, width=None if i % 2 else i) for i, text in enumerate(odd)]
+    df = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    tables.write_manifest(df.repartition(3).withColumn("more", F.lit(1)), f"{tmp_path}/m")
+    back = tables.read_manifest(spark, f"{tmp_path}/m")
+    want = [tuple(None if x == "" else x for x in row) for row in rows]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(want, key=str) and back.schema.simpleString() == df.schema.simpleString()
+    assert all(f.name.endswith(".csv.gz") for f in (tmp_path / "m").glob("part-*"))
+
+
+def test_manifest_files_are_checked_on_both_ends(spark, tmp_path):
+    good = spark.createDataFrame([one_manifest_row()], MANIFEST_SCHEMA)
+    for bad in (one_manifest_row(label="maybe", rel_path="b"), one_manifest_row()):
+        with pytest.raises(ValueError, match="invalid manifest"):
+            tables.write_manifest(good.unionByName(spark.createDataFrame([bad], MANIFEST_SCHEMA)), f"{tmp_path}/never")
+    tables.write_manifest(good, f"{tmp_path}/m")
+    header = ",".join(MANIFEST_COLUMNS)
+    line = ",".join("" if x is None else str(x) for x in one_manifest_row())
+    for name, text, error in [
+        ("short", f"{header}\n{line}\nd,s,real\n", "torn"), ("long", f"{header}\n{line},1\n", "torn"), ("typed", f"{header}\n{line.replace(',3,4,', ',x,4,')}\n", "torn"),
+        ("head", f"{header.replace('width', 'wide')}\n{line}\n", "no manifest"), ("label", f"{header}\n{line.replace('real', 'other')}\n", "invalid manifest"),
+    ]:
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(ValueError, match=error):
+            tables.read_manifest(spark, f"{tmp_path}/{name}.csv")
+
+
+def test_layouts_of_a_listing(spark):
+    paths = ["train/real/1.JPG", "train/real/more/2.png", "valid/fake/3.webp", "test/masks/4.png", "extra/real/5.png", "train/real/6.txt", "real/7.png", "train/real", "real/flux/8.jpeg",
+             "fake/sdxl/deep/9.png", "fake/10.png", "real/flux/.png", None]
+    df = spark.createDataFrame([(p, 1) for p in paths], "rel_path string, length int")
+    split = files.layout_specs(df, "140k", "split", {"real": "ffhq"})
+    assert sorted(map(tuple, split.collect())) == [
+        ("train/real/1.JPG", "140k", "ffhq", "real", "train"), ("train/real/more/2.png", "140k", "ffhq", "real", "train"), ("valid/fake/3.webp", "140k", None, "fake", "valid"),
+    ]
+    assert sorted(map(tuple, files.missing_folders(split).collect())) == [("test", "fake"), ("test", "real"), ("train", "fake"), ("valid", "real")]
+    external = files.layout_specs(df, "x")
+    assert sorted(map(tuple, external.collect())) == [("fake/sdxl/deep/9.png", "x", "sdxl", "fake", "x"), ("real/flux/8.jpeg", "x", "flux", "real", "x")]
+    assert files.layout_specs(df.limit(0), "x", "split").count() == 0
+    with pytest.raises(ValueError, match="unknown layout"):
+        files.layout_specs(df, "x", "flat")

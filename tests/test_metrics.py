@@ -186,7 +186,6 @@ def test_bootstrap_contains_estimate_and_narrows(spark):
 def test_bootstrap_replicates_agree_with_their_weights(spark, monkeypatch):
     """Also across several score blocks: the metric of the drawn table is the replicate's metric."""
     monkeypatch.setattr(bootstrap, "SCORES_PER_BLOCK", 40)
-    monkeypatch.setattr(bootstrap.math, "isqrt", lambda n: 1)
     pdf = pd.concat([sample(300, 1, ties=False).assign(g="a"), sample(300, 2, ties=False).assign(g="b")])
     counts = metrics.score_counts(spark.createDataFrame(pdf), ["g"])
     drawn = bootstrap.replicate_weights(counts, ["g"], 6).toPandas()
@@ -204,6 +203,42 @@ def test_bootstrap_replicates_agree_with_their_weights(spark, monkeypatch):
     assert len(got) == 12 and got["roc_auc"].nunique() > 6
 
 
+def test_interval_does_not_depend_on_other_groups(spark, monkeypatch):
+    """A small group alone and beside a large one, which is cut into blocks: the same replicates."""
+    monkeypatch.setattr(bootstrap, "SCORES_PER_BLOCK", 200)
+    small, large = sample(150, 4, ties=False).assign(g="s"), sample(1500, 5, ties=False).assign(g="t")
+    alone = bootstrap.bootstrap_ci(metrics.score_counts(spark.createDataFrame(small), ["g"]), ["g"], 0.5, 60).collect()
+    both = bootstrap.bootstrap_ci(metrics.score_counts(spark.createDataFrame(pd.concat([small, large])), ["g"]), ["g"], 0.5, 60).collect()
+    assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in both if r["g"] == "s") and len(both) == 4
+
+
+def test_report_with_intervals(spark):
+    """The intervals of bootstrap_ci as columns of the report; one class: none."""
+    pdf = pd.concat([sample(300, 6).assign(g="a"), sample(200, 7).assign(g=None), sample(100, 8).assign(g="c", label="real", y=0)])
+    counts = metrics.score_counts(spark.createDataFrame(pdf), ["g"])
+    got = {r["g"]: r for r in bootstrap.report_with_intervals(metrics.full_report(counts.filter("g is not null"), ["g"], 0.5), counts, ["g"], 0.5, 80).collect()}
+    want = {(r["g"], r["metric"]): r for r in bootstrap.bootstrap_ci(counts, ["g"], 0.5, 80).collect()}
+    assert set(got) == {"a", "c"}
+    for m in ("roc_auc", "balanced_accuracy"):
+        assert (got["a"][f"{m}_low"], got["a"][f"{m}_high"]) == (want["a", m]["low"], want["a", m]["high"])
+        assert got["c"][f"{m}_low"] is None
+    assert got["a"]["roc_auc_low"] < got["a"]["roc_auc"] < got["a"]["roc_auc_high"]
+
+
+def test_temperatures_of_groups(spark):
+    """Each group's is what the single fit gives, also at a bound and for a null key."""
+    pdf = pd.concat([sample(300, 6).assign(g="a"), sample(200, 7).assign(g=None)])
+    pdf["logit"] = pdf["logit"] * np.where(pdf["g"].isna(), 4, 1)
+    df = spark.createDataFrame(pdf[["g", "label", "logit"]].astype({"g": object}).where(pdf[["g", "label", "logit"]].notna(), None), "g string, label string, logit double")
+    sure = spark.createDataFrame([("z", "fake", 1.0), ("z", "real", -1.0)], "g string, label string, logit double")
+    counts = metrics.score_counts(df.unionByName(sure), ["g"], "logit")
+    got = {r["g"]: r["temperature"] for r in calibration.fit_temperatures(counts, ["g"]).collect()}
+    assert set(got) == {"a", None, "z"}
+    for g, t in got.items():
+        own = counts.filter(F.col("g").eqNullSafe(F.lit(g))).drop("g")
+        assert t == pytest.approx(calibration.fit_temperature(own), rel=1e-9)
+
+
 def test_bootstrap_skips_one_class_groups(spark):
     df = spark.createDataFrame([("a", "real", 0.1), ("b", "real", 0.2), ("b", "fake", 0.8)], "g string, label string, prob double")
     rows = bootstrap.bootstrap_ci(metrics.score_counts(df, ["g"]), ["g"], 0.5, 20).collect()
