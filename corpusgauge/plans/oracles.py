@@ -33,6 +33,19 @@ FROM (SELECT *, {SNIFF} AS f FROM file_bytes)""",
 )
 oracle("sniff_format", f"SELECT page_id, {SNIFF} AS format FROM file_bytes", "file_bytes")
 oracle("read_manifest", "SELECT * FROM manifest", "manifest")
+oracle("manifest_lines", "SELECT * FROM manifest", "manifest")
+_LABEL = pick(h(53, "doc_id", 3), ["real", "fake", "masks"])
+oracle(
+    "discover_files",
+    f"""SELECT rel_path, dataset, source, label, split FROM (
+  SELECT {pick(h(52, 'doc_id', 4), ["train", "valid", "test", "extra"])} AS folder, {_LABEL} AS label, {h(54, 'doc_id', 5)} = 0 AS deep, {h(56, 'doc_id', 6)} = 0 AS bare,
+    doc_id || '.' || {pick(h(55, 'doc_id', 4), ["JPG", "png", "txt", "jpeg"])} AS name, {h(51, 'doc_id', 2)} = 0 AS by_split, source AS own
+  FROM documents),
+LATERAL (SELECT CASE WHEN by_split THEN folder || '/' || label || '/' || CASE WHEN deep THEN 'more/' ELSE '' END || name ELSE label || '/' || CASE WHEN bare THEN '' ELSE own || '/' END || name END AS rel_path,
+  CASE WHEN by_split THEN '140k' ELSE 'crossgen' END AS dataset, CASE WHEN by_split THEN CASE label WHEN 'real' THEN 'ffhq' ELSE 'stylegan' END ELSE own END AS source,
+  CASE WHEN by_split THEN folder ELSE 'crossgen' END AS split)
+WHERE label <> 'masks' AND name NOT LIKE '%.txt' AND CASE WHEN by_split THEN folder <> 'extra' ELSE NOT bare END""",
+)
 oracle(
     "read_predictions",
     """SELECT dataset, split, source, label, rel_path, 'out/' || item_id AS processed_rel_path,
@@ -226,6 +239,7 @@ GROUP BY 1, 2, 3, 4""",
     _PAIRS,
     _PRINTS,
 )
+fp_oracle("print_members", "SELECT item_id, print_id FROM prints", _PRINTS)
 fp_oracle(
     "bucket_guard",
     """SELECT band, chunk, count(*) AS n FROM (
@@ -529,20 +543,27 @@ report_oracle(
     "full_report",
     f"SELECT * REPLACE ({', '.join(f'{rd(c)} AS {c}' for c in _REPORT_DOUBLES)}) FROM report",
 )
+_SPREAD = f"""shares AS (SELECT *, {h(61, 'item_id', 4)} AS share FROM src),
+spread AS (SELECT model, test_set, min(auc) AS low, max(auc) AS high FROM (SELECT model, share, test_set, {_AUC} AS auc
+  FROM ({points('model, share, test_set').replace('FROM src', 'FROM shares')}) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+_REPORT += ",\n" + _SPREAD
 _DOC_COLUMNS = ("tuned_balanced_accuracy", "tuned_precision", "tuned_recall_tpr", "tuned_f1", "tuned_fpr", "ece")
 report_oracle(
     "metrics_document",
-    f"""SELECT model, test_set, '| ' || test_set || ' | ' || n || ' | ' || printf('%.3f', roc_auc) || ' | TBD | ' ||
-  {" || ' | ' || ".join(f"printf('%.3f', {c})" for c in _DOC_COLUMNS)} || ' |' AS line FROM report
+    f"""SELECT model, test_set, '| ' || test_set || ' | ' || n || ' | ' || printf('%.3f', roc_auc) || ' | ' ||
+  coalesce('[' || printf('%.3f', low) || ', ' || printf('%.3f', high) || ']', 'TBD') || ' | ' ||
+  {" || ' | ' || ".join(f"printf('%.3f', {c})" for c in _DOC_COLUMNS)} || ' |' AS line FROM report LEFT JOIN spread USING (model, test_set)
 UNION ALL SELECT 'm9', s, '| ' || s || repeat(' | TBD', 9) || ' |' FROM (SELECT unnest(['id_test', 'crossgen_full', 'own']) AS s)""",
 )
 _SWAP = "starts_with(test_set, 'fake_swap_')"
 report_oracle(
     "summarize_models",
     f"""SELECT model, {rd("max(roc_auc) FILTER (test_set = 'id_test')")} AS id_auc, {rd(f"avg(roc_auc) FILTER ({_SWAP})")} AS crossgen_mean_auc,
-  {rd(f"min(roc_auc - 0.02::DOUBLE) FILTER ({_SWAP})")} AS crossgen_min_auc_ci_low,
+  {rd(f"min(low) FILTER ({_SWAP} AND roc_auc IS NOT NULL)")} AS crossgen_min_auc_ci_low,
   {rd("max(roc_auc) FILTER (test_set = 'crossgen_full')")} AS crossgen_full_auc,
-  {rd("max(roc_auc) FILTER (test_set = 'own')")} AS own_auc, max(n)::DOUBLE AS p95_latency_ms FROM report GROUP BY model""",
+  {rd("max(roc_auc) FILTER (test_set = 'own')")} AS own_auc, {rd("any_value(p95)")} AS p95_latency_ms
+FROM report LEFT JOIN spread USING (model, test_set) LEFT JOIN (SELECT 'm' || (user_id % 3) AS model, quantile_cont(value, 0.95) AS p95 FROM events WHERE user_id % 3 <> 2 GROUP BY 1) USING (model)
+GROUP BY model""",
 )
 oracle(
     "per_source_rates",
@@ -613,6 +634,8 @@ oracle(
     "feature_map",
 )
 
+ORACLES["mean_spearman"] = f"WITH each AS (\n{ORACLES['spearman_by_item']}\n)\nSELECT {rd('avg(spearman)')} AS mean_spearman, count(spearman) AS n FROM each"
+
 # --- order and limits
 oracle(
     "split_validation",
@@ -769,6 +792,11 @@ oracle(
 FROM (SELECT *, created_at < TIMESTAMP '2024-01-15' AND image_path IS NOT NULL AS old FROM history)""",
     "history",
 )
+oracle(
+    "purge_count",
+    "SELECT count(*) AS purged FROM history WHERE created_at < TIMESTAMP '2024-01-15' AND image_path IS NOT NULL",
+    "history",
+)
 
 # --- fits: the root of the slope of the mean loss in b = 1/T, narrowed on a grid of 200 points, five times
 

@@ -68,6 +68,16 @@ def set_counts(spark: SparkSession, sf: str, extra: Sequence[str] = ()) -> DataF
     return metrics.score_counts(folded, [*extra, "test_set"], n=F.col("n"))
 
 
+def auc_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Smallest and largest AUC of each model and set over four hash shares of the items."""
+    rows = v.scored(spark, sf).withColumn("share", hashing.stable_mod(F.col("item_id"), 61, 4))
+    folded = test_sets.build_test_sets(keep(test_sets.compact_scores(rows, extra=["model", "share"])))
+    keys = ["model", "share", "test_set"]
+    counts = metrics.score_counts(folded, keys, n=F.col("n"))
+    found = metrics.ranking_metrics(metrics.curve(counts, keys), keys)
+    return found.groupBy("model", "test_set").agg(F.min("roc_auc").alias("low"), F.max("roc_auc").alias("high"))
+
+
 def model_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.full_report(set_counts(spark, sf, ["model"]), ["model", "test_set"], v.THRESHOLD)
 
@@ -77,7 +87,10 @@ def model_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def discover_files(spark: SparkSession, sf: str) -> DataFrame:
-    return files.list_files(spark, sf, [".parquet"]).select("rel_path", "length")
+    """Specs from both folder layouts of a listing."""
+    paths = v.listed_paths(spark, sf)
+    main = files.layout_specs(paths.filter("layout = 'split'"), "140k", "split", {"real": "ffhq", "fake": "stylegan"})
+    return main.unionByName(files.layout_specs(paths.filter("layout = 'external'"), "crossgen"))
 
 
 @query
@@ -92,6 +105,14 @@ def sniff_format(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest written below a folder of its own and read back, checked on both ends."""
+    folder = work_folder(spark, "manifest")
+    tables.write_manifest(v.manifest(spark, sf), folder)
+    return tables.read_manifest(spark, folder)
+
+
+@query
+def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
     return tables.parse_manifest_lines(tables.manifest_lines(v.manifest(spark, sf)))
 
 
@@ -143,13 +164,14 @@ def write_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model_report(spark, sf).select(
+    """The document with a spread that SQL can follow in the interval's place; full_report_ci has bootstrap intervals."""
+    rows = model_report(spark, sf).join(auc_spread(spark, sf), ["model", "test_set"], "left").select(
         "model",
         "test_set",
         "n",
         "roc_auc",
-        F.lit(None).cast("double").alias("ci_low"),
-        F.lit(None).cast("double").alias("ci_high"),
+        F.col("low").alias("ci_low"),
+        F.col("high").alias("ci_high"),
         *[F.col(f"tuned_{c}").alias(c) for c in ("balanced_accuracy", "precision", "recall_tpr", "f1", "fpr")],
         "ece",
     )
@@ -309,6 +331,11 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.near_duplicate_pairs(v.fingerprints(spark, sf), 4)
 
 
+@query
+def print_members(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.print_members(v.fingerprints(spark, sf))
+
+
 @query
 def bucket_guard(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.bucket_guard(v.fingerprints(spark, sf), 4, max_bucket=2)
@@ -523,6 +550,17 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table, [f.name for f in table.schema.fields if f.dataType.simpleString() == "double"])
 
 
+@query
+def full_report_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """The report per model and set with its bootstrap intervals, as text of the metrics document too."""
+    keys = ["model", "test_set"]
+    counts = keep(set_counts(spark, sf, ["model"]))
+    report = metrics.full_report(counts, keys, v.THRESHOLD)
+    table = bootstrap.report_with_intervals(report, counts, keys, v.THRESHOLD)
+    shown = table.withColumn("ci95", reports.interval_cell(F.col("roc_auc_low"), F.col("roc_auc_high")))
+    return rounded(shown, [f.name for f in table.schema.fields if f.dataType.simpleString() == "double"])
+
+
 @query
 def per_source_rates(spark: SparkSession, sf: str) -> DataFrame:
     folded = test_sets.build_test_sets(test_sets.compact_scores(v.scored(spark, sf)))
@@ -586,6 +624,13 @@ def spearman_by_item(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(saliency.spearman_by_item(fake, real), ["spearman"])
 
 
+@query
+def mean_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    maps = v.feature_map(spark, sf)
+    fake, real = (saliency.gradcam_map(maps, HEAD_WEIGHTS, target) for target in ("fake", "real"))
+    return rounded(saliency.mean_spearman(fake, real), ["mean_spearman"])
+
+
 # --- order and limits --------------------------------------------------------------------------
 
 
@@ -660,10 +705,10 @@ def select_model(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def summarize_models(spark: SparkSession, sf: str) -> DataFrame:
     report = model_report(spark, sf)
-    spread = report.select("model", "test_set", (F.col("roc_auc") - 0.02).alias("low"))
-    slow = report.groupBy("model").agg(F.max(F.col("n").cast("double")).alias("p95"))
-    table = selection.summarize_models(report, spread, slow)
-    return rounded(table, ["id_auc", "crossgen_mean_auc", "crossgen_min_auc_ci_low", "crossgen_full_auc", "own_auc"])
+    measured = v.table(spark, sf, "events").select(F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("value").alias("ms"))
+    slow = ordering.exact_quantiles(measured, ["model"], ["ms"], {"p95": 0.95}).filter("model <> 'm2'")
+    table = selection.summarize_models(report, auc_spread(spark, sf), slow)
+    return rounded(table, ["id_auc", "crossgen_mean_auc", "crossgen_min_auc_ci_low", "crossgen_full_auc", "own_auc", "p95_latency_ms"])
 
 
 @query
@@ -721,32 +766,23 @@ def trivial_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.features(spark, sf)
     columns = ["n_chars", "n_words", "n_digits", "n_lines"]
-    hashed = rows.withColumn("_h", hashing.stable_hex(F.col("doc_id"), 42))
-    placed = ordering.ranked(hashed, ["label"], ["_h", "doc_id"], ordering.hash_block(F.col("_h")))
-    vectors = classifiers.VectorAssembler(inputCols=columns, outputCol="vector").transform(
-        placed.withColumn("y", decision.label_to_int(F.col("label")).cast("double"))
-    )
-    quarter = F.col("rank") % 4 == 0
-    model = classifiers.GBTClassifier(featuresCol="vector", labelCol="y", maxIter=100, maxDepth=4, seed=42).fit(vectors.filter(~quarter))
-    return classifiers.permutation_importance(vectors.filter(quarter), model, columns, "doc_id", 42)
+    return classifiers.permutation_importance(rows, columns, "doc_id", 42)
 
 
 @query
 def audit_compare(spark: SparkSession, sf: str) -> DataFrame:
-    meta = audit.metadata_features(v.manifest(spark, sf).filter(F.col("read_error").isNull()), ["rel_path", "label"])
+    """The shortcut test on metadata and pixels of raw and processed files, the latter also without file sizes."""
     small = [c for c in audit.METADATA_FEATURES if c not in audit.SIZE_FEATURES]
-    sets = {"metadata": audit.METADATA_FEATURES, "metadata_no_filesize": small}
-    return classifiers.audit_compare(meta, sets, "rel_path")
+    sets = {f"{stage}_{name}": [f"{stage}_{c}" for c in columns] for stage in ("raw", "processed") for name, columns in (("metadata", audit.METADATA_FEATURES), ("pixels", pixels.PIXEL_FEATURES))}
+    sets["processed_metadata_no_filesize"] = [f"processed_{c}" for c in small]
+    return classifiers.audit_compare(v.audited(spark, sf), sets, "rel_path")
 
 
 @query
 def temperature_per_split(spark: SparkSession, sf: str) -> DataFrame:
-    """One fit per dataset, each on its own rows."""
-    found = {}
-    for name in ("140k", "crossgen", "own"):
-        rows = v.predictions(spark, sf).filter(F.col("dataset") == name)
-        found[name] = round(calibration.fit_temperature(metrics.score_counts(rows, [], "logit")), 5)
-    return _one_row(spark, found)
+    """One fit per dataset that there is, each on its own rows."""
+    fitted = calibration.fit_temperatures(metrics.score_counts(v.predictions(spark, sf), ["dataset"], "logit"), ["dataset"])
+    return fitted.select(F.col("dataset").alias("name"), F.round("temperature", 5).alias("value"))
 
 
 @query
@@ -823,6 +859,11 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(spark, decided, "limits").select("event_id", "accepted", "retry_after")
 
 
+@query
+def purge_count(spark: SparkSession, sf: str) -> DataFrame:
+    return history.purge_count(history.expire_images(v.history(spark, sf), "2024-01-15"))
+
+
 @query
 def expire_images(spark: SparkSession, sf: str) -> DataFrame:
     return history.expire_images(v.history(spark, sf), "2024-01-15").select("id", "image_path", "purged")

@@ -11,7 +11,9 @@ from corpusgauge.functions.decision import apply_calibration
 from corpusgauge.functions.formats import STANDARD_LUMA_TABLE, sniff_format
 from corpusgauge.functions.geometry import detection_scale
 from corpusgauge.functions.hashing import output_name, stable_mod
+from corpusgauge.operators.audit import metadata_feature_columns
 from corpusgauge.operators.ordering import ranked, with_value_blocks
+from corpusgauge.operators.pixels import PIXEL_FEATURES, pixel_stats
 from corpusgauge.operators.robustness import expand_grid
 
 TEMPERATURE = 1.5
@@ -95,6 +97,41 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of two data folders, one path per document: some without an image's name, below other folders, or not deep enough."""
+    key = F.col("doc_id")
+    split, label = pick(stable_mod(key, 52, 4), ["train", "valid", "test", "extra"]), pick(stable_mod(key, 53, 3), ["real", "fake", "masks"])
+    deep = F.when(stable_mod(key, 54, 5) == 0, "more/").otherwise("")
+    name = F.concat(key, F.lit("."), pick(stable_mod(key, 55, 4), ["JPG", "png", "txt", "jpeg"]))
+    by_source = F.when(stable_mod(key, 56, 6) == 0, "").otherwise(F.concat("source", F.lit("/")))
+    by_split = stable_mod(key, 51, 2) == 0
+    return table(spark, sf_dir, "documents").select(
+        F.when(by_split, "split").otherwise("external").alias("layout"),
+        F.when(by_split, F.concat(split, F.lit("/"), label, F.lit("/"), deep, name)).otherwise(F.concat(label, F.lit("/"), by_source, name)).alias("rel_path"),
+    )
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per readable document with the features of its raw and its processed file: metadata of both, and pixels where a page of its number is its picture."""
+    own = metadata_feature_columns()
+    raw = manifest(spark, sf_dir).filter(F.col("read_error").isNull())
+    # processed files: one size and format, and what the encoder makes of the content
+    small = raw.select("rel_path", "label", F.lit(224).alias("width"), F.lit(224).alias("height"), F.lit("jpeg").alias("format"),
+        (6000 + F.col("file_size") % 4000).alias("file_size"), (stable_mod("rel_path", 57, 6) + 90).cast("int").alias("jpeg_quality_est"),
+        F.lit("False").alias("has_exif"), F.lit("False").alias("has_icc"), F.lit("False").alias("has_xmp"))
+    meta = raw.select("rel_path", "label", *[c.alias(f"raw_{name}") for name, c in own.items()])
+    done = small.select("rel_path", *[c.alias(f"processed_{name}") for name, c in own.items()])
+
+    def pixels_of(width: int, prefix: str) -> DataFrame:
+        stats = pixel_stats(page_images(spark, sf_dir, width), ["item_id"])
+        return stats.select(F.concat(F.lit("doc/"), "item_id").alias("rel_path"), *[F.col(c).alias(f"{prefix}_{c}") for c in PIXEL_FEATURES])
+
+    joined = meta.join(done, "rel_path")
+    for width, prefix in ((32, "raw"), (24, "processed")):
+        joined = joined.join(pixels_of(width, prefix), "rel_path", "left")
+    return joined
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preparation results: one row per manifest row."""
     key = F.col("rel_path")

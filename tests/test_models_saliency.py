@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgauge.operators import audit, classifiers, saliency, selection
+from corpusgauge.operators import audit, boosting, classifiers, saliency, selection
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +30,99 @@ def test_noise_is_not(planted):
 
 def test_constants_and_one_class(planted):
     report = classifiers.trivial_classifier(planted, ["fixed"], "id", importance=False)
-    assert report.note and all(a == {"mean": 0.5, "std": 0.0} for a in report.auc.values())
+    assert report.all_constant and all(a == {"mean": 0.5, "std": 0.0} for a in report.auc.values())
     with pytest.raises(ValueError, match="rows per class"):
         classifiers.trivial_classifier(planted.filter("label = 'real'"), ["noise"], "id")
 
 
+def logistic_by_hand(x, y, strength=1.0):
+    """Penalised loss of scaled features, by many small steps of Newton's method."""
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    z, w = np.column_stack([(x - mean) / std, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    penalty = np.append(np.full(x.shape[1], 1 / strength), 0)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - 0.5 * np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+    return w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum()
+
+
+def boosted_by_hand(bins, y, rounds):
+    """Scores of the training rows after so many trees, node by node and split by split."""
+    share = y.mean()
+    score = np.full(len(y), np.log(share / (1 - share)))
+
+    def worth(g, h):
+        return g * g / max(h, boosting.LEAST_CURVATURE)
+
+    def grow(rows, g, h, level, out):
+        best, split = 1e-10, None
+        if level < boosting.DEPTH:
+            for f in range(bins.shape[1]):
+                for c in range(boosting.BINS - 1):
+                    left, right = rows[bins[rows, f] <= c], rows[bins[rows, f] > c]
+                    if min(len(left), len(right)) >= boosting.LEAF_ROWS:
+                        gain = worth(g[left].sum(), h[left].sum()) + worth(g[right].sum(), h[right].sum()) - worth(g[rows].sum(), h[rows].sum())
+                        if gain > best + 1e-12:
+                            best, split = gain, (left, right)
+        if split is None:
+            out[rows] = -boosting.RATE * g[rows].sum() / max(h[rows].sum(), boosting.LEAST_CURVATURE)
+        else:
+            for side in split:
+                grow(side, g, h, level + 1, out)
+
+    for _ in range(rounds):
+        p, out = 1 / (1 + np.exp(-score)), np.zeros(len(y))
+        grow(np.arange(len(y)), p - y, p * (1 - p), 0, out)
+        score += out
+    return score
+
+
+def test_fits_against_plain_ones(spark):
+    """Several sets and folds at once, over several partitions: each fit equals the plain one on its own rows."""
+    rng = np.random.default_rng(3)
+    n = 300
+    x = rng.normal(size=(n, 3))
+    x[:, 2] = np.round(x[:, 2])
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=n) > 0.8).astype(float)
+    missing = rng.random(n) < 0.1
+    pdf = pd.DataFrame({"id": range(n), "label": np.where(y > 0, "fake", "real"), "a": x[:, 0], "b": np.where(missing, np.nan, x[:, 1]), "c": x[:, 2]})
+    table = classifiers._prepared(spark.createDataFrame(pdf), {"ab": ["a", "b"], "ac": ["a", "c"]}, "id", 3, 1)
+    got = table.rows.repartition(3).toPandas().sort_values("key")
+    bins, fold = np.array([list(b) for b in got["bins"]]), got["fold"].to_numpy()
+    complete = np.array(got["complete"].tolist()) > 0
+    assert (complete[:, 0] == ~missing).all() and complete[:, 1].all()
+    fits = [boosting.Fit(columns, s, k) for s, columns in enumerate(table.sets.values()) for k in (0, 2)] + [boosting.Fit(table.sets["ac"], 1, None)]
+    spread = table.rows.repartition(3)
+    lines = boosting.regress(spread, fits)
+    boosting.boost(spread, fits, 7)
+    for fit, line in zip(fits, lines, strict=True):
+        use = np.flatnonzero(complete[:, fit.of_set] & ((fold != fit.fold) if fit.fold is not None else ~got["quarter"].to_numpy()))
+        w, b = logistic_by_hand(x[use][:, fit.columns], y[use])
+        assert np.allclose(line.weights, w, atol=1e-6) and line.bias == pytest.approx(b, abs=1e-6)
+        want = boosted_by_hand(bins[use][:, fit.columns], y[use], 7)
+        assert np.allclose(fit.base + boosting.raw_scores(fit, bins[use]), want, atol=1e-9)
+
+
+def test_sets_together_and_alone(spark, planted):
+    """A set's report does not depend on the sets beside it, and many partial tables are added up by tasks."""
+    sets = {"both": ["width", "noise"], "noise": ["noise", "noise2"], "still": ["fixed"]}
+    together = classifiers.shortcut_tests(planted, sets, "id", folds=2, rounds=2)
+    alone = classifiers.trivial_classifier(planted, sets["noise"], "id", "noise", folds=2, rounds=2)
+    assert together[1].auc == alone.auc and together[1].top_features == alone.top_features and together[2].all_constant
+    rows = classifiers.audit_compare(planted, sets, "id", folds=2, rounds=1).collect()
+    assert {r["feature_set"] for r in rows} == set(sets) and {r["measure"] for r in rows} >= {"auc_mean", "auc_std", "importance", "n_samples", "constant"}
+    drops = {r["feature"]: r["auc_drop"] for r in classifiers.permutation_importance(planted, ["width", "noise"], "id", rounds=2).collect()}
+    assert drops["width"] > 0.2 > abs(drops["noise"])
+
+
+def test_sums_of_many_partials(spark, planted, monkeypatch):
+    table = classifiers._prepared(planted, {"n": ["noise"]}, "id", 2, 1).rows.repartition(7)
+    one = lambda rows: np.array([len(rows.y), rows.y.sum(), rows.x.sum()])
+    plain = boosting._added(table, 7, one, 3)
+    monkeypatch.setattr(boosting, "PARTIALS", 2)
+    assert np.allclose(boosting._added(table, 7, one, 3), plain) and plain[0] == 400
+
+
 def test_probe(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 4)) * [1, 5, 0.2, 1] + [3, 0, 0, -2]
