@@ -3,9 +3,10 @@
 Shingles are ordered by how often they occur in the corpus (counted in a table of fixed size), rare ones first. Two sets that
 are similar enough share one of the first few of them, so each distinct set is posted under those alone. A posting list is
 walked in blocks of equal place: places and sizes bound what two sets can share, and whole blocks that cannot reach
-the threshold are skipped. Answers are derived from those of similar sets: each set is first compared with one possible partner per
-list, links found so are joined to classes, and only pairs of different classes are compared after that, so a
-crowd of near copies is joined through a few of its sets and never expanded into pairs.
+the threshold are skipped. Answers are derived from those of a similar set: each set is compared with one hub, the smallest
+possible partner that its lists know, and what it lacks of the hub's shingles and adds to them is kept. What two sets of one hub share follows
+from these few shingles, inside the lists, where only pairs of different classes are looked at; links found join classes at once. So a crowd of
+near copies is never expanded into pairs, and only pairs without a common hub are decided on their texts.
 """
 
 from __future__ import annotations
@@ -166,6 +167,87 @@ def similar_rows(texts: pa.Array, others: pa.Array, n: int, num: int, den: int)
     return out
 
 
+def _relations(b: pa.RecordBatch, n: int, num: int, den: int) -> pa.RecordBatch:
+    """(key, hub, linked, hub_size, lacks, adds) of rows (key, hub, text, other): what a set lacks of its hub's shingles and what it adds.
+
+    Where both are more than half of the set, nothing is kept: such a set is compared by its text.
+    """
+    linked, sizes, lacks, adds = [], [], [], []
+    for x, y in zip(_each_set(b.column(2), n), _each_set(b.column(3), n), strict=True):
+        there = np.isin(y, x, assume_unique=True, kind="sort")
+        shared = int(there.sum())
+        linked.append(bool(shared) and den * shared >= num * (len(x) + len(y) - shared))
+        sizes.append(len(y))
+        near = len(x) + len(y) - 2 * shared <= len(x) // 2
+        lacks.append(y[~there].tobytes() if near else None)
+        adds.append(x[~np.isin(x, y, assume_unique=True, kind="sort")].tobytes() if near else None)
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())], ["key", "hub", "linked", "hub_size", "lacks", "adds"])
+
+
+class Relations:
+    """How some sets differ from their hubs: X is the hub's set without `lacks` and with `adds`.
+
+    What two sets of one hub share follows from these few shingles: the hub's size less the shingles that either
+    lacks, and those that both add. So the answers for a set come from its hub's, and no set is read again.
+    """
+
+    def __init__(self, hub: np.ndarray, hub_size: np.ndarray, lacks: np.ndarray, adds: np.ndarray):
+        self.hub, self.hub_size = hub, hub_size.astype(np.int64)
+        self.lacks, self.adds = (self._flat(x) for x in (lacks, adds))
+
+    @staticmethod
+    def _flat(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), U), np.concatenate([[0], np.cumsum([len(x) // 8 for x in parts])])
+
+    @staticmethod
+    def _common(flat: tuple[np.ndarray, np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
+        """How many of set i's shingles are among those of each other set."""
+        values, starts = flat
+        sizes = starts[others + 1] - starts[others]
+        at = np.repeat(starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        own = values[starts[i] : starts[i + 1]]
+        if not len(own) or not len(at):
+            return np.zeros(len(others), np.int64)
+        there = own[np.minimum(np.searchsorted(own, values[at]), len(own) - 1)] == values[at]
+        return np.bincount(np.repeat(np.arange(len(others)), sizes), there, minlength=len(others)).astype(np.int64)
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that set i shares with others of its hub."""
+        lack = np.diff(self.lacks[1])
+        return self.hub_size[i] - lack[i] - lack[others] + self._common(self.lacks, i, others) + self._common(self.adds, i, others)
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys, kind="stable")
+    return order[np.searchsorted(keys[order], wanted)]
+
+
+def _crossing(p: Posting, relations: Relations, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, known) of a list: links between classes that the relations to a common hub decide, and pairs without one that may be links.
+
+    Classes that a link joins are one from then on, so a crowd leaves a link for each class and not one for each pair.
+    """
+    a, b, known = [], [], []
+    group = p.group.copy()
+    for i in range(len(p.key) - 1):
+        found = p.possible(i, num, den)
+        found = found[group[found] != group[i]]
+        same = relations.hub[found] == relations.hub[i]
+        near, other = found[same], found[~same]
+        if len(near):
+            shared = relations.shared(i, near)
+            near = near[den * shared >= num * (p.size[i] + p.size[near] - shared)]
+            near = near[np.unique(group[near], return_index=True)[1]]
+            if len(near):
+                group[np.isin(group, group[near])] = group[i]
+                other = other[group[other] != group[i]]
+        for rows, sure in ((near, True), (other, False)):
+            a.append(np.full(len(rows), p.key[i]))
+            b.append(p.key[rows])
+            known.append(np.full(len(rows), sure))
+    return tuple(np.concatenate(x) for x in (a, b, known))
+
+
 def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Calls `walk` with the columns of each list of a table sorted by token; lists of one row are dropped."""
 
@@ -187,7 +269,7 @@ def _lists(walk: Callable[..., pa.RecordBatch | None], columns: list[str]) -> Ca
             at = [b.schema.get_field_index(c) for c in columns]
             if min(at) < 0:  # pyarrow takes column(-1) for the last one
                 raise ValueError(f"no column {columns[at.index(-1)]} in {b.schema.names}")
-            data = [b.column(i).to_numpy() for i in at]
+            data = [b.column(i).to_numpy(zero_copy_only=False) for i in at]
             token = data[0]
             cut = np.flatnonzero(token[1:] != token[:-1]) + 1
             if held and held[0][0][0] != token[0]:
@@ -232,7 +314,8 @@ def digest_of(text: str) -> Column:
 def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int = 80, den: int = 100, keep_digest: bool = False) -> DataFrame:
     """One row per row of `docs`: key, n_shingles and component_id, the smallest key reachable by links.
 
-    Pairs are decided on their whole texts, which take less room in a shuffle than sets of 64-bit names do.
+    Sets are compared with their hubs on whole texts, which take less room in a shuffle than sets of 64-bit names do, and with each other by
+    their differences from the hub.
     Two texts link if den * (shared shingles) >= num * (shingles of either). Null and empty texts have no shingles and link with
     nothing; a text of fewer than n words is one shingle. What is joined are distinct sets, each named by a 64-bit sum over its shingles: a key that
     several rows have, or none, links no texts. A component is null if no row that it reaches has a key. With
@@ -277,45 +360,60 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     lists = posted.repartition("token").sortWithinPartitions("token")
     near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long, low8 long, high8 long"), "postings")
 
+    # each set's hub is the smallest key that it may be similar to in any list
+    hubs = near.groupBy("key").agg(F.min("hub").alias("hub"))
     # one row's text stands for each set that may have partners
     row = F.struct("rows", F.col("key").isNull().alias("none"), "key", "digest")
-    found = own.join(near.select(F.col("key").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1", "key", "digest").agg(F.count("*").alias("rows"))
+    found = own.join(hubs.select(F.col("key").alias("h1")), "h1", "left_semi").groupBy("h1", "key", "digest").agg(F.count("*").alias("rows"))
     reps = stored(found.groupBy("h1").agg(F.min(row).alias("row")).select("h1", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest")), "rows")
     chosen = texts.join(reps, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), "text")
     needed = stored(chosen if reps.where("rows > 1").isEmpty() else chosen.dropDuplicates(["key"]), "texts")
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = pa.array(similar_rows(batch.column(2), batch.column(3), n, num, den))
-                yield batch.select([0, 1]).filter(ok)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(needed, F.col("a") == F.col("key")).select("a", "b", "text")
-        both = one.join(needed.select("key", F.col("text").alias("other")), F.col("b") == F.col("key")).select("a", "b", "text", "other")
-        return both.mapInArrow(verified, "a long, b long")
+    def against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _relations(b, n, num, den)
 
-    first = stored(linked(near.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()), "links")
+    members = hubs.where("key != hub").join(needed, "key").select("key", "hub", "text")
+    both = members.join(needed.select(F.col("key").alias("hub"), F.col("text").alias("other")), "hub").select("key", "hub", "text", "other")
+    relations = stored(both.mapInArrow(against_hub, "key long, hub long, linked boolean, hub_size int, lacks binary, adds binary"), "relations")
+    first = relations.where("linked").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     groups = components(first, "a", "b")
 
-    def across(token, keys, size, at, low8, high8, group) -> pa.RecordBatch | None:
+    def across(token, keys, size, at, low8, high8, group, hub, hub_size, lacks, adds) -> pa.RecordBatch | None:
         p = Posting(at, size, keys, keys, low8, high8, group)
         if len(p.key) < 2 or (p.group == p.group[0]).all():
             return None
-        a, b = [], []
-        for i in range(len(p.key) - 1):
-            found = p.possible(i, num, den)
-            found = found[p.group[found] != p.group[i]]
-            a.append(np.full(len(found), p.key[i]))
-            b.append(p.key[found])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", "at", "low8", "high8", F.coalesce("component", "key").alias("group"))
-    crossing = classed.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _merged(_lists(across, ["token", "key", "size", "at", "low8", "high8", "group"])(it)), "a long, b long")
-    pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = near.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    second = linked(pairs.join(known, ["a", "b"], "left_anti"))
-    all_groups = components(first.unionByName(second), "a", "b")
+        order = _places(keys, p.key)
+        out = _crossing(p, Relations(hub[order], hub_size[order], lacks[order], adds[order]), num, den)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "known"])
+
+    own_relation = relations.where("lacks is not null").select("key", "hub", "hub_size", "lacks", "adds")
+    # a hub is its own: nothing lacks and nothing is added
+    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").join(own_relation, "key", "left").select(
+        "token", "key", "size", "at", "low8", "high8", F.coalesce("component", "key").alias("group"), F.coalesce("hub", "key").alias("hub"),
+        F.coalesce("hub_size", "size").alias("hub_size"), F.coalesce("lacks", F.lit(b"")).alias("lacks"), F.coalesce("adds", F.lit(b"")).alias("adds"),
+    )
+    columns = ["token", "key", "size", "at", "low8", "high8", "group", "hub", "hub_size", "lacks", "adds"]
+    crossing = stored(classed.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _merged(_lists(across, columns)(it)), "a long, b long, known boolean"), "crossing")
+    second = crossing.where("known").select("a", "b").distinct()
+    groups2 = components(first.unionByName(second), "a", "b")
+    # pairs of sets with different hubs, and by now of different classes, are decided on their texts
+    decided = relations.select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    asked = crossing.where("not known").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(decided, ["a", "b"], "left_anti")
+    left, right = (groups2.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}")) for c in "ab")
+    apart = asked.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = pa.array(similar_rows(batch.column(2), batch.column(3), n, num, den))
+                yield batch.select([0, 1]).filter(ok)
+
+    one = apart.join(needed, F.col("a") == F.col("key")).select("a", "b", "text")
+    pairs = one.join(needed.select("key", F.col("text").alias("other")), F.col("b") == F.col("key")).select("a", "b", "text", "other")
+    third = stored(pairs.mapInArrow(verified, "a long, b long"), "links")
+    all_groups = components(first.unionByName(second).unionByName(third), "a", "b")
 
     # classes of sets, and only now the keys of their rows
     sets = own.where("size > 0").groupBy("h1", "h2").agg(F.min("key").alias("rep"))

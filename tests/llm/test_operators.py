@@ -162,7 +162,7 @@ def test_texts_by_their_merges():
         texts.append("".join(w + r.choice(blanks[:8] if k % 5 else blanks) for w in words))
     for name in (WORD_BPE, BYTE_BPE):
         t, enc = brute.library(vocabulary(name)), bpe.PieceEncoder(vocabulary(name))
-        assert sum(enc.merges(x) is not None for x in texts) > 900
+        assert sum(enc.merges(x) is not None for x in texts) > 500
         assert all(np.frombuffer(enc.encode(x), "<u4").tolist() == brute.ids(t, x) for x in texts)
     tokens = [x.replace("</w>", "") for x in brute.library(vocabulary(WORD_BPE)).get_vocab()]
     t, enc = brute.library(vocabulary(WORD_BPE)), bpe.PieceEncoder(vocabulary(WORD_BPE))
@@ -293,6 +293,33 @@ def test_jaccard_of_spread_keys(spark):
     same(jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect(), want)
 
 
+def test_overlaps_from_relations():
+    """What sets of one hub share, from their differences from it, equals what they share themselves."""
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 1 << 60, 80).astype(np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(40, len(base)), replace=False), r.integers(0, 1 << 60, r.integers(0, 9)).astype(np.uint64)])) for _ in range(40)] + [base]
+    lacks, adds = ([np.setdiff1d(x, y).tobytes() for x, y in pairs] for pairs in ([(base, s) for s in sets], [(s, base) for s in sets]))
+    relations = jaccard.Relations(np.zeros(len(sets)), np.full(len(sets), len(base)), np.array(lacks, object), np.array(adds, object))
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        assert relations.shared(i, others).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in others]
+
+
+def test_jaccard_of_a_crowd_just_under_the_threshold(spark):
+    """Sets that differ from one base by five words each: linked to it, and to each other only where differences fall together."""
+    r = random.Random(11)
+    base = ["b%d" % i for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        words = base[:]
+        for k in sorted(r.sample(range(5, 290), 9)):
+            words[k] = "e%d" % r.randint(0, 10**6)
+        rows.append((i * 1000, " ".join(words)))
+    got = jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect()
+    same(got, brute.similar(rows, 3, 90))
+    assert len({x["component_id"] for x in got}) > 50
+
+
 def test_rows_without_a_key_of_their_own(spark):
     """Null and repeated ids link no texts; a row goes only for a similar one that stays."""
     r = random.Random(8)
