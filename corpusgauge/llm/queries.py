@@ -97,7 +97,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", folder)
-    return warc.page_digests(warc.read_archives(spark, folder))
+    return warc.page_digests(warc.read_archives(spark, folder), gaps=False)
 
 
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,32 +87,44 @@ def _member(data: bytes) -> bytes:
 
 
 class _Bytes:
-    """A file as a sliding buffer, so that no more than about one record is held."""
+    """A file from its place `at` on, as a buffer with an offset: going on copies nothing, and no more than about one record is held."""
 
     def __init__(self, file):
-        self.file, self.at, self.data, self.over = file, 0, b"", False
+        self.file, self.at, self.data, self.pos, self.over = file, 0, b"", 0, False
 
     def need(self, n: int) -> bool:
         """Tries to hold n bytes from here on."""
-        parts, have = [self.data], len(self.data)
+        have = len(self.data) - self.pos
+        if have >= n or self.over:
+            return have >= n
+        parts = [self.data[self.pos :]]
         while have < n and not self.over:
             more = self.file.read(max(CHUNK, min(n - have, 1 << 26)))
             self.over = not more
             parts.append(more)
             have += len(more)
-        if len(parts) > 1:
-            self.data = b"".join(parts)
+        self.data, self.pos = b"".join(parts), 0
         return have >= n
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
-
-
-def _plain(data: bytes, whole: bool) -> tuple[dict, bytes, int] | str | None:
-    """Header, block and length of the record that data begins with; a text: what is wrong; None: more bytes are needed."""
-    m = _LINE.match(data)
+        self.pos, self.at = self.pos + n, self.at + n
+
+    def ends(self, n: int) -> bool:
+        """Whether a record of n bytes could end there, by its last bytes alone: a wrong length is found out before all it claims is read."""
+        if len(self.data) - self.pos >= n:
+            return self.data[self.pos + n - 4 : self.pos + n] == b"\r\n\r\n"
+        here = self.file.tell()
+        self.file.seek(self.at + n - 4)
+        last = self.file.read(4)
+        self.file.seek(here)
+        return last == b"\r\n\r\n"
+
+
+def _plain(data: bytes, at: int, whole: bool) -> tuple[dict, bytes, int] | str | int | None:
+    """Header, block and length of the record that begins at a place; a text: what is wrong; a number: how many bytes it claims; None: its header goes on."""
+    m = _LINE.match(data, at)
     if not m:
-        return "version line" if len(data) > 12 or whole else None
+        return "version line" if len(data) - at > 12 or whole else None
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
         # a header may have any size, but each of its whole lines a colon
@@ -129,54 +141,55 @@ def _plain(data: bytes, whole: bool) -> tuple[dict, bytes, int] | str | None:
     start = end + 4
     stop = start + int(size)
     if len(data) < stop + 4:
-        return "truncated" if whole else None
+        return "truncated" if whole else stop + 4 - at
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "length"
     block, told = data[start:stop], head.get("warc-block-digest", "")
     if told.startswith("sha1:") and told[5:] != digest_of(block):
         return "digest"
-    return head, block, stop + 4
+    return head, block, stop + 4 - at
 
 
 def _inflated(src: _Bytes) -> tuple[bytes, int] | str:
     """Content and length of the gzip member that starts here, or what is wrong with it."""
-    z, out, used, at = zlib.decompressobj(31), [], 0, 0
+    z, out, at = zlib.decompressobj(31), [], 0
     while not z.eof:
-        if at >= len(src.data) and not src.need(at + CHUNK) and at >= len(src.data):
+        if src.pos + at >= len(src.data) and not src.need(at + CHUNK) and src.pos + at >= len(src.data):
             return "truncated"
-        piece = src.data[at : at + CHUNK]
+        piece = src.data[src.pos + at : src.pos + at + CHUNK]
         try:
             out.append(z.decompress(piece))
         except zlib.error:
             return "gzip"
         at += len(piece)
-    used = at - len(z.unused_data)
-    return b"".join(out), used
+    return b"".join(out), at - len(z.unused_data)
 
 
 def salvage(file, gzip: bool) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
-    """(start, end, header, block, problem) of all that a file holds: records, and gaps that belong to none.
+    """(start, end, header, block, problem) of all that a file (one that can be sought in) holds: records, and gaps that belong to none.
 
     After a failed check the reader looks for the next place where a member (or, in plain files, a version line) begins a
     valid record, and reports the bytes in between as one gap.
     """
     src, gap, why = _Bytes(file), None, None
     while src.need(1):
-        found: tuple | str | None = None
         used = 0
         if gzip:
             src.need(CHUNK)
-            got = _inflated(src) if src.data.startswith(_GZIP) else "member"
+            got = _inflated(src) if src.data.startswith(_GZIP, src.pos) else "member"
             if isinstance(got, str):
                 found = got
             else:
-                found, used = _plain(got[0], True), got[1]
+                found, used = _plain(got[0], 0, True), got[1]
                 if isinstance(found, tuple) and found[2] != len(got[0]):
                     found = "length"
         else:
             size = MAX_HEAD
-            while (found := _plain(src.data, src.over)) is None:
-                size = max(size * 2, len(src.data) + CHUNK)
+            while not isinstance(found := _plain(src.data, src.pos, src.over), (tuple, str)):
+                if found is not None and not src.ends(found):
+                    found = "length"
+                    break
+                size = found or max(size * 2, len(src.data) - src.pos + CHUNK)
                 src.need(size)
             if isinstance(found, tuple):
                 used = found[2]
@@ -200,18 +213,19 @@ def _seek(src: _Bytes, gzip: bool) -> None:
     src.skip(1)
     while True:
         if gzip:
-            at = src.data.find(_GZIP)
+            at = src.data.find(_GZIP, src.pos)
         else:
-            m = _LINE.search(src.data)
+            m = _LINE.search(src.data, src.pos)
             at = m.start() if m else -1
         if at >= 0:
-            src.skip(at)
+            src.skip(at - src.pos)
             return
+        left = len(src.data) - src.pos
         if src.over:
-            src.skip(len(src.data))
+            src.skip(left)
             return
-        src.skip(max(0, len(src.data) - keep))
-        src.need(len(src.data) + CHUNK)
+        src.skip(max(0, left - keep))
+        src.need(len(src.data) - src.pos + CHUNK)
 
 
 def _urn(value: str | None) -> str | None:
@@ -249,15 +263,21 @@ def read_archives(spark: SparkSession, folder: str, files: list[str] | None = No
     return one_by_one(listed, "file").mapInPandas(read, FOUND)
 
 
-def page_digests(records: DataFrame, key: str = "page_id") -> DataFrame:
+def page_digests(records: DataFrame, key: str = "page_id", gaps: bool = True) -> DataFrame:
     """Per record: key, payload_bytes and payload_digest of the full payload, record_type and refers_to.
 
     A response's payload is at hand; a revisit has that of the response it refers to, found by record id. Archives are read
-    once: what is needed of each record, without its payload, is written to the shared folder.
+    once: what is needed of each record, without its payload, is written to the shared folder. Only revisits are
+    joined, each with one small row, so a response that many revisit splits as any skewed join does. Gaps are no rows of
+    the result; without `gaps` they are an error.
     """
-    sound = records.where("kind = 'record'")
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
-    size = stored(sound.select("record_id", F.octet_length("payload").cast("long").alias("own_bytes"), "record_type", "refers_to_id", "payload_digest", number("page_key").alias(key), number("refers_to_key").alias("refers_to")), "records")
-    answers = size.where("record_type = 'response'").groupBy("record_id").agg(F.first("own_bytes").alias("full_bytes")).withColumnRenamed("record_id", "_id")
-    joined = size.join(answers, (F.col("record_type") == "revisit") & (F.col("refers_to_id") == F.col("_id")), "left")
-    return joined.select(key, F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
+    kept = stored(records.select("file", "at", "end", "kind", "problem", "record_id", F.octet_length("payload").cast("long").alias("own_bytes"), "record_type", "refers_to_id", "payload_digest", number("page_key").alias("key"), number("refers_to_key").alias("refers")), "records")
+    if not gaps and (lost := kept.where("kind = 'gap'").select("file", "at", "end", "problem").limit(3).collect()):
+        raise ValueError(f"archives with gaps: {[tuple(r) for r in lost]}")
+    sound = kept.where("kind = 'record'")
+    revisits, others = sound.where("record_type = 'revisit'"), sound.where("record_type is distinct from 'revisit'")
+    answers = sound.where("record_type = 'response'").groupBy("record_id").agg(F.first("own_bytes").alias("full_bytes")).withColumnRenamed("record_id", "_id")
+    found = revisits.join(answers, F.col("refers_to_id") == F.col("_id"), "left").select(F.col("key").alias(key), F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers").alias("refers_to"))
+    own = others.select(F.col("key").alias(key), F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(found)

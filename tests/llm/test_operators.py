@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import random
 import zlib
 from collections import Counter
@@ -390,6 +391,48 @@ def test_warc_of_long_urls(spark, gzip):
     assert {(r["kind"], r["page_key"], len(r["url"] or "")) for r in records.collect()} == {("record", "1", 1), ("record", "2", 100_000), ("record", "3", 120_000), ("record", "4", 1)}
 
 
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.file, self.read_bytes, self.largest = io.BytesIO(data), 0, 0
+
+    def read(self, n):
+        out = self.file.read(n)
+        self.read_bytes, self.largest = self.read_bytes + len(out), max(self.largest, len(out))
+        return out
+
+    def seek(self, at):
+        return self.file.seek(at)
+
+    def tell(self):
+        return self.file.tell()
+
+
+def test_a_damaged_length_costs_little():
+    """A record that claims the rest of a large file, or more: all others are found, nothing is read twice, and little is held."""
+    records = [warc._record("response", str(i), "u", b"<p>%d</p>" % i * 900, None) for i in range(800)]
+    size = str(records[3].split(b"Content-Length: ")[1].split(b"\r\n")[0], "ascii")
+    whole = sum(map(len, records))
+    for claim in (whole // 2, whole * 3, int(size) + 7):
+        bad = records[:]
+        bad[3] = bad[3].replace(f"Content-Length: {size}".encode(), f"Content-Length: {claim}".encode())
+        file = Counted(b"".join(bad))
+        out = list(warc.salvage(file, False))
+        assert [h["x-page-key"] for _, _, h, _, _ in out if h] == [str(i) for i in range(800) if i != 3]
+        assert [(a, why) for a, _, h, _, why in out if h is None] == [(sum(map(len, records[:3])), "length")]
+        assert file.read_bytes < whole + 100_000 and file.largest <= 1 << 17
+
+
+def test_gaps_are_an_error_unless_allowed(spark, tmp_path):
+    records = [warc._record("response", str(i), "u", b"<p>%d</p>" % i, None) for i in range(3)]
+    (tmp_path / "x.warc").write_bytes(records[0] + b"junk" + records[1][:-9] + records[2])
+    found = warc.read_archives(spark, str(tmp_path), ["x.warc"])
+    assert {r["page_id"] for r in warc.page_digests(found).collect()} == {0, 2}
+    with pytest.raises(ValueError, match="gaps"):
+        warc.page_digests(found, gaps=False)
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage(tmp_path, gzip):
     records = [warc._record("response", str(i), "u", b"<p>%d</p>" % i * 50, None) for i in range(6)]
