@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.components import components
 from corpusgauge.llm.mph import mix
-from corpusgauge.llm.shared import stored
+from corpusgauge.llm.shared import free_name, stored
 from corpusgauge.llm.words import WORD_BASE, WORD_BASE_2, chunks, spans
 
 U = np.uint64
@@ -434,7 +434,12 @@ def keep_one(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFr
     own = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key"), "_class", apart.alias("_apart"), "_digest").agg(F.count("*").alias("_rows"))
     one = own.groupBy("_key", "_class", "_apart").agg(F.min(F.struct("_digest", "_rows")).alias("_one"))
     chosen = one.select("_key", F.col("_one._digest").alias("_digest"), F.col("_one._rows").alias("_rows"))
-    here = lambda some: docs.join(some, F.col(key).eqNullSafe(F.col("_key")) & (digest_of(text) == F.col("_digest")), "left_semi")
+    own_key, own_digest = free_name(docs, "_key"), free_name(docs, "_digest")  # names that the table does not have
+
+    def here(some: DataFrame) -> DataFrame:
+        named = some.select(F.col("_key").alias(own_key), F.col("_digest").alias(own_digest))
+        return docs.join(named, F.col(key).eqNullSafe(F.col(own_key)) & (digest_of(text) == F.col(own_digest)), "left_semi")
+
     once, again = here(chosen.where("_rows = 1")), chosen.where("_rows > 1")
     keyed, unkeyed = here(again.where("_key is not null")), here(again.where("_key is null"))
-    return once.unionByName(keyed.withColumn("_digest", digest_of(text)).dropDuplicates([key, "_digest"]).drop("_digest")).unionByName(unkeyed.dropDuplicates())
+    return once.unionByName(keyed.withColumn(own_digest, digest_of(text)).dropDuplicates([key, own_digest]).drop(own_digest)).unionByName(unkeyed.dropDuplicates())

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.llm.mph import mix
+from corpusgauge.llm.shared import free_name
 from corpusgauge.llm.words import WORD_BASE, WORD_BASE_2, chunks, spans
 
 U = np.uint64
@@ -225,9 +226,11 @@ def cut_repeated(docs: DataFrame, key: str, text: str, width: int = 35) -> DataF
     """
     carried = [c for c in docs.columns if c != text]
     _, runs = repeated_windows(docs, key, text, width)
-    runs = runs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
+    # names that the table does not have
+    id_name, th, found = (free_name(docs, c) for c in ("_id", "_th", "_runs"))
+    runs = runs.select(F.col("id").alias(id_name), F.col("th").alias(th), F.col("runs").alias(found))
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY))
-    marked = docs.join(runs, (id_ == F.col("_id")) & (F.hash(F.col(text)) == F.col("_th")), "left").select(*carried, F.col(text).alias(text), "_runs")
+    marked = docs.join(runs, (id_ == F.col(id_name)) & (F.hash(F.col(text)) == F.col(th)), "left").select(*carried, F.col(text).alias(text), found)
     place = len(carried)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
