@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm import jaccard, packing, quality, substrings, toxicity
 from corpusgauge.llm.queries import BYTE_BPE, table, vocabulary, with_crc32
-from corpusgauge.llm.shared import stored
+from corpusgauge.llm.shared import free_name, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores 0.5 or more go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_score")
-    return scored.where("_score < 0.5").drop("_score")
+    name = free_name(docs, "_score")
+    return toxicity.score(docs, model, out=name).where(F.col(name) < 0.5).drop(name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; equal keys share the answers of their texts."""
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep_digest=True)
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_digest").distinct()
+    id_, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("_digest").alias(digest)).distinct()
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_digest")), "left_anti")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(id_)) & (own == F.col(digest)), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic), ("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("substring dedup", cut_repeats), ("best-fit packing", pack),
 ]
 
-#: Tokenizers and the learned stages cannot be written in SQL. Tests check planted cases only: nothing compares all rows of the stages as chained.
+#: Tokenizers and the learned stages cannot be written in SQL; tests compare the chained stages with plain versions, given the learned model and cutoffs.
 ORACLE_SQL = None
 
 
