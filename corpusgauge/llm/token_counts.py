@@ -42,12 +42,17 @@ def fold(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in TOTALS])
 
 
+#: Bytes of a batch's name, at most: it is written in hexadecimal digits in a folder's name.
+NAME_BYTES = 100
+
+
 class Rollup:
-    """Totals in a folder: one small table of folded deltas per batch, named by the batch.
+    """Totals in a folder, maintained: a base table, and one small table of folded deltas per batch committed since.
 
     A batch is committed by the writer's own _SUCCESS mark; committing a batch of the same name again replaces nothing and
-    adds nothing, half a batch is overwritten. Totals are the sum over all committed batches; batches are never merged,
-    so reading totals takes one small table per batch ever committed.
+    adds nothing, half a batch is overwritten. compact() folds all batches into a new base, which counts from the moment its list
+    of batches is written; so totals read one base and the few batches that it does not hold, however many there were.
+    One writer at a time; readers may go on meanwhile.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -57,31 +62,82 @@ class Rollup:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    @staticmethod
+    def _place(batch: str) -> str:
+        """Any name may be given; it never reaches a path as it is."""
+        raw = batch.encode()
+        if not 0 < len(raw) <= NAME_BYTES:
+            raise ValueError(f"a batch's name has 1 to {NAME_BYTES} bytes")
+        return f"batch={raw.hex()}"
+
+    def _folders(self, prefix: str) -> list[str]:
+        if not self.fs.exists(self._path("")):
+            return []
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(""))]
+        return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
+
+    def _base(self) -> int | None:
+        """The newest base that is whole: its totals are written before the list of its batches."""
+        done = [int(n) for n in self._folders("base=") if self.fs.exists(self._path(f"base={n}/held/_SUCCESS"))]
+        return max(done, default=None)
+
+    def _held(self, base: int) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/base={base}/held")
+
     def committed(self, batch: str) -> bool:
-        return self.fs.exists(self._path(f"batch={batch}/_SUCCESS"))
+        if self.fs.exists(self._path(f"{self._place(batch)}/_SUCCESS")):
+            return True
+        base = self._base()
+        return base is not None and not self._held(base).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch of changes; false if it is there already."""
+        """Adds a batch of changes; false if it is there already, in its own folder or in the base."""
         if self.committed(batch):
             return False
-        fold(signed(changes)).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        fold(signed(changes)).write.mode("overwrite").parquet(f"{self.folder}/{self._place(batch)}")
         return True
 
     def batches(self) -> list[str]:
-        if not self.fs.exists(self._path("")):
-            return []
-        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(""))]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:]))
+        """Batches committed since the base was made."""
+        names = [bytes.fromhex(n).decode() for n in self._folders("batch=") if self.fs.exists(self._path(f"batch={n}/_SUCCESS"))]
+        base = self._base()
+        if base is None or not names:
+            return sorted(names)
+        old = {r["batch"] for r in self._held(base).where(F.col("batch").isin(names)).collect()}  # no more than there are folders
+        return sorted(set(names) - old)
+
+    def _sum(self, base: int | None, batches: list[str]) -> DataFrame | None:
+        places = [f"{self.folder}/base={base}/totals"] * (base is not None) + [f"{self.folder}/{self._place(b)}" for b in batches]
+        if not places:
+            return None
+        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+        return fold(self.spark.read.schema(schema).parquet(*places)).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def totals(self) -> DataFrame:
         """Current totals; groups whose documents are all gone have no row."""
-        held = [self.spark.read.parquet(f"{self.folder}/batch={b}") for b in self.batches()]
-        if not held:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        out = held[0]
-        for x in held[1:]:
-            out = out.unionByName(x)
-        return fold(out).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        found = self._sum(self._base(), self.batches())
+        return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long") if found is None else found
+
+    def compact(self) -> int:
+        """Folds the base and all batches into a new base; returns how many batches it took in.
+
+        Broken off before its list is written, it has changed nothing. What the new base holds is removed after that; a folder
+        that stays because of a failure is known from the list and counts no more.
+        """
+        base, names = self._base(), self.batches()
+        if not names:
+            return 0
+        new = 0 if base is None else base + 1
+        self._sum(base, names).write.mode("overwrite").parquet(f"{self.folder}/base={new}/totals")
+        listed = self.spark.createDataFrame([(b,) for b in names], "batch string")
+        listed = listed if base is None else self._held(base).unionByName(listed)
+        listed.write.mode("overwrite").parquet(f"{self.folder}/base={new}/held")
+        for b in names:
+            self.fs.delete(self._path(self._place(b)), True)
+        for n in self._folders("base="):
+            if int(n) < new - 1:  # those who read the last base may go on
+                self.fs.delete(self._path(f"base={n}"), True)
+        return len(names)
 
 
 def retokenized(docs: DataFrame, key: str, text: str, path: str, version: str, old_path: str, old_version: str) -> tuple[DataFrame, DataFrame]:

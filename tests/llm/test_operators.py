@@ -212,6 +212,38 @@ def test_rollup(spark):
     same(rollup.totals().collect(), [("a", "en", "t", 2, 16), (None, None, "t", 1, 1)])
 
 
+def test_rollup_compaction(spark):
+    """Totals and idempotence before, after and in the middle of compactions; names that are no paths."""
+    rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
+    schema = "source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    change = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert rollup.compact() == 0
+    names = ["day/1", "day 2=x%", "../day3", "täg 4", "5*[a]{b}"]
+    for i, name in enumerate(names):
+        assert rollup.commit(name, change(("a", "en", "t", None, 10 + i), (None, None, "t", None, 1)))
+    want = [("a", "en", "t", 5, 60), (None, None, "t", 5, 5)]
+    same(rollup.totals().collect(), want)
+    assert rollup.batches() == sorted(names) and rollup.compact() == 5 and rollup.batches() == [] and rollup.compact() == 0
+    same(rollup.totals().collect(), want)
+    assert not any(rollup.commit(name, change(("a", "en", "t", None, 99))) for name in names)
+    assert rollup.commit("6", change(("a", "en", "t", 10, None), (None, None, "t", 1, None), ("b", "de", "t", None, 3)))
+    want = [("a", "en", "t", 4, 50), (None, None, "t", 4, 4), ("b", "de", "t", 1, 3)]
+    same(rollup.totals().collect(), want)
+    # a compaction that broke off after its totals, and one that broke off before it removed what it took in
+    rollup.totals().write.parquet(f"{rollup.folder}/base=1/totals")
+    same(rollup.totals().collect(), want)
+    kept = spark.read.parquet(f"{rollup.folder}/{rollup._place('6')}").collect()
+    assert rollup.compact() == 1
+    spark.createDataFrame(kept, "source string, lang string, tokenizer string, n_docs long, n_tokens long").write.parquet(f"{rollup.folder}/{rollup._place('6')}")
+    same(rollup.totals().collect(), want)
+    assert rollup.batches() == [] and not rollup.commit("6", change(("b", "de", "t", None, 3)))
+    assert rollup.commit("7", change(("b", "de", "t", 3, None), ("a", "en", "t", 11, 12))) and rollup.compact() == 1
+    same(rollup.totals().collect(), [("a", "en", "t", 4, 51), (None, None, "t", 4, 4)])
+    for name in ("", "x" * 101):
+        with pytest.raises(ValueError):
+            rollup.commit(name, change())
+
+
 def test_rollup_query(spark, rows, docs, tmp_path):
     """The whole query against counts by the library: a third moved from the byte to the word vocabulary, a third revised by one."""
     docs.write.parquet(f"{tmp_path}/documents.parquet")
