@@ -420,6 +420,40 @@ FROM (SELECT item_id, height, {_byte('3 * p')} AS b, {_byte('3 * p + 1')} AS g,
       unnest(range(32 * ceil(octet_length(encode(html)) / 96.0)::INTEGER)) AS p FROM pages))
 GROUP BY item_id""",
 )
+# the transform of a picture: over the columns of each row first, then over the rows
+_GREY = f"""grey AS MATERIALIZED (SELECT item_id, source, h, p // 32 AS y, p % 32 AS x, r, g, b, ((19595 * r + 38470 * g + 7471 * b + 32768) >> 16)::DOUBLE AS v
+  FROM (SELECT item_id, source, h, p, {_byte('3 * p')} AS b, {_byte('3 * p + 1')} AS g, {_byte('3 * p + 2')} AS r
+    FROM (SELECT page_id AS item_id, {pick(h(41, 'page_id', 3), ['ffhq', 'sdxl', 'flux'])} AS source, hex(encode(html)) AS hx, octet_length(encode(html)) AS n,
+        ceil(octet_length(encode(html)) / 96.0)::INTEGER AS h, unnest(range(32 * ceil(octet_length(encode(html)) / 96.0)::INTEGER)) AS p FROM pages)))"""
+
+
+def _power(table: str) -> str:
+    """CTEs up to `power` (item_id, source, h, w, u, power) of `table` (item_id, source, h, y, x, v)."""
+    turn = "2 * pi() * ({a} * {b} % {n})::DOUBLE / {n}"
+    across, down = turn.format(a="u", b="x", n="32"), turn.format(a="w", b="y", n="h")
+    return f"""across AS MATERIALIZED (SELECT item_id, source, h, y, u, sum(v * c) AS re, -sum(v * s) AS im
+  FROM {table} JOIN (SELECT u, x, cos({across}) AS c, sin({across}) AS s FROM range(32) a(u), range(32) b(x)) USING (x) GROUP BY ALL),
+waves AS MATERIALIZED (SELECT h, w, y, cos({down}) AS c, sin({down}) AS s FROM (SELECT DISTINCT h FROM {table}), LATERAL (SELECT unnest(range(h)) AS w), LATERAL (SELECT unnest(range(h)) AS y)),
+power AS MATERIALIZED (SELECT item_id, source, h, w, u, pow(sum(re * c + im * s), 2) + pow(sum(im * c - re * s), 2) AS power FROM across JOIN waves USING (h, y) GROUP BY ALL)"""
+
+
+_FAR = "pow(2 * ((w + h // 2) % h - h // 2)::DOUBLE / h, 2) + pow(2 * ((u + 16) % 32 - 16)::DOUBLE / 32, 2) > 0.25"
+ORACLES["pixel_stats"] = f"""WITH {_GREY},
+centred AS (SELECT item_id, source, h, y, x, v - avg(v) OVER (PARTITION BY item_id) AS v FROM grey),
+{_power('centred')},
+high AS (SELECT item_id, CASE WHEN sum(power) > 0 THEN coalesce(sum(power) FILTER ({_FAR}), 0) / sum(power) ELSE 0.0 END AS share FROM power GROUP BY 1),
+around AS (SELECT item_id, h, y, x, lag(v) OVER r + lead(v) OVER r + lag(v) OVER c + lead(v) OVER c - 4 * v AS edge FROM grey
+  WINDOW r AS (PARTITION BY item_id, y ORDER BY x), c AS (PARTITION BY item_id, x ORDER BY y)),
+edges AS (SELECT item_id, var_pop(edge) AS spread FROM around WHERE edge IS NOT NULL GROUP BY 1),
+colours AS (SELECT item_id, {_COLOURS},
+  {rd('avg(CASE WHEN greatest(r, g, b) > 0 THEN 255 * (greatest(r, g, b) - least(r, g, b)) // greatest(r, g, b) ELSE 0 END) / 255')} AS mean_saturation,
+  {rd('avg(greatest(r, g, b)) / 255')} AS mean_brightness FROM grey GROUP BY 1)
+SELECT colours.*, {rd('spread')} AS laplacian_var, {rd('share')} AS hf_energy_ratio FROM colours JOIN high USING (item_id) LEFT JOIN edges USING (item_id)"""
+ORACLES["mean_spectrum"] = f"""WITH {_GREY},
+patch AS (SELECT item_id, source, 32 AS h, y - (h - 32) // 2 AS y, x, v FROM grey WHERE h >= 32 AND y - (h - 32) // 2 BETWEEN 0 AND 31),
+tapered AS (SELECT item_id, source, h, y, x, (v - avg(v) OVER (PARTITION BY item_id)) * (0.5 - 0.5 * cos(2 * pi() * y / 31)) * (0.5 - 0.5 * cos(2 * pi() * x / 31)) AS v FROM patch),
+{_power('tapered')}
+SELECT source, ((w + 16) % 32)::INTEGER AS y, ((u + 16) % 32)::INTEGER AS x, {rd('avg(ln(power + 1e-8))')} AS value FROM power GROUP BY ALL"""
 oracle(
     "spectrum_counts",
     f"""SELECT {pick(h(41, 'page_id', 3), ['ffhq', 'sdxl', 'flux'])} AS source,
