@@ -168,7 +168,7 @@ def similar_rows(texts: pa.Array, others: pa.Array, n: int, num: int, den: int)
 
 
 def _relations(b: pa.RecordBatch, n: int, num: int, den: int) -> pa.RecordBatch:
-    """(key, hub, linked, hub_size, lacks, adds) of rows (key, hub, text, other): what a set lacks of its hub's shingles and what it adds.
+    """(key, hub, linked, hub_size, lacks, adds) of rows (key, hub, text, other): the places of the hub's shingles that a set lacks, and those it adds.
 
     Where both are more than half of the set, nothing is kept: such a set is compared by its text.
     """
@@ -179,13 +179,13 @@ def _relations(b: pa.RecordBatch, n: int, num: int, den: int) -> pa.RecordBatch:
         linked.append(bool(shared) and den * shared >= num * (len(x) + len(y) - shared))
         sizes.append(len(y))
         near = len(x) + len(y) - 2 * shared <= len(x) // 2
-        lacks.append(y[~there].tobytes() if near else None)
+        lacks.append(np.flatnonzero(~there).astype("<u4").tobytes() if near else None)
         adds.append(x[~np.isin(x, y, assume_unique=True, kind="sort")].tobytes() if near else None)
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())], ["key", "hub", "linked", "hub_size", "lacks", "adds"])
 
 
 class Relations:
-    """How some sets differ from their hubs: X is the hub's set without `lacks` and with `adds`.
+    """How some sets differ from their hubs: X is the hub's set without the places `lacks` of it and with `adds`.
 
     What two sets of one hub share follows from these few shingles: the hub's size less the shingles that either
     lacks, and those that both add. So the answers for a set come from its hub's, and no set is read again.
@@ -193,11 +193,11 @@ class Relations:
 
     def __init__(self, hub: np.ndarray, hub_size: np.ndarray, lacks: np.ndarray, adds: np.ndarray):
         self.hub, self.hub_size = hub, hub_size.astype(np.int64)
-        self.lacks, self.adds = (self._flat(x) for x in (lacks, adds))
+        self.lacks, self.adds = self._flat(lacks, np.dtype("<u4")), self._flat(adds, np.dtype(U))
 
     @staticmethod
-    def _flat(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(parts), U), np.concatenate([[0], np.cumsum([len(x) // 8 for x in parts])])
+    def _flat(parts: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), kind), np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in parts])])
 
     @staticmethod
     def _common(flat: tuple[np.ndarray, np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
@@ -361,12 +361,14 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     near = stored(lists.mapInArrow(lambda it: _merged(_lists(partners, names)(it)), "token long, key long, size int, at int, hub long, low8 long, high8 long"), "postings")
 
     # each set's hub is the smallest key that it may be similar to in any list
-    hubs = near.groupBy("key").agg(F.min("hub").alias("hub"))
+    hubs = stored(near.groupBy("key").agg(F.min("hub").alias("hub")), "hubs")
     # one row's text stands for each set that may have partners
     row = F.struct("rows", F.col("key").isNull().alias("none"), "key", "digest")
-    found = own.join(hubs.select(F.col("key").alias("h1")), "h1", "left_semi").groupBy("h1", "key", "digest").agg(F.count("*").alias("rows"))
-    reps = stored(found.groupBy("h1").agg(F.min(row).alias("row")).select("h1", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest")), "rows")
-    chosen = texts.join(reps, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), "text")
+    found = own.join(hubs.select(F.col("key").alias("h1"), "hub"), "h1").groupBy("h1", "hub", "key", "digest").agg(F.count("*").alias("rows"))
+    picked = found.groupBy("h1", "hub").agg(F.min(row).alias("row")).select("h1", "hub", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest"))
+    asked_for = hubs.where("key != hub").select(F.col("hub").alias("_hub")).distinct()
+    reps = stored(picked.join(asked_for, F.col("h1") == F.col("_hub"), "left").withColumn("leads", F.col("_hub").isNotNull()).drop("_hub"), "rows")
+    chosen = texts.join(reps, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), "hub", "leads", "text")
     needed = stored(chosen if reps.where("rows > 1").isEmpty() else chosen.dropDuplicates(["key"]), "texts")
 
     def against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +376,9 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
             if b.num_rows:
                 yield _relations(b, n, num, den)
 
-    members = hubs.where("key != hub").join(needed, "key").select("key", "hub", "text")
-    both = members.join(needed.select(F.col("key").alias("hub"), F.col("text").alias("other")), "hub").select("key", "hub", "text", "other")
+    # a set's text goes to its hub's, and of the hubs' texts each goes once
+    leaders = needed.where("leads").select(F.col("key").alias("hub"), F.col("text").alias("other"))
+    both = needed.where("key != hub").select("key", "hub", "text").join(leaders, "hub").select("key", "hub", "text", "other")
     relations = stored(both.mapInArrow(against_hub, "key long, hub long, linked boolean, hub_size int, lacks binary, adds binary"), "relations")
     first = relations.where("linked").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     groups = components(first, "a", "b")
@@ -390,8 +393,11 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
 
     own_relation = relations.where("lacks is not null").select("key", "hub", "hub_size", "lacks", "adds")
     # a hub is its own: nothing lacks and nothing is added
-    classed = near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").join(own_relation, "key", "left").select(
-        "token", "key", "size", "at", "low8", "high8", F.coalesce("component", "key").alias("group"), F.coalesce("hub", "key").alias("hub"),
+    grouped = stored(near.select("token", "key", "size", "at", "low8", "high8").join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key")).drop("node", "component"), "grouped")
+    # only lists of several classes go on
+    mixed = grouped.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("token")
+    classed = grouped.join(mixed, "token", "left_semi").join(own_relation, "key", "left").select(
+        "token", "key", "size", "at", "low8", "high8", "group", F.coalesce("hub", "key").alias("hub"),
         F.coalesce("hub_size", "size").alias("hub_size"), F.coalesce("lacks", F.lit(b"")).alias("lacks"), F.coalesce("adds", F.lit(b"")).alias("adds"),
     )
     columns = ["token", "key", "size", "at", "low8", "high8", "group", "hub", "hub_size", "lacks", "adds"]
