@@ -15,17 +15,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BLOCKS = 256
+#: Rows of a block, about; and blocks at most, as their cuts go through the driver.
+ROWS_PER_BLOCK = 250_000
+MOST_BLOCKS = 16_384
 STRING_BLOCKS = 64
 STRING_SAMPLE = 4096
 
 
-def with_value_blocks(df: DataFrame, columns: Mapping[str, str], blocks: int = N_BLOCKS) -> DataFrame:
-    """Add a block number per numeric column ({column: block column}).
+def block_count(n_rows: int) -> int:
+    """Blocks for so many rows: each about as large as a task sorts at ease."""
+    return max(1, min(MOST_BLOCKS, -(-n_rows // ROWS_PER_BLOCK)))
 
-    One pass of quantile sketches gives the cuts; a few hundred numbers come to the driver.
+
+def with_value_blocks(df: DataFrame, columns: Mapping[str, str], blocks: int | None = None) -> DataFrame:
+    """Add a block number per numeric column ({column: block column}); their number follows from the rows.
+
+    One pass of quantile sketches gives the cuts, which come to the driver. Few rows are one block and need no cuts.
     """
     names = list(columns)
+    if blocks is None:
+        blocks = block_count(df.count())
     if blocks < 2:
         return df.withColumns({columns[c]: F.lit(0) for c in names})
     as_double = df.select(*[F.col(c).cast("double").alias(c) for c in names])
@@ -66,21 +75,23 @@ def _along(
     merge: Callable[[Column, Column], Column],
 ) -> DataFrame:
     """Fold of the earlier rows (`<name>_before`, null for the first) and of the group (`<name>_total`)."""
-    placed = df.withColumns({"_block": block, **{f"_{name}": value for name, value in values.items()}})
-    group = [*keys, "_block"]
+    # the keys as one value that is never null: what the plain join deals by serves the window after it too
+    key = F.struct(*keys) if keys else F.lit(0)
+    placed = df.withColumns({"_key": key, "_block": block, **{f"_{name}": value for name, value in values.items()}})
+    group = ["_key", "_block"]
     per_block = placed.groupBy(*group).agg(*[fold(f"_{name}").alias(f"_{name}") for name in values])
     # one row per (group, block): the number of blocks is fixed, so this window stays small
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
     offsets = per_block.select(
         *[F.col(c).alias(f"_at_{c}") for c in group],
         *[fold(f"_{name}").over(earlier).alias(f"_{name}_offset") for name in values],
         *[fold(f"_{name}").over(whole).alias(f"{name}_total") for name in values],
     )
-    joined = placed.join(offsets, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in group])
+    joined = placed.join(offsets, [F.col(c) == F.col(f"_at_{c}") for c in group])
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = {f"{name}_before": merge(F.col(f"_{name}_offset"), fold(f"_{name}").over(local)) for name in values}
-    scratch = ["_block", *[f"_at_{c}" for c in group], *[f"_{n}" for n in values], *[f"_{n}_offset" for n in values]]
+    scratch = [*group, *[f"_at_{c}" for c in group], *[f"_{n}" for n in values], *[f"_{n}_offset" for n in values]]
     return joined.withColumns(before).drop(*scratch)
 
 
