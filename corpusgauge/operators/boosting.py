@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusgauge.caching import keep
 
@@ -39,6 +40,10 @@ class Fit:
     cut: list[np.ndarray] = field(default_factory=list)
     value: list[np.ndarray] = field(default_factory=list)
 
+    def since(self, tree: int) -> Fit:
+        """The fit with its trees from one on: all that a pass has to take along."""
+        return Fit(self.columns, self.of_set, self.fold, self.base, self.feature[tree:], self.cut[tree:], self.value[tree:])
+
     def trains(self, rows: Rows) -> np.ndarray:
         return rows.complete[:, self.of_set] & (rows.fold != self.fold if self.fold is not None else ~rows.quarter)
 
@@ -114,19 +119,23 @@ def _added(table: DataFrame, parts: int, one: Callable[[Rows], np.ndarray], size
     return total
 
 
-def binned(df: DataFrame, names: Sequence[str]) -> tuple[Column, list[np.ndarray]]:
-    """Bin numbers of some columns as binary, and the cuts: a row is in bin i if i cuts lie below its value; missing values are in the last bin."""
+def bin_cuts(df: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
+    """Where the bins of some columns end, from one pass of quantile sketches without missing values; a few numbers per column."""
     values = [F.col(c).cast("double") for c in names]
     found = df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(values)]).approxQuantile([f"c{i}" for i in range(len(names))], [i / BINS for i in range(1, BINS)], 0.25 / BINS)
-    cuts = [np.unique(np.array(c, float)) for c in found]
+    return [np.unique(np.array(c, float)) for c in found]
+
+
+def with_bins(df: DataFrame, x: str, cuts: list[np.ndarray], out: str = "bins") -> DataFrame:
+    """Adds the bin numbers of an array column as binary, a byte each: how many cuts lie below the value; a missing one is in the last bin."""
 
-    def number(value: Column, own: np.ndarray) -> Column:
-        known = F.array(*[F.lit(float(c)) for c in own]) if len(own) else F.array().cast("array<double>")
-        below = F.size(F.filter(known, lambda c: c < value))
-        return F.when(value.isNull() | F.isnan(value), BINS - 1).otherwise(below)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(b.schema.get_field_index(x)).flatten().to_numpy().reshape(len(b), -1)
+            bins = np.column_stack([np.where(np.isnan(v), BINS - 1, np.searchsorted(own, v)) for v, own in zip(values.T, cuts, strict=True)]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([row.tobytes() for row in bins], pa.binary())], [*b.schema.names, out])
 
-    as_bytes = F.concat(*[F.unhex(F.lpad(F.hex(number(v, own)), 2, "0")) for v, own in zip(values, cuts, strict=True)])
-    return as_bytes, cuts
+    return df.mapInArrow(go, StructType([*df.schema.fields, StructField(out, BinaryType())]))
 
 
 def _grow(fit: Fit, sums: np.ndarray, level: int) -> None:
@@ -170,7 +179,7 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
     done = 0
     for r in range(rounds):
         if r - done == REFRESH:
-            newer, done, last = keep(_with_margins(current, fits, slice(done, r))), r, current
+            newer, done, last = keep(_with_margins(current, [f.since(done) for f in fits])), r, current
             newer.count()
             last.unpersist()
             current = newer
@@ -179,13 +188,14 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
             fit.cut.append(np.zeros((1 << DEPTH) - 1, np.int64))
             fit.value.append(np.zeros(1 << DEPTH))
         for level, (nodes, width) in enumerate(shapes):
+            recent = [f.since(done) for f in fits]
 
-            def histograms(rows: Rows, level: int = level, nodes: int = nodes, done: int = done, r: int = r) -> np.ndarray:
+            def histograms(rows: Rows, level: int = level, nodes: int = nodes, recent: list[Fit] = recent) -> np.ndarray:
                 out = []
-                for j, fit in enumerate(fits):
+                for j, fit in enumerate(recent):
                     use = np.flatnonzero(fit.trains(rows))
                     bins, m = rows.bins[use], len(fit.columns)
-                    p = sigmoid(rows.margin[use, j] + raw_scores(fit, bins, slice(done, r)))
+                    p = sigmoid(rows.margin[use, j] + raw_scores(fit, bins, slice(-1)))
                     at = _leaf(bins, fit.feature[-1], fit.cut[-1], level)[:, None] * m + np.arange(m)
                     cell = (at * BINS + bins[:, fit.columns]).ravel()
                     for w in (p - rows.y[use], p * (1 - p), np.ones(len(use))):
@@ -200,11 +210,11 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
     current.unpersist()
 
 
-def _with_margins(table: DataFrame, fits: list[Fit], trees: slice) -> DataFrame:
+def _with_margins(table: DataFrame, fits: list[Fit]) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = Rows.of(b)
-            new = rows.margin + np.stack([raw_scores(f, rows.bins, trees) for f in fits], axis=1)
+            new = rows.margin + np.stack([raw_scores(f, rows.bins) for f in fits], axis=1)
             offsets = pa.array(np.arange(0, new.size + 1, max(1, new.shape[1])), pa.int32())
             yield b.set_column(b.schema.get_field_index("margin"), "margin", pa.ListArray.from_arrays(offsets, pa.array(new.ravel())))
 

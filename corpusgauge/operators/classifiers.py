@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusgauge.caching import keep
 from corpusgauge.functions.decision import label_to_int, probe_logit
 from corpusgauge.functions.hashing import stable_hex
-from corpusgauge.operators.boosting import Fit, Line, Rows, binned, boost, raw_scores, regress, sigmoid
+from corpusgauge.operators.boosting import Fit, Line, Rows, bin_cuts, boost, raw_scores, regress, sigmoid, with_bins
 from corpusgauge.operators.metrics import curve, ranking_metrics, score_counts
 from corpusgauge.operators.ordering import hash_block, ranked
 
@@ -88,11 +88,11 @@ class _Table:
 
 def _prepared(df: DataFrame, sets: Mapping[str, Sequence[str]], key: str, folds: int, seed: int) -> _Table:
     """One table for all sets. Folds and the held-out quarter come from hash ranks per label over all rows, so they don't depend on row order."""
-    sizes = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
+    names = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    plain = keep(df.select(F.col(key).alias("key"), "label", *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)]))
+    sizes = {r["label"]: r["n"] for r in plain.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
     if min(sizes.get("real", 0), sizes.get("fake", 0)) < folds:
         raise ValueError(f"need at least {folds} rows per class, got {sizes}")
-    names = list(dict.fromkeys(c for columns in sets.values() for c in columns))
-    plain = df.select(F.col(key).alias("key"), "label", *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)])
     own = {name: [names.index(c) for c in columns] for name, columns in sets.items()}
 
     def whole(columns: Sequence[int]) -> Column:
@@ -112,7 +112,7 @@ def _prepared(df: DataFrame, sets: Mapping[str, Sequence[str]], key: str, folds:
         used[name] = [i for i in columns if not found[f"c{at}_{i}"]]
         reports.append(ClassifierReport(name, found[f"n{at}"], [names[i] for i in used[name]], [names[i] for i in columns if found[f"c{at}_{i}"]]))
 
-    as_bytes, _ = binned(plain, [f"f{i}" for i in range(len(names))])
+    cuts = bin_cuts(plain, [f"f{i}" for i in range(len(names))])
     hashed = plain.withColumn("_h", stable_hex(F.col("key"), seed))
     placed = ranked(hashed, ["label"], ["_h", "key"], hash_block(F.col("_h")))
     complete = [F.when(whole(columns), 1.0).otherwise(0.0) for columns in own.values()]
@@ -121,14 +121,13 @@ def _prepared(df: DataFrame, sets: Mapping[str, Sequence[str]], key: str, folds:
         "label",
         "rank",
         F.array(*[F.coalesce(f"f{i}", F.lit(float("nan"))) for i in range(len(names))]).alias("x"),
-        as_bytes.alias("bins"),
         label_to_int(F.col("label")).cast("double").alias("y"),
         (F.col("rank") % folds).cast("int").alias("fold"),
         (F.col("rank") % 4 == 0).alias("quarter"),
         F.array(*complete).alias("complete"),
     )
     n = sum(sizes.values())
-    kept = keep(rows.repartition(max(1, -(-n // ROWS_PER_TASK)), "key"))
+    kept = keep(with_bins(rows.repartition(max(1, -(-n // ROWS_PER_TASK)), "key"), "x", cuts))
     return _Table(kept, names, used, reports, key)
 
 

@@ -117,7 +117,7 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = manifest(spark, sf_dir).filter(F.col("read_error").isNull())
     # processed files: one size and format, and what the encoder makes of the content
     small = raw.select("rel_path", "label", F.lit(224).alias("width"), F.lit(224).alias("height"), F.lit("jpeg").alias("format"),
-        (6000 + F.col("file_size") % 4000).alias("file_size"), (stable_mod("rel_path", 57, 6) + 90).cast("int").alias("jpeg_quality_est"),
+        (6000 + F.col("file_size") % 4000).alias("file_size"), (stable_mod(F.col("rel_path"), 57, 6) + 90).cast("int").alias("jpeg_quality_est"),
         F.lit("False").alias("has_exif"), F.lit("False").alias("has_icc"), F.lit("False").alias("has_xmp"))
     meta = raw.select("rel_path", "label", *[c.alias(f"raw_{name}") for name, c in own.items()])
     done = small.select("rel_path", *[c.alias(f"processed_{name}") for name, c in own.items()])
