@@ -817,9 +817,9 @@ def client_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the tables as a file stream."""
+    """One of the tables as a file stream, be it one file or a folder of them; of a pattern, unlike of a plain path, both may be streamed."""
     schema = v.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -219,3 +219,21 @@ def test_one_key_of_many_requests_leaves_in_parts(spark, tmp_path):
     out = limit_stream(stream, 2, 500, evict=False).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
     out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     assert decided(spark.read.parquet(f"{tmp_path}/out")) == by_hand(times, 2, 500)
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_table_of_one_file_or_many(spark, tmp_path, files):
+    """A table is a file or a folder of files; the stream queries read either whole, and no other table."""
+    from pathlib import Path
+
+    from corpusgauge.plans.queries import QUERIES
+
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 10) AS html")
+    if files:
+        pages.repartition(files).write.parquet(f"{tmp_path}/pages.parquet")
+    else:
+        pages.coalesce(1).write.parquet(f"{tmp_path}/other")
+        next(Path(tmp_path, "other").glob("*.parquet")).rename(f"{tmp_path}/pages.parquet")
+    pages.write.parquet(f"{tmp_path}/more_pages.parquet")
+    got = [r["page_id"] for r in QUERIES["stream_verdicts"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(40))
