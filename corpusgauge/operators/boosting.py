@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpusgauge.caching import keep
+from corpusgauge.caching import keep, written
 
 #: Bins of a feature, levels of a tree, least rows of a leaf, shrinkage of a tree's values, least curvature that is divided by.
 BINS, DEPTH, LEAF_ROWS, RATE, LEAST_CURVATURE = 64, 4, 20, 0.1, 1e-3
-#: Trees after which the rows' sums so far are put down beside them.
-REFRESH = 5
+#: Trees after which the rows' sums so far are kept beside them, and trees after which they are written, so that plans stay short.
+REFRESH, WRITTEN = 5, 25
 #: Partial tables that the driver adds up itself; more are added up by tasks first.
 PARTIALS = 64
 NEWTON_STEPS, SETTLED = 40, 1e-8
@@ -71,20 +71,31 @@ class Rows:
         return cls(flat("x"), bins, *one, flat("complete").astype(bool), margin)
 
 
-def _leaf(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """Node of each row after some levels of a tree, counted from 0 within the level. A node without a split sends all to the left."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+def _leaf(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """Node of each row after some levels of a tree, counted from 0 within the level; `columns`: the bins, a row per feature.
+
+    A node without a split sends all to the left. Nodes are few and their comparisons are of bytes that lie together.
+    """
+    node = np.zeros(columns.shape[1], np.uint8)
     for level in range(levels):
-        at = (1 << level) - 1 + node
-        node = 2 * node + ((feature[at] >= 0) & (bins[rows, np.maximum(feature[at], 0)] > cut[at]))
+        right = np.zeros(len(node), bool)
+        for k in range(1 << level):
+            at = (1 << level) - 1 + k
+            if feature[at] >= 0:
+                right |= (node == k) & (columns[feature[at]] > cut[at])
+        node = 2 * node + right
     return node
 
 
 def raw_scores(fit: Fit, bins: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
     """Sum of some trees for binned rows, without the base."""
-    out = np.zeros(len(bins))
+    return _scores(fit, np.ascontiguousarray(bins.T), trees)
+
+
+def _scores(fit: Fit, columns: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
+    out = np.zeros(columns.shape[1])
     for feature, cut, value in zip(fit.feature[trees], fit.cut[trees], fit.value[trees], strict=True):
-        out += value[_leaf(bins, feature, cut, DEPTH)]
+        out += value[_leaf(columns, feature, cut, DEPTH)]
     return out
 
 
@@ -175,14 +186,18 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
     for fit, a, b in zip(fits, n, pos, strict=True):
         share = min(max(b / max(a, 1), 1e-6), 1 - 1e-6)
         fit.base = float(np.log(share / (1 - share)))
-    current = keep(table.withColumn("margin", F.array(*[F.lit(f.base) for f in fits])))
-    done = 0
+    base = table.withColumn("margin", F.array(*[F.lit(f.base) for f in fits]))
+    current, at_base, done = keep(base), 0, 0
     for r in range(rounds):
         if r - done == REFRESH:
-            newer, done, last = keep(_with_margins(current, [f.since(done) for f in fits])), r, current
-            newer.count()
+            # each from the written table: one from the other would make plans that grow with the rounds
+            newer, done, last = _with_margins(base, [f.since(at_base) for f in fits]), r, current
+            if r - at_base == WRITTEN:
+                newer = base = written(newer, "margins")
+                at_base = r
+            current = keep(newer)
+            current.count()
             last.unpersist()
-            current = newer
         for fit in fits:
             fit.feature.append(np.full((1 << DEPTH) - 1, -1))
             fit.cut.append(np.zeros((1 << DEPTH) - 1, np.int64))
@@ -191,15 +206,17 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
             recent = [f.since(done) for f in fits]
 
             def histograms(rows: Rows, level: int = level, nodes: int = nodes, recent: list[Fit] = recent) -> np.ndarray:
-                out = []
+                out, columns = [], np.ascontiguousarray(rows.bins.T)
                 for j, fit in enumerate(recent):
-                    use = np.flatnonzero(fit.trains(rows))
-                    bins, m = rows.bins[use], len(fit.columns)
-                    p = sigmoid(rows.margin[use, j] + raw_scores(fit, bins, slice(-1)))
-                    at = _leaf(bins, fit.feature[-1], fit.cut[-1], level)[:, None] * m + np.arange(m)
-                    cell = (at * BINS + bins[:, fit.columns]).ravel()
-                    for w in (p - rows.y[use], p * (1 - p), np.ones(len(use))):
-                        out.append(np.bincount(cell, np.repeat(w, m), minlength=nodes * m * BINS))
+                    use, m = np.flatnonzero(fit.trains(rows)), len(fit.columns)
+                    p = sigmoid(rows.margin[:, j] + _scores(fit, columns, slice(-1)))[use]
+                    node = _leaf(columns, fit.feature[-1], fit.cut[-1], level)[use].astype(np.int64) * BINS
+                    own = np.empty((3, nodes, m, BINS))
+                    for i, c in enumerate(fit.columns):
+                        cell = node + columns[c][use]
+                        for k, w in enumerate((p - rows.y[use], p * (1 - p), None)):
+                            own[k, :, i] = np.bincount(cell, w, minlength=nodes * BINS).reshape(nodes, BINS)
+                    out.append(own.ravel())
                 return np.concatenate(out)
 
             sums, at = _added(current, parts, histograms, 3 * nodes * width * BINS), 0

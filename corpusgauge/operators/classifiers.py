@@ -15,15 +15,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.caching import keep
+from corpusgauge.caching import keep, written
 from corpusgauge.functions.decision import label_to_int, probe_logit
 from corpusgauge.functions.hashing import stable_hex
 from corpusgauge.operators.boosting import Fit, Line, Rows, bin_cuts, boost, raw_scores, regress, sigmoid, with_bins
 from corpusgauge.operators.metrics import curve, ranking_metrics, score_counts
 from corpusgauge.operators.ordering import hash_block, ranked
 
-#: Rows of a task in the many passes of a fit.
-ROWS_PER_TASK = 100_000
+#: Cells of a task in the many passes of a fit: its rows, times the features of all fits.
+CELLS_PER_TASK = 2_400_000
 REPORT = "feature_set string, measure string, name string, value double"
 
 
@@ -126,8 +126,8 @@ def _prepared(df: DataFrame, sets: Mapping[str, Sequence[str]], key: str, folds:
         (F.col("rank") % 4 == 0).alias("quarter"),
         F.array(*complete).alias("complete"),
     )
-    n = sum(sizes.values())
-    kept = keep(with_bins(rows.repartition(max(1, -(-n // ROWS_PER_TASK)), "key"), "x", cuts))
+    cells = sum(sizes.values()) * sum(len(columns) for columns in own.values()) * (folds + 1)
+    kept = keep(written(with_bins(rows.repartition(max(1, -(-cells // CELLS_PER_TASK)), "key"), "x", cuts), "binned"))
     return _Table(kept, names, used, reports, key)
 
 
@@ -157,7 +157,7 @@ def _shuffled_scores(table: _Table, fits: list[Fit], seed: int, repeats: int) ->
     every feature of every set. A row whose partner lacks the feature keeps its own value.
     """
     quarter = table.rows.filter("quarter").select("key", "label", "bins", "complete").withColumn("_h", stable_hex(F.col("key"), seed + 1)).withColumn("_all", F.lit(1))
-    placed = keep(ranked(quarter, ["_all"], ["_h", "key"], hash_block(F.col("_h"))))
+    placed = written(ranked(quarter, ["_all"], ["_h", "key"], hash_block(F.col("_h"))), "quarter")
     n = placed.count()
     steps = F.array(*[F.lit(1 + (n * (r + 1)) // (repeats + 1)).cast("bigint") for r in range(repeats)])
     moved = placed.select("label", "rank", "bins", "complete", F.posexplode(steps).alias("repeat", "step")).withColumn("_from", F.pmod(F.col("rank") + F.col("step"), F.lit(n)) + 1)

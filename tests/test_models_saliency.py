@@ -256,3 +256,26 @@ def test_registered_fits_are_full(monkeypatch):
     assert not {"rounds", "folds", "importance"} & set(seen["trivial"])
     for name, cut in (("audit_compare", "rounds="), ("audit_compare", "folds="), ("audit_compare", "importance="), ("permutation_importance", "maxIter=5")):
         assert cut not in inspect.getsource(getattr(queries, name))
+
+
+def test_plans_of_a_long_fit_stay_short(spark, monkeypatch):
+    """The driver remembers the plan of every pass, so no table of a later round may hold those of the rounds before it."""
+    from corpusgauge.operators import boosting
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "fake" if rng.random() < 0.5 else "real", float(x)) for i, x in enumerate(rng.random(200))]
+    df = spark.createDataFrame(rows, "id long, label string, x double")
+    table = classifiers._prepared(df, {"features": ["x"]}, "id", 1, 42)
+    sizes = []
+
+    def measured(kept):
+        sizes.append(len(kept._jdf.queryExecution().optimizedPlan().toString()) + len(kept._jdf.queryExecution().executedPlan().toString()))
+        return keep(kept)
+
+    keep = boosting.keep
+    monkeypatch.setattr(boosting, "keep", measured)
+    monkeypatch.setattr(boosting, "REFRESH", 1)
+    monkeypatch.setattr(boosting, "WRITTEN", 3, raising=False)
+    boosting.boost(table.rows, [boosting.Fit([0], 0, None)], 8)
+    assert len(sizes) == 8
+    assert max(sizes[4:]) <= max(sizes[1:4])
