@@ -6,14 +6,17 @@ walked in blocks of equal place: places and sizes bound what two sets can share,
 the threshold are skipped. Answers are derived from those of a similar set: each set is compared with one hub, the smallest
 possible partner that its lists know, and what it lacks of the hub's shingles and adds to them is kept. What two sets of one hub share follows
 from these few shingles, inside the lists, where only pairs of different classes are looked at; links found join classes at once. So a crowd of
-near copies is never expanded into pairs, and only pairs without a common hub are decided on their texts.
+near copies is never expanded into pairs, and only pairs without a common hub are decided on their texts. No text is moved for a pair
+whose sketches (counts of a set's shingles by the first bits of their names) differ by more than a link allows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,10 @@ from corpusgauge.llm.shared import free_name, stored
 from corpusgauge.llm.words import WORD_BASE, WORD_BASE_2, chunks, spans
 
 U = np.uint64
-#: Counters of shingles, and the parts they are summed in.
-COUNTERS, PARTS = 1 << 18, 64
+#: Counters of shingles, the parts they are summed in, and the groups of tasks that are summed first.
+COUNTERS, PARTS, GROUPS = 1 << 21, 64, 8
+#: Bits of a table of digests for each digest, and the most bits that it has.
+BITS, MOST_BITS = 16, 1 << 27
 #: Sets of a block of a posting list.
 BLOCK = 128
 
@@ -61,13 +66,48 @@ def _marks(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(out)
 
 
+def sketches(value: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A sketch of each set: how many of its shingles begin with the same bits, up to 15, two counts a byte.
+
+    There are 2 to 4 shingles to a count, so a longer set has a longer sketch.
+    """
+    size = np.diff(starts)
+    bits = np.maximum(np.frexp(size)[1] - 2, 1)
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    of = np.repeat(np.arange(len(size)), size)
+    cell = begin[of] + (value >> (64 - bits[of]).astype(U)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=begin[-1]), 15).astype(np.uint8).reshape(-1, 2)
+    packed = counts[:, 0] | counts[:, 1] << 4
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((begin // 2).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """By how many shingles at least two sets differ, from their sketches."""
+    counts = []
+    for packed in (x, y):
+        flat = np.frombuffer(packed, np.uint8)
+        c = np.stack([flat & 15, flat >> 4], 1).ravel().astype(np.int16)
+        while len(c) > 2 * min(len(x), len(y)):  # counts of one bit less; capped again, they are as if counted so
+            c = np.minimum(c[0::2] + c[1::2], 15)
+        counts.append(c)
+    return int(np.abs(counts[0] - counts[1]).sum())
+
+
+def may_link(b: pa.RecordBatch, num: int, den: int, near: bool = False) -> np.ndarray:
+    """Which rows (.., size, sketch, other_size, other_sketch) can be links or, with near, differ by at most half of a set."""
+    size, other = (b.column(c).to_numpy().astype(np.int64) for c in ("size", "other_size"))
+    apart = [sketches_apart(x.as_py(), y.as_py()) for x, y in zip(b.column("sketch"), b.column("other_sketch"), strict=True)]
+    most = size + other - 2 * least_overlap(size, other, num, den)
+    return np.array(apart, np.int64) <= (np.maximum(most, size // 2) if near else most)
+
+
 def survey(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, digest, size, h1, h2) of each text's set, and how many sets of the corpus have a shingle with each counter.
+    """(key, digest, size, h1, h2, sketch) of each text's set, and how many sets of the corpus have a shingle with each counter.
 
     All documents count; the table of counters has a fixed size, and tasks' tables are summed in two steps.
     """
     part = COUNTERS // PARTS
-    names = ["key", "digest", "size", "h1", "h2", "part", "group", "counts"]
+    names = ["key", "digest", "size", "h1", "h2", "sketch", "part", "group", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,28 +115,28 @@ def survey(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for a, value, starts in shingle_sets(b.column(1), n):
-                total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(total, (value % U(COUNTERS)).astype(np.int64), 1)
                 h1, h2 = _marks(value, starts)
                 m = len(h1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, m), b.column(2).slice(a, m), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, m), b.column(2).slice(a, m), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), sketches(value, starts), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if total.any():
-            group, none = TaskContext.get().partitionId() % 64, pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, group, np.int32)), pa.array([x.tobytes() for x in total.reshape(PARTS, part)], pa.binary())], names)
+            group, none = TaskContext.get().partitionId() % GROUPS, pa.nulls(PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, group, np.int32)), pa.array([zlib.compress(x, 1) for x in total.reshape(PARTS, part)], pa.binary())], names)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(part, np.int64)
         for x in group.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"part": group.column("part")[:1], "group": group.column("group")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"part": group.column("part")[:1], "group": group.column("group")[:1], "counts": pa.array([zlib.compress(total, 1)], pa.binary())})
 
-    found = stored(texts.mapInArrow(count, "key long, digest long, size long, h1 long, h2 long, part int, group int, counts binary"), "survey")
+    found = stored(texts.mapInArrow(count, "key long, digest long, size long, h1 long, h2 long, sketch binary, part int, group int, counts binary"), "survey")
     schema = "part int, group int, counts binary"
     tables = found.where("part is not null").select("part", "group", "counts")
     summed = tables.groupBy("part", "group").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros((PARTS, part), np.int64)
     for r in summed.select("part", "counts").collect():  # PARTS rows of a fixed size
-        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return found.where("part is null").select("key", "digest", "size", "h1", "h2"), out.reshape(-1)
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return found.where("part is null").select("key", "digest", "size", "h1", "h2", "sketch"), out.reshape(-1)
 
 
 def histograms(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,6 +351,29 @@ def digest_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def texts_of(texts: DataFrame, sets: DataFrame, more: list[str]) -> DataFrame:
+    """(key, *more, text) of sets (h1, *more, rows, _key, _digest), from rows (key, text, digest); each set once.
+
+    A table of bits, one for the remainder of each digest, leaves out most other texts before the rest are joined.
+    """
+    n = min(MOST_BITS, 1 << max(15, (BITS * sets.count()).bit_length()))
+    place = F.pmod(F.col("_digest"), F.lit(n)) + 1
+    parts = sets.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    table = np.zeros((n >> 15, 1 << 12), np.uint8)
+    for r in parts.collect():  # at most MOST_BITS in all
+        table[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    bits = sets.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf("boolean")
+    def asked_for(digest: pd.Series) -> pd.Series:
+        at = digest.to_numpy() % n
+        return pd.Series(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    named = sets.select("h1", *more, "rows", "_key", "_digest")
+    chosen = texts.where(asked_for("digest")).join(named, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), *more, "text")
+    return stored(chosen if sets.where("rows > 1").isEmpty() else chosen.dropDuplicates(["key"]), "texts")
+
+
 def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int = 80, den: int = 100, keep_digest: bool = False) -> DataFrame:
     """One row per row of `docs`: key, n_shingles and component_id, the smallest key reachable by links.
 
@@ -363,13 +426,25 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     # each set's hub is the smallest key that it may be similar to in any list
     hubs = stored(near.groupBy("key").agg(F.min("hub").alias("hub")), "hubs")
     # one row's text stands for each set that may have partners
-    row = F.struct("rows", F.col("key").isNull().alias("none"), "key", "digest")
-    found = own.join(hubs.select(F.col("key").alias("h1"), "hub"), "h1").groupBy("h1", "hub", "key", "digest").agg(F.count("*").alias("rows"))
-    picked = found.groupBy("h1", "hub").agg(F.min(row).alias("row")).select("h1", "hub", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest"))
-    asked_for = hubs.where("key != hub").select(F.col("hub").alias("_hub")).distinct()
-    reps = stored(picked.join(asked_for, F.col("h1") == F.col("_hub"), "left").withColumn("leads", F.col("_hub").isNotNull()).drop("_hub"), "rows")
-    chosen = texts.join(reps, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))).select(F.col("h1").alias("key"), "hub", "leads", "text")
-    needed = stored(chosen if reps.where("rows > 1").isEmpty() else chosen.dropDuplicates(["key"]), "texts")
+    row = F.struct("rows", F.col("key").isNull().alias("none"), "key", "digest", "size", "sketch")
+    found = own.join(hubs.select(F.col("key").alias("h1"), "hub"), "h1").groupBy("h1", "hub", "key", "digest", "size", "sketch").agg(F.count("*").alias("rows"))
+    picked = found.groupBy("h1", "hub").agg(F.min(row).alias("row"))
+    reps = stored(picked.select("h1", "hub", "row.rows", F.col("row.key").alias("_key"), F.col("row.digest").alias("_digest"), "row.size", "row.sketch"), "rows")
+
+    def by_sketches(pairs: DataFrame, a: str, b: str, name: str, near: bool) -> DataFrame:
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.select([0, 1]).filter(pa.array(may_link(batch, num, den, near)))
+
+        one, two = reps.select(F.col("h1").alias(a), "size", "sketch"), reps.select(F.col("h1").alias(b), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch"))
+        return stored(pairs.join(one, a).join(two, b).select(a, b, "size", "sketch", "other_size", "other_sketch").mapInArrow(likely, f"{a} long, {b} long"), name)
+
+    # a set that its hub tells nothing about is a hub of its own; near ones stay, also if they are no links
+    led = by_sketches(hubs.where("key != hub"), "key", "hub", "led", True)
+    leads = led.select(F.col("hub").alias("_hub")).distinct()
+    compared = reps.drop("hub").join(led.withColumnRenamed("key", "h1"), "h1", "left").join(leads, F.col("h1") == F.col("_hub"), "left")
+    needed = texts_of(texts, compared.withColumn("leads", F.col("_hub").isNotNull()).where("leads or hub is not null"), ["hub", "leads"])
 
     def against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,7 +453,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
 
     # a set's text goes to its hub's, and of the hubs' texts each goes once
     leaders = needed.where("leads").select(F.col("key").alias("hub"), F.col("text").alias("other"))
-    both = needed.where("key != hub").select("key", "hub", "text").join(leaders, "hub").select("key", "hub", "text", "other")
+    both = needed.where("hub is not null").select("key", "hub", "text").join(leaders, "hub").select("key", "hub", "text", "other")
     relations = stored(both.mapInArrow(against_hub, "key long, hub long, linked boolean, hub_size int, lacks binary, adds binary"), "relations")
     first = relations.where("linked").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     groups = components(first, "a", "b")
@@ -410,14 +485,18 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int = 5, num: int =
     left, right = (groups2.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}")) for c in "ab")
     apart = asked.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
+    apart = by_sketches(apart, "a", "b", "apart", False)
+    wanted = apart.select(F.col("a").alias("_set")).unionByName(apart.select(F.col("b").alias("_set"))).distinct()
+    others = texts_of(texts, reps.join(wanted, F.col("h1") == F.col("_set"), "left_semi"), [])
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ok = pa.array(similar_rows(batch.column(2), batch.column(3), n, num, den))
                 yield batch.select([0, 1]).filter(ok)
 
-    one = apart.join(needed, F.col("a") == F.col("key")).select("a", "b", "text")
-    pairs = one.join(needed.select("key", F.col("text").alias("other")), F.col("b") == F.col("key")).select("a", "b", "text", "other")
+    one = apart.join(others, F.col("a") == F.col("key")).select("a", "b", "text")
+    pairs = one.join(others.select("key", F.col("text").alias("other")), F.col("b") == F.col("key")).select("a", "b", "text", "other")
     third = stored(pairs.mapInArrow(verified, "a long, b long"), "links")
     all_groups = components(first.unionByName(second).unionByName(third), "a", "b")
 

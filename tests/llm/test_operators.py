@@ -354,6 +354,33 @@ def test_jaccard_of_a_crowd_just_under_the_threshold(spark):
     assert len({x["component_id"] for x in got}) > 50
 
 
+def test_no_text_moves_for_sets_that_sketches_tell_apart(spark, monkeypatch):
+    """Long texts of which any two share one passage meet in lists; sizes, places and 16 classes do not part them."""
+    r, n, moved, stored = random.Random(3), 16, {}, jaccard.stored
+    blocks = {(i, j): " ".join("w%d" % r.randrange(10**9) for _ in range(200)) for i in range(n) for j in range(i)}
+    rows = [(i, " ".join(blocks[max(i, j), min(i, j)] for j in range(n) if j != i)) for i in range(n)]
+
+    def counted(df, name):
+        out = stored(df, name)
+        moved[name] = moved.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = jaccard.similar_classes(frame(spark, rows), "doc_id", "text", 3, 90).collect()
+    same(got, brute.similar(rows, 3, 90))
+    assert moved["postings"] > 0 and moved["texts"] == 0
+
+
+def test_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.unique(r.integers(0, 1 << 64, r.integers(1, 400), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.random()], r.integers(0, 1 << 64, r.integers(1, 200), dtype=np.uint64)]))
+        one, two = jaccard.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist()
+        assert jaccard.sketches_apart(one, two) <= len(np.setxor1d(x, y))
+        assert jaccard.sketches_apart(one, one) == 0
+
+
 def test_rows_without_a_key_of_their_own(spark):
     """Null and repeated ids link no texts; a row goes only for a similar one that stays."""
     r = random.Random(8)
