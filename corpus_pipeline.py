@@ -11,9 +11,23 @@ from corpusgauge.llm import jaccard, packing, quality, substrings, toxicity
 from corpusgauge.llm.queries import BYTE_BPE, table, vocabulary, with_crc32
 from corpusgauge.llm.shared import free_name, stored
 
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts go to Python workers in small batches, unless the session has a limit of its own.
+
+    10,000 whole texts at once, Spark's usual batch, are held several times over: in the JVM's buffers, which it keeps for the
+    next stages, and in each worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "_score")
     return toxicity.score(docs, model, out=name).where(F.col(name) < 0.5).drop(name)
@@ -30,17 +44,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents with similar sets of five-word shingles (0.8 or more), the one with the smallest id stays."""
+    small_batches(spark)
     classes = jaccard.similar_classes(docs, "doc_id", "text", n=5, num=80, den=100, keep_digest=True)
     return jaccard.keep_one(docs, classes, "doc_id", "text")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 35 words or more that also stand elsewhere go; other texts stay as they are."""
+    small_batches(spark)
     return substrings.cut_repeated(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids; one row per piece."""
+    small_batches(spark)
     return with_crc32(packing.pack_documents(docs, "doc_id", "text", vocabulary(BYTE_BPE), size=1024, end_id=2), "ids")
 
 

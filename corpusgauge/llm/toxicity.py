@@ -44,21 +44,22 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict[str, np.n
     score = bias + sum of weights + sum over pairs of terms of the product of their factors; AdaGrad on the log loss.
     """
     n, pos = max(1, len(y)), int(y.sum())
-    flat = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    seen, slot = np.unique(flat, return_inverse=True)
-    in_all = np.bincount(slot, minlength=len(seen)).astype(float)
-    in_pos = np.bincount(slot, y[row], minlength=len(seen)).astype(float)
+    # terms stay as narrow as they come, and only chosen ones get a row and a slot
+    flat = lambda some: np.concatenate([*some, np.zeros(0, np.uint32)])
+    seen, in_all = np.unique(flat(terms), return_counts=True)
+    in_all, in_pos = in_all.astype(float), np.zeros(len(seen))
+    found, times = np.unique(flat(t for t, label in zip(terms, y, strict=True) if label), return_counts=True)
+    in_pos[np.searchsorted(seen, found)] = times
     # strength of evidence: the likelihood ratio of a term's share of positives against all
     p, q = (in_pos + 0.5) / (in_all + 1), (pos + 0.5) / (n + 1)
     gain = in_pos * np.log(p / q) + (in_all - in_pos) * np.log((1 - p) / (1 - q))
     gain[in_all < MIN_TEXTS] = -1
     best = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
     best = best[gain[best] > MIN_GAIN]
-    new = np.full(len(seen), -1)
-    new[best] = np.arange(len(best))
-    slot, m = new[slot], len(best)
-    row, slot = row[slot >= 0], slot[slot >= 0]
+    chosen, m = seen[best].astype(np.int64), len(best)
+    places = ((t, np.searchsorted(chosen[:-1], t)) for t in terms)
+    slots = [at[chosen[at] == t] if m else at[:0] for t, at in places]
+    row, slot = np.repeat(np.arange(len(terms)), [len(t) for t in slots]), np.concatenate([*slots, np.zeros(0, np.int64)])
     starts = np.searchsorted(row, np.arange(len(terms) + 1))
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(q / (1 - q))), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))
@@ -79,7 +80,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict[str, np.n
             bias -= STEP * g.sum() / np.sqrt(hb)
             w -= STEP * gw / np.sqrt(hw)
             v -= 0.25 * STEP * gv / np.sqrt(hv)
-    return {"bias": np.array([bias]), "term": seen[best], "w": w, "v": v.reshape(-1)}
+    return {"bias": np.array([bias]), "term": chosen, "w": w, "v": v.reshape(-1)}
 
 
 def _raw(bias: float, w: np.ndarray, v: np.ndarray, slot: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_k", "_label", "terms"])
-        model = fit([np.frombuffer(t, "<u4").astype(np.int64) for t in group["terms"]], group["_label"].to_numpy(float))
+        model = fit([np.frombuffer(t, "<u4") for t in group["terms"]], group["_label"].to_numpy(float))
         return pd.DataFrame({"name": list(model), "data": [x.astype("<i8" if k == "term" else "<f8").tobytes() for k, x in model.items()]})
 
     schema = T.StructType([T.StructField("_k", docs.schema[key].dataType), T.StructField("_label", T.IntegerType()), T.StructField("terms", T.BinaryType())])
