@@ -9,20 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm import jaccard, packing, quality, substrings, toxicity
 from corpusgauge.llm.queries import BYTE_BPE, table, vocabulary, with_crc32
-from corpusgauge.llm.shared import free_name, stored
-
-#: Bytes of a batch of rows that goes to a Python worker.
-BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on texts go to Python workers in small batches, unless the session has a limit of its own.
-
-    10,000 whole texts at once, Spark's usual batch, are held several times over: in the JVM's buffers, which it keeps for the
-    next stages, and in each worker.
-    """
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+from corpusgauge.llm.shared import BATCH_SETTING, free_name, small_batches, stored  # noqa: F401
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.bpe import encoder, whole_text_ids
 from corpusgauge.llm.mph import PerfectHash, fingerprints
-from corpusgauge.llm.shared import one_by_one, place, write_whole
+from corpusgauge.llm.shared import one_by_one, place, small_batches, write_whole
 
 MAGIC = b"IDSHARD1"
 #: What stands for a null key in the index; it has a mark of its own beside each row.
 NULL_KEY = -(1 << 63)
+#: Rows and ids that are read at once; a row with more ids is read alone.
+BLOCK_ROWS, BLOCK_IDS = 2000, 1 << 20
 MANIFEST = "shard int, file string, n_rows long, n_ids long, first_key long, last_key long"
 ROWS = "key long, start long, n_tokens long, ids binary, shard int"
 
@@ -31,8 +33,10 @@ def write_shards(df: DataFrame, key: str, text: str, path: str, folder: str, end
 
     `key` is a 64-bit number; null and repeated keys are kept, null and empty texts are `end_id` alone. Each task streams its
     rows to one file, written under another name and moved, so that a repeated attempt leaves the same file. The manifest
-    is a Parquet table in the folder, one row per shard.
+    is a Parquet table in the folder, one row per shard, in one file: a file of its own for each row would cost every task
+    several processes where Hadoop sets a local file's mode by a command.
     """
+    small_batches(df.sparkSession)
     table = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = table.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
 
@@ -61,7 +65,7 @@ def write_shards(df: DataFrame, key: str, text: str, path: str, folder: str, end
             pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]),
         )
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(write, MANIFEST).repartition(1).write.parquet(f"{folder}/manifest")
     return read_manifest(df.sparkSession, folder)
 
 
@@ -100,6 +104,15 @@ class Shard:
         self.keys, self.null, self.offsets = np.frombuffer(raw[4], "<i8"), np.frombuffer(raw[5], np.uint8), np.frombuffer(raw[6], "<i8")
         self.payload = 88 + int(head[3:].sum())
 
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """First and end of rows to be read at once, all rows in order."""
+        a = 0
+        while a < self.n_rows:
+            most = int(np.searchsorted(self.offsets, self.offsets[a] + BLOCK_IDS, "right")) - 1
+            b = min(max(a + 1, most), a + BLOCK_ROWS, self.n_rows)
+            yield a, b
+            a = b
+
     def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key, in constant time; number 0 where a fingerprint or the key differs."""
         if not self.n_keys:
@@ -138,8 +151,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for shard, name, before in batch.itertuples(index=False):
                 with Shard(f"{folder}/{name}") as s:
-                    for a in range(0, s.n_rows, 2000):
-                        rows = np.arange(a, min(a + 2000, s.n_rows))
+                    for a, b in s.blocks():
+                        rows = np.arange(a, b)
                         null = s.null[rows] == 1
                         first, many = s.rows_of(s.keys[rows])
                         if not np.all(null | ((first <= rows) & (rows < first + many))):
