@@ -422,6 +422,46 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize(("rows", "most", "element"), [(8, 3, "float"), (16, 2048, "double")])
+def test_embeddings_of_many_blocks(spark, monkeypatch, rows, most, element):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(embeddings, "MAX_INTERVALS", most)
+    monkeypatch.setattr(embeddings, "LEAST_INTERVALS", 6)
+    monkeypatch.setattr(embeddings, "LEFT_BLOCKS", 3)
+    monkeypatch.setattr(embeddings, "RIGHT_BLOCKS", 5)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 8))
+    near = base[rng.integers(0, 30, 100)] + 0.2 * rng.normal(size=(100, 8))
+    values = [*base, *near, *[base[0]] * 40, *[2.0 * base[1]] * 5, *[base[2] + 0.1 * rng.normal(size=8) for _ in range(40)]]
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(values)], f"vec_id long, embedding array<{element}>").union(
+        spark.createDataFrame([(None, [float(x) for x in base[3]]), (None, [1.0, *[0.0] * 7]), (7, [0.0, 1.0, *[0.0] * 6]), (7, [float(x) for x in base[4]])], f"vec_id long, embedding array<{element}>")
+    )
+    read = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    key = [k for k, _ in read]
+    got = embeddings.near_duplicates(table, "vec_id", "embedding").collect()
+    want = brute.vectors([(i, v) for i, (_, v) in enumerate(read)])
+    assert sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"]) for r in got) == sorted((key[i] is None, key[i] or 0, n) for i, n, *_ in want)
+    least = {to: min((key[i] for i, _, t, _ in want if t == to and key[i] is not None), default=None) for _, _, to, _ in want}
+    assert Counter((r["vec_id"], r["component_id"]) for r in got) == Counter((key[i], least[to]) for i, _, to, _ in want)
+
+
+def test_embeddings_copy_no_vector_per_pair(spark, monkeypatch):
+    """Evenly spread vectors: every two blocks may hold links, and what is shuffled or written must not grow with their pairs."""
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 16, raising=False)
+    monkeypatch.setattr(embeddings, "INTERVAL_ROWS", 16, raising=False)
+    plans, real = {}, embeddings.stored
+
+    def stored(df, name):
+        plans[name] = df
+        return real(df, name)
+
+    monkeypatch.setattr(embeddings, "stored", stored)
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(160, 32)))], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(table, "vec_id", "embedding").where("kept").count() == 160
+    assert "parquet" not in plans["links"]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_interval_pairs():
     rng = np.random.default_rng(5)
     low = np.sort(rng.normal(size=(40, 1)), axis=0)
