@@ -3,7 +3,8 @@
 Every feature set, every fold and the fit behind the importances is a fit of its own, on its own rows and columns. They grow together:
 one pass over the table gives the histograms of one level of one tree of all fits, or the slopes of all regressions,
 summed per task first, and what reaches the driver is a table whose size depends on fits, features and bins alone. So the
-number of passes does not depend on how many fits there are, and no task or driver ever holds the rows.
+number of passes does not depend on how many fits there are, and no task or driver ever holds the rows. The passes of the trees read
+the rows in blocks of arrays, so that nothing is turned from rows into arrays again, and count the smaller child of each split only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BINS, DEPTH, LEAF_ROWS, RATE, LEAST_CURVATURE = 64, 4, 20, 0.1, 1e-3
 REFRESH, WRITTEN = 5, 25
 #: Partial tables that the driver adds up itself; more are added up by tasks first.
 PARTIALS = 64
+#: Rows of a block.
+BLOCK_ROWS = 8192
 NEWTON_STEPS, SETTLED = 40, 1e-8
 
 
@@ -44,7 +47,7 @@ class Fit:
         """The fit with its trees from one on: all that a pass has to take along."""
         return Fit(self.columns, self.of_set, self.fold, self.base, self.feature[tree:], self.cut[tree:], self.value[tree:])
 
-    def trains(self, rows: Rows) -> np.ndarray:
+    def trains(self, rows: Rows | Block) -> np.ndarray:
         return rows.complete[:, self.of_set] & (rows.fold != self.fold if self.fold is not None else ~rows.quarter)
 
 
@@ -58,7 +61,6 @@ class Rows:
     fold: np.ndarray
     quarter: np.ndarray
     complete: np.ndarray
-    margin: np.ndarray | None
 
     @classmethod
     def of(cls, b: pa.RecordBatch) -> Rows:
@@ -67,8 +69,54 @@ class Rows:
 
         bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(len(b), -1)
         one = [b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold", "quarter")]
-        margin = flat("margin") if "margin" in b.schema.names else None
-        return cls(flat("x"), bins, *one, flat("complete").astype(bool), margin)
+        return cls(flat("x"), bins, *one, flat("complete").astype(bool))
+
+
+@dataclass
+class Block:
+    """Some rows as arrays that need no turning: a row of `bins` per feature and of `margin` per fit (None: all at the bases)."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    quarter: np.ndarray
+    complete: np.ndarray
+    margin: np.ndarray | None
+
+    @classmethod
+    def each(cls, b: pa.RecordBatch) -> Iterator[Block]:
+        types = {"bins": np.uint8, "y": float, "fold": np.int32, "quarter": bool, "complete": bool, "margin": float}
+        for i in range(len(b)):
+            n = b.column("n")[i].as_py()
+            found = {c: np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in types.items()}
+            margin = found["margin"].reshape(-1, n) if len(found["margin"]) else None
+            # complete: a row per row, as in Rows
+            yield cls(found["bins"].reshape(-1, n), found["y"], found["fold"], found["quarter"], found["complete"].reshape(-1, n).T, margin)
+
+
+def _packed(table: DataFrame) -> DataFrame:
+    """The table's rows in blocks, a row each, without x and with room for margins."""
+    columns = ["bins", "y", "fold", "quarter", "complete"]
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        rows = [np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(t), -1).T, t.column("y").to_numpy().astype(float), t.column("fold").to_numpy().astype(np.int32),
+                t.column("quarter").to_numpy().astype(bool), t.column("complete").combine_chunks().flatten().to_numpy().reshape(len(t), -1).T > 0]
+        return pa.RecordBatch.from_arrays([pa.array([len(t)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in rows], pa.array([b""], pa.binary())], ["n", *columns, "margin"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            while b.num_rows:
+                held.append(b.slice(0, BLOCK_ROWS - n))
+                b, n = b.slice(BLOCK_ROWS - n), n + held[-1].num_rows
+                if n == BLOCK_ROWS:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    return table.select(*columns).mapInArrow(go, "n int, " + ", ".join(f"{c} binary" for c in (*columns, "margin")))
 
 
 def _leaf(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
@@ -82,7 +130,8 @@ def _leaf(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int
         for k in range(1 << level):
             at = (1 << level) - 1 + k
             if feature[at] >= 0:
-                right |= (node == k) & (columns[feature[at]] > cut[at])
+                # a plain number: one of 64 bits would widen every byte
+                right |= (node == k) & (columns[feature[at]] > int(cut[at]))
         node = 2 * node + right
     return node
 
@@ -92,10 +141,15 @@ def raw_scores(fit: Fit, bins: np.ndarray, trees: slice = slice(None)) -> np.nda
     return _scores(fit, np.ascontiguousarray(bins.T), trees)
 
 
-def _scores(fit: Fit, columns: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
-    out = np.zeros(columns.shape[1])
+def raw_tree(fit: Fit, columns: np.ndarray, tree: int) -> np.ndarray:
+    """What one tree adds; `columns`: the bins, a row per feature."""
+    return fit.value[tree][_leaf(columns, fit.feature[tree], fit.cut[tree], DEPTH)]
+
+
+def _scores(fit: Fit, columns: np.ndarray, trees: slice = slice(None), only: np.ndarray | slice = slice(None)) -> np.ndarray:
+    out = np.zeros(len(only) if isinstance(only, np.ndarray) else columns.shape[1])
     for feature, cut, value in zip(fit.feature[trees], fit.cut[trees], fit.value[trees], strict=True):
-        out += value[_leaf(columns, feature, cut, DEPTH)]
+        out += value[_leaf(columns, feature, cut, DEPTH)[only]]
     return out
 
 
@@ -103,14 +157,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _added(table: DataFrame, parts: int, one: Callable[[Rows], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all rows, in so many partitions, of the arrays that `one` gives for batches."""
+def _each(b: pa.RecordBatch) -> Iterator[Rows]:
+    yield Rows.of(b)
+
+
+def _added(table: DataFrame, parts: int, one: Callable[[Rows | Block], np.ndarray], size: int, each: Callable[[pa.RecordBatch], Iterator[Rows | Block]] = _each) -> np.ndarray:
+    """Sum over all rows, in so many partitions, of the arrays that `one` gives for batches or for what `each` makes of one."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                total += one(Rows.of(b))
+                for rows in each(b):
+                    total += one(rows)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     found = table.mapInArrow(partial, "sums binary")
@@ -173,27 +232,81 @@ def _grow(fit: Fit, sums: np.ndarray, level: int) -> None:
             fit.value[-1][2 * node : 2 * node + 2] = [-RATE * a / max(b, LEAST_CURVATURE) for a, b in sides]
 
 
+def _histograms(block: Block, fits: list[Fit], level: int, asked: list[np.ndarray]) -> np.ndarray:
+    """Sums of slope, curvature and rows by bin, for all fits: at level 0 of the root, then of one child per split; `asked`: its place, -1 for other children."""
+    out, slots = [], max(1, 1 << level >> 1)
+    whole: dict[int, tuple] = {}
+    for j, fit in enumerate(fits):
+        if fit.of_set not in whole:
+            at = np.flatnonzero(block.complete[:, fit.of_set])
+            whole[fit.of_set] = (slice(None), block.bins, block.y) if len(at) == len(block.y) else (at, np.take(block.bins, at, axis=1), block.y[at])
+        at, columns, y = whole[fit.of_set]
+        use = block.fold[at] != fit.fold if fit.fold is not None else ~block.quarter[at]
+        if level:
+            place = asked[j][_leaf(columns, fit.feature[-1], fit.cut[-1], level)]
+            use = np.flatnonzero(use & (place >= 0))
+            node = place[use].astype(np.int64) * BINS
+        else:
+            use, node = np.flatnonzero(use), 0
+        own = np.zeros((3, slots, len(fit.columns), BINS))
+        if len(use):
+            margin = fit.base if block.margin is None else block.margin[j][at][use]
+            p = sigmoid(margin + _scores(fit, columns, slice(-1), use))
+            weights = (p - y[use], p * (1 - p), None)
+            for i, c in enumerate(fit.columns):
+                cell = node + columns[c][use].astype(np.int64)
+                for k, w in enumerate(weights):
+                    own[k, :, i] = np.bincount(cell, w, minlength=slots * BINS).reshape(slots, BINS)
+        out.append(own.ravel())
+    return np.concatenate(out)
+
+
+def _children(fit: Fit, before: np.ndarray, found: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Histograms of a level from those of the level above and of the children asked for: the other child has the rest."""
+    out = np.zeros((3, len(asked), *before.shape[2:]))
+    for parent in range(before.shape[1]):
+        side = np.flatnonzero(asked[2 * parent : 2 * parent + 2] >= 0)
+        if not len(side):  # no split: all rows go to the left
+            out[:, 2 * parent] = before[:, parent]
+            continue
+        rest = before[:, parent] - found[:, parent]
+        rest[:, rest[2] == 0] = 0  # nothing but rounding where no row is
+        out[:, 2 * parent + side[0]], out[:, 2 * parent + 1 - side[0]] = found[:, parent], rest
+    return out
+
+
+def _to_ask(fit: Fit, sums: np.ndarray, level: int) -> np.ndarray:
+    """Per node of the next level the place of its histogram, -1 where it is not needed: of two children the one with fewer rows is counted."""
+    out = np.full(2 << level, -1)
+    for node in range(1 << level):
+        at = (1 << level) - 1 + node
+        if fit.feature[-1][at] >= 0:
+            rows = sums[2, node, fit.columns.index(fit.feature[-1][at])]
+            left = rows[: fit.cut[-1][at] + 1].sum()
+            out[2 * node + int(2 * left > rows.sum())] = node
+    return out
+
+
 def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
     """Grows `rounds` trees of every fit on the log loss. `table`: x, bins, y, fold, quarter, complete."""
-    shapes = [(1 << level, sum(len(f.columns) for f in fits)) for level in range(DEPTH)]
 
-    def odds(rows: Rows) -> np.ndarray:
+    def odds(rows: Block) -> np.ndarray:
         use = np.stack([f.trains(rows) for f in fits])
         return np.concatenate([use.sum(axis=1), use @ rows.y])
 
-    parts = table.rdd.getNumPartitions()
-    n, pos = np.split(_added(table, parts, odds, 2 * len(fits)), 2)
+    base = written(_packed(table), "blocks")
+    parts = base.rdd.getNumPartitions()
+    n, pos = np.split(_added(base, parts, odds, 2 * len(fits), Block.each), 2)
     for fit, a, b in zip(fits, n, pos, strict=True):
         share = min(max(b / max(a, 1), 1e-6), 1 - 1e-6)
         fit.base = float(np.log(share / (1 - share)))
-    base = table.withColumn("margin", F.array(*[F.lit(f.base) for f in fits]))
     current, at_base, done = keep(base), 0, 0
     for r in range(rounds):
         if r - done == REFRESH:
             # each from the written table: one from the other would make plans that grow with the rounds
             newer, done, last = _with_margins(base, [f.since(at_base) for f in fits]), r, current
             if r - at_base == WRITTEN:
-                newer = base = written(newer, "margins")
+                newer = base = written(newer, "blocks")
                 at_base = r
             current = keep(newer)
             current.count()
@@ -202,38 +315,31 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
             fit.feature.append(np.full((1 << DEPTH) - 1, -1))
             fit.cut.append(np.zeros((1 << DEPTH) - 1, np.int64))
             fit.value.append(np.zeros(1 << DEPTH))
-        for level, (nodes, width) in enumerate(shapes):
-            recent = [f.since(done) for f in fits]
-
-            def histograms(rows: Rows, level: int = level, nodes: int = nodes, recent: list[Fit] = recent) -> np.ndarray:
-                out, columns = [], np.ascontiguousarray(rows.bins.T)
-                for j, fit in enumerate(recent):
-                    use, m = np.flatnonzero(fit.trains(rows)), len(fit.columns)
-                    p = sigmoid(rows.margin[:, j] + _scores(fit, columns, slice(-1)))[use]
-                    node = _leaf(columns, fit.feature[-1], fit.cut[-1], level)[use].astype(np.int64) * BINS
-                    own = np.empty((3, nodes, m, BINS))
-                    for i, c in enumerate(fit.columns):
-                        cell = node + columns[c][use]
-                        for k, w in enumerate((p - rows.y[use], p * (1 - p), None)):
-                            own[k, :, i] = np.bincount(cell, w, minlength=nodes * BINS).reshape(nodes, BINS)
-                    out.append(own.ravel())
-                return np.concatenate(out)
-
-            sums, at = _added(current, parts, histograms, 3 * nodes * width * BINS), 0
-            for fit in fits:
-                size = 3 * nodes * len(fit.columns) * BINS
-                _grow(fit, sums[at : at + size].reshape(3, nodes, len(fit.columns), BINS), level)
-                at += size
+        before, asked = [], []
+        for level in range(DEPTH):
+            recent, slots = [f.since(done) for f in fits], max(1, 1 << level >> 1)
+            sizes = [3 * slots * len(f.columns) * BINS for f in fits]
+
+            def histograms(block: Block, level: int = level, recent: list[Fit] = recent, asked: list[np.ndarray] = asked) -> np.ndarray:
+                return _histograms(block, recent, level, asked)
+
+            some = not level or any((x >= 0).any() for x in asked)
+            sums = np.split(_added(current, parts, histograms, sum(sizes), Block.each) if some else np.zeros(sum(sizes)), np.cumsum(sizes)[:-1])
+            sums = [x.reshape(3, slots, len(f.columns), BINS) for f, x in zip(fits, sums, strict=True)]
+            before = [_children(f, *x) for f, *x in zip(fits, before, sums, asked, strict=True)] if level else sums
+            for fit, x in zip(fits, before, strict=True):
+                _grow(fit, x, level)
+            asked = [_to_ask(f, x, level) for f, x in zip(fits, before, strict=True)]
     current.unpersist()
 
 
 def _with_margins(table: DataFrame, fits: list[Fit]) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = Rows.of(b)
-            new = rows.margin + np.stack([raw_scores(f, rows.bins) for f in fits], axis=1)
-            offsets = pa.array(np.arange(0, new.size + 1, max(1, new.shape[1])), pa.int32())
-            yield b.set_column(b.schema.get_field_index("margin"), "margin", pa.ListArray.from_arrays(offsets, pa.array(new.ravel())))
+            for i, block in enumerate(Block.each(b)):
+                old = [f.base for f in fits] if block.margin is None else block.margin
+                new = np.stack([m + _scores(f, block.bins) for f, m in zip(fits, old, strict=True)])
+                yield b.slice(i, 1).set_column(b.schema.get_field_index("margin"), "margin", pa.array([new.tobytes()], pa.binary()))
 
     return table.mapInArrow(go, table.schema)
 

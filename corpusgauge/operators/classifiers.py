@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusgauge.caching import keep, written
 from corpusgauge.functions.decision import label_to_int, probe_logit
 from corpusgauge.functions.hashing import stable_hex
-from corpusgauge.operators.boosting import Fit, Line, Rows, bin_cuts, boost, raw_scores, regress, sigmoid, with_bins
+from corpusgauge.operators.boosting import Fit, Line, Rows, bin_cuts, boost, raw_scores, raw_tree, regress, sigmoid, with_bins
 from corpusgauge.operators.metrics import curve, ranking_metrics, score_counts
 from corpusgauge.operators.ordering import hash_block, ranked
 
@@ -174,11 +174,16 @@ def _shuffled_scores(table: _Table, fits: list[Fit], seed: int, repeats: int) ->
             for fit in fits:
                 at = np.flatnonzero(mine[:, fit.of_set])
                 there, labels = theirs[at, fit.of_set], label.take(pa.array(at))
+                columns = np.ascontiguousarray(own[at].T)
+                plain = [raw_tree(fit, columns, t) for t in range(len(fit.feature))]
                 for feature in (-1, *fit.columns):
-                    bins = own[at]
+                    score, moved_ = np.zeros(len(at)), columns
                     if feature >= 0:
-                        bins[:, feature] = np.where(there, other[at, feature], bins[:, feature])
-                    prob = sigmoid(fit.base + raw_scores(fit, bins))
+                        moved_ = columns.copy()
+                        moved_[feature] = np.where(there, other[at, feature], columns[feature])
+                    for t, as_before in enumerate(plain):  # a tree without the feature gives what it gave
+                        score += raw_tree(fit, moved_, t) if feature >= 0 and (fit.feature[t] == feature).any() else as_before
+                    prob = sigmoid(fit.base + score)
                     yield _emitted({"of_set": np.full(len(at), fit.of_set, np.int32), "feature": np.full(len(at), feature, np.int32), "repeat": repeat[at].astype(np.int32), "label": labels, "prob": prob})
 
     return both.mapInArrow(go, "of_set int, feature int, repeat int, label string, prob double")

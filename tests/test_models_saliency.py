@@ -279,3 +279,53 @@ def test_plans_of_a_long_fit_stay_short(spark, monkeypatch):
     boosting.boost(table.rows, [boosting.Fit([0], 0, None)], 8)
     assert len(sizes) == 8
     assert max(sizes[4:]) <= max(sizes[1:4])
+
+
+def test_the_smaller_child_of_a_split_is_counted():
+    """A level's sums come from the level above and from fewer than half of its rows; a split's other child has the rest."""
+    from corpusgauge.operators import boosting
+
+    rng = np.random.default_rng(8)
+    n, levels = 3000, boosting.DEPTH
+    bins = rng.integers(0, 40, (3, n)).astype(np.uint8)
+    bins[2] = bins[0] > 5
+    complete = np.stack([np.ones(n, bool), rng.random(n) < 0.3], axis=1)
+    y = (bins[0] + rng.normal(0, 5, n) > 30).astype(float)
+    margin = rng.normal(size=(2, n))
+    block = boosting.Block(bins, y, rng.integers(0, 4, n).astype(np.int32), rng.random(n) < 0.25, complete, margin)
+    fits = [boosting.Fit([0, 1, 2], 0, 1), boosting.Fit([0, 2], 1, None)]
+    for fit in fits:
+        fit.feature, fit.cut, fit.value = [np.full(15, -1)], [np.zeros(15, np.int64)], [np.zeros(16)]
+    before, asked = [], []
+    for level in range(levels):
+        slots = max(1, 1 << level >> 1)
+        flat = boosting._histograms(block, fits, level, asked)
+        sums = [x.reshape(3, slots, len(f.columns), 64) for f, x in zip(fits, np.split(flat, [3 * slots * 3 * 64]), strict=True)]
+        whole = [boosting._children(f, *x) for f, *x in zip(fits, before, sums, asked, strict=True)] if level else sums
+        for j, fit in enumerate(fits):
+            use = np.flatnonzero(fit.trains(block))
+            node = boosting._leaf(bins, fit.feature[0], fit.cut[0], level)[use]
+            p = 1 / (1 + np.exp(-margin[j][use]))
+            for i, c in enumerate(fit.columns):
+                for k, w in enumerate((p - y[use], p * (1 - p), np.ones(len(use)))):
+                    want = np.zeros((1 << level, 64))
+                    np.add.at(want, (node, bins[c][use]), w)
+                    assert np.allclose(whole[j][k, :, i], want, atol=1e-9)
+                    assert (whole[j][k, :, i][want == 0] == 0).all()
+            assert not level or sums[j][2, :, 0].sum() <= len(use) / 2
+            boosting._grow(fit, whole[j], level)
+        before, asked = whole, [boosting._to_ask(f, x, level) for f, x in zip(fits, whole, strict=True)]
+    assert (fits[0].feature[0] >= 0).sum() > 7
+
+
+def test_moved_features_in_trees_that_use_them(spark, planted):
+    """Shuffled scores are the trees' sums in their order, whatever trees the moved feature is in."""
+    table = classifiers._prepared(planted, {"both": ["width", "noise"]}, "id", 1, 42)
+    fit = boosting.Fit(table.sets["both"], 0, None)
+    boosting.boost(table.rows, [fit], 3)
+    got = classifiers._shuffled_scores(table, [fit], 42, 2).toPandas()
+    rows = table.rows.filter("quarter").toPandas()
+    plain = boosting.sigmoid(fit.base + boosting.raw_scores(fit, np.array([list(b) for b in rows["bins"]], np.uint8)))
+    for repeat in (0, 1):
+        assert sorted(got[(got["feature"] == -1) & (got["repeat"] == repeat)]["prob"]) == sorted(plain)
+    assert len(got) == 3 * 2 * len(rows)
