@@ -4,7 +4,7 @@ Every feature set, every fold and the fit behind the importances is a fit of its
 one pass over the table gives the histograms of one level of one tree of all fits, or the slopes of all regressions,
 summed per task first, and what reaches the driver is a table whose size depends on fits, features and bins alone. So the
 number of passes does not depend on how many fits there are, and no task or driver ever holds the rows. The passes of the trees read
-the rows in blocks of arrays, so that nothing is turned from rows into arrays again, and count the smaller child of each split only.
+the rows in blocks of arrays, so that nothing is turned from rows into arrays again.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ REFRESH, WRITTEN = 5, 25
 #: Partial tables that the driver adds up itself; more are added up by tasks first.
 PARTIALS = 64
 #: Rows of a block.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 10_000
 NEWTON_STEPS, SETTLED = 40, 1e-8
 
 
@@ -232,63 +232,33 @@ def _grow(fit: Fit, sums: np.ndarray, level: int) -> None:
             fit.value[-1][2 * node : 2 * node + 2] = [-RATE * a / max(b, LEAST_CURVATURE) for a, b in sides]
 
 
-def _histograms(block: Block, fits: list[Fit], level: int, asked: list[np.ndarray]) -> np.ndarray:
-    """Sums of slope, curvature and rows by bin, for all fits: at level 0 of the root, then of one child per split; `asked`: its place, -1 for other children."""
-    out, slots = [], max(1, 1 << level >> 1)
-    whole: dict[int, tuple] = {}
+def _histograms(block: Block, fits: list[Fit], level: int) -> np.ndarray:
+    """Sums of slope, curvature and rows by node and bin of each fit's columns at a level of its last tree."""
+    out, nodes = [], 1 << level
+    whole: dict[int, tuple] = {}  # per set: its complete rows, taken out once for all its fits
     for j, fit in enumerate(fits):
         if fit.of_set not in whole:
             at = np.flatnonzero(block.complete[:, fit.of_set])
             whole[fit.of_set] = (slice(None), block.bins, block.y) if len(at) == len(block.y) else (at, np.take(block.bins, at, axis=1), block.y[at])
         at, columns, y = whole[fit.of_set]
-        use = block.fold[at] != fit.fold if fit.fold is not None else ~block.quarter[at]
-        if level:
-            place = asked[j][_leaf(columns, fit.feature[-1], fit.cut[-1], level)]
-            use = np.flatnonzero(use & (place >= 0))
-            node = place[use].astype(np.int64) * BINS
-        else:
-            use, node = np.flatnonzero(use), 0
-        own = np.zeros((3, slots, len(fit.columns), BINS))
+        use = np.flatnonzero(block.fold[at] != fit.fold if fit.fold is not None else ~block.quarter[at])
+        own = np.zeros((3, nodes, len(fit.columns), BINS))
         if len(use):
             margin = fit.base if block.margin is None else block.margin[j][at][use]
             p = sigmoid(margin + _scores(fit, columns, slice(-1), use))
+            node = _leaf(columns, fit.feature[-1], fit.cut[-1], level)[use].astype(np.int64) * BINS
             weights = (p - y[use], p * (1 - p), None)
             for i, c in enumerate(fit.columns):
-                cell = node + columns[c][use].astype(np.int64)
+                cell = node + columns[c][use]
                 for k, w in enumerate(weights):
-                    own[k, :, i] = np.bincount(cell, w, minlength=slots * BINS).reshape(slots, BINS)
+                    own[k, :, i] = np.bincount(cell, w, minlength=nodes * BINS).reshape(nodes, BINS)
         out.append(own.ravel())
     return np.concatenate(out)
 
 
-def _children(fit: Fit, before: np.ndarray, found: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Histograms of a level from those of the level above and of the children asked for: the other child has the rest."""
-    out = np.zeros((3, len(asked), *before.shape[2:]))
-    for parent in range(before.shape[1]):
-        side = np.flatnonzero(asked[2 * parent : 2 * parent + 2] >= 0)
-        if not len(side):  # no split: all rows go to the left
-            out[:, 2 * parent] = before[:, parent]
-            continue
-        rest = before[:, parent] - found[:, parent]
-        rest[:, rest[2] == 0] = 0  # nothing but rounding where no row is
-        out[:, 2 * parent + side[0]], out[:, 2 * parent + 1 - side[0]] = found[:, parent], rest
-    return out
-
-
-def _to_ask(fit: Fit, sums: np.ndarray, level: int) -> np.ndarray:
-    """Per node of the next level the place of its histogram, -1 where it is not needed: of two children the one with fewer rows is counted."""
-    out = np.full(2 << level, -1)
-    for node in range(1 << level):
-        at = (1 << level) - 1 + node
-        if fit.feature[-1][at] >= 0:
-            rows = sums[2, node, fit.columns.index(fit.feature[-1][at])]
-            left = rows[: fit.cut[-1][at] + 1].sum()
-            out[2 * node + int(2 * left > rows.sum())] = node
-    return out
-
-
 def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
     """Grows `rounds` trees of every fit on the log loss. `table`: x, bins, y, fold, quarter, complete."""
+    shapes = [(1 << level, sum(len(f.columns) for f in fits)) for level in range(DEPTH)]
 
     def odds(rows: Block) -> np.ndarray:
         use = np.stack([f.trains(rows) for f in fits])
@@ -315,21 +285,17 @@ def boost(table: DataFrame, fits: list[Fit], rounds: int) -> None:
             fit.feature.append(np.full((1 << DEPTH) - 1, -1))
             fit.cut.append(np.zeros((1 << DEPTH) - 1, np.int64))
             fit.value.append(np.zeros(1 << DEPTH))
-        before, asked = [], []
-        for level in range(DEPTH):
-            recent, slots = [f.since(done) for f in fits], max(1, 1 << level >> 1)
-            sizes = [3 * slots * len(f.columns) * BINS for f in fits]
-
-            def histograms(block: Block, level: int = level, recent: list[Fit] = recent, asked: list[np.ndarray] = asked) -> np.ndarray:
-                return _histograms(block, recent, level, asked)
-
-            some = not level or any((x >= 0).any() for x in asked)
-            sums = np.split(_added(current, parts, histograms, sum(sizes), Block.each) if some else np.zeros(sum(sizes)), np.cumsum(sizes)[:-1])
-            sums = [x.reshape(3, slots, len(f.columns), BINS) for f, x in zip(fits, sums, strict=True)]
-            before = [_children(f, *x) for f, *x in zip(fits, before, sums, asked, strict=True)] if level else sums
-            for fit, x in zip(fits, before, strict=True):
-                _grow(fit, x, level)
-            asked = [_to_ask(f, x, level) for f, x in zip(fits, before, strict=True)]
+        for level, (nodes, width) in enumerate(shapes):
+            recent = [f.since(done) for f in fits]
+
+            def histograms(block: Block, level: int = level, recent: list[Fit] = recent) -> np.ndarray:
+                return _histograms(block, recent, level)
+
+            sums, at = _added(current, parts, histograms, 3 * nodes * width * BINS, Block.each), 0
+            for fit in fits:
+                size = 3 * nodes * len(fit.columns) * BINS
+                _grow(fit, sums[at : at + size].reshape(3, nodes, len(fit.columns), BINS), level)
+                at += size
     current.unpersist()
 
 

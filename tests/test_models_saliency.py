@@ -281,41 +281,47 @@ def test_plans_of_a_long_fit_stay_short(spark, monkeypatch):
     assert max(sizes[4:]) <= max(sizes[1:4])
 
 
-def test_the_smaller_child_of_a_split_is_counted():
-    """A level's sums come from the level above and from fewer than half of its rows; a split's other child has the rest."""
+def test_trees_grow_on_blocks(spark, planted, monkeypatch):
+    """What the passes over a table read is a row per block of rows, and its sums are those of the rows."""
     from corpusgauge.operators import boosting
 
+    table = classifiers._prepared(planted, {"all": ["width", "noise"]}, "id", 2, 1)
+    counts, keep = [], boosting.keep
+    monkeypatch.setattr(boosting, "keep", lambda df: counts.append(df.count()) or keep(df))
+    boosting.boost(table.rows.coalesce(1), [boosting.Fit([0], 0, None)], 6)
+    assert counts == [1, 1]
+
     rng = np.random.default_rng(8)
-    n, levels = 3000, boosting.DEPTH
+    n = 3000
     bins = rng.integers(0, 40, (3, n)).astype(np.uint8)
-    bins[2] = bins[0] > 5
-    complete = np.stack([np.ones(n, bool), rng.random(n) < 0.3], axis=1)
-    y = (bins[0] + rng.normal(0, 5, n) > 30).astype(float)
-    margin = rng.normal(size=(2, n))
+    complete = np.stack([np.ones(n, bool), rng.random(n) < 0.3, np.zeros(n, bool)], axis=1)
+    margin, y = rng.normal(size=(3, n)), (rng.random(n) < 0.4).astype(float)
     block = boosting.Block(bins, y, rng.integers(0, 4, n).astype(np.int32), rng.random(n) < 0.25, complete, margin)
-    fits = [boosting.Fit([0, 1, 2], 0, 1), boosting.Fit([0, 2], 1, None)]
+    fits = [boosting.Fit([0, 1, 2], 0, 1), boosting.Fit([0, 2], 1, None), boosting.Fit([1], 2, 0)]
     for fit in fits:
-        fit.feature, fit.cut, fit.value = [np.full(15, -1)], [np.zeros(15, np.int64)], [np.zeros(16)]
-    before, asked = [], []
-    for level in range(levels):
-        slots = max(1, 1 << level >> 1)
-        flat = boosting._histograms(block, fits, level, asked)
-        sums = [x.reshape(3, slots, len(f.columns), 64) for f, x in zip(fits, np.split(flat, [3 * slots * 3 * 64]), strict=True)]
-        whole = [boosting._children(f, *x) for f, *x in zip(fits, before, sums, asked, strict=True)] if level else sums
+        for _ in range(2):
+            fit.feature.append(rng.choice([-1, *fit.columns], 15))
+            fit.cut.append(rng.integers(0, 40, 15))
+            fit.value.append(rng.normal(size=16))
+    for level in range(boosting.DEPTH):
+        sizes = [3 * (1 << level) * len(f.columns) * 64 for f in fits]
+        found = np.split(boosting._histograms(block, fits, level), np.cumsum(sizes)[:-1])
         for j, fit in enumerate(fits):
-            use = np.flatnonzero(fit.trains(block))
-            node = boosting._leaf(bins, fit.feature[0], fit.cut[0], level)[use]
-            p = 1 / (1 + np.exp(-margin[j][use]))
+            use, own = np.flatnonzero(fit.trains(block)), found[j].reshape(3, 1 << level, len(fit.columns), 64)
+            node, first = np.zeros((2, len(use)), int)
+            for deep, tree in ((level, 1), (boosting.DEPTH, 0)):
+                for i, row in enumerate(use):
+                    at = 0
+                    for d in range(deep):
+                        k = (1 << d) - 1 + at
+                        at = 2 * at + int(fit.feature[tree][k] >= 0 and bins[fit.feature[tree][k], row] > fit.cut[tree][k])
+                    (node if tree else first)[i] = at
+            p = 1 / (1 + np.exp(-margin[j][use] - fit.value[0][first]))
             for i, c in enumerate(fit.columns):
                 for k, w in enumerate((p - y[use], p * (1 - p), np.ones(len(use)))):
                     want = np.zeros((1 << level, 64))
                     np.add.at(want, (node, bins[c][use]), w)
-                    assert np.allclose(whole[j][k, :, i], want, atol=1e-9)
-                    assert (whole[j][k, :, i][want == 0] == 0).all()
-            assert not level or sums[j][2, :, 0].sum() <= len(use) / 2
-            boosting._grow(fit, whole[j], level)
-        before, asked = whole, [boosting._to_ask(f, x, level) for f, x in zip(fits, whole, strict=True)]
-    assert (fits[0].feature[0] >= 0).sum() > 7
+                    assert np.allclose(own[k, :, i], want, atol=1e-9)
 
 
 def test_moved_features_in_trees_that_use_them(spark, planted):
